@@ -54,6 +54,7 @@ WHOLE = (
     LineClass("Starting server", "server", "INFO"),
     LineClass("Shutdown", "server", "INFO"),
 )
+BARE = "libguestfs"
 MONITOR = "virt-v2v monitoring:"
 WEB = rf"^\d{{4}}/\d{{2}}/\d{{2}}{WS}+(\d{{2}}:\d{{2}}:\d{{2}}){WS}+"
 PHASE = rf"^\[{WS}*(\d+\.\d{{1,2}})\]{WS}+"
@@ -96,9 +97,15 @@ def looks_like(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Name of the line's class: a prefix, or one of ``http phase kernel xml``; NULL when there is none."""
+    """Name of a parsed line's class: a prefix, or one of ``http phase kernel xml``; NULL for unparsed lines.
+
+    One class names its logger even when the rest of the line is missing; such lines get ``BARE``.
+    """
     chain = F.when(F.lit(False), F.lit(None).cast("string"))
-    for known in (*PREFIXED, *WHOLE):
+    for known in PREFIXED:
+        misfit = F.lit(BARE if known.prefix.startswith(BARE) else None)
+        chain = chain.when(line.startswith(known.prefix), F.when(_fits(line, known), known.prefix).otherwise(misfit))
+    for known in WHOLE:
         chain = chain.when(line.startswith(known.prefix), known.prefix)
     return (
         chain.when(line.rlike(WEB), "http")
@@ -108,6 +115,12 @@ def tokens(line: Column) -> Column:
     )
 
 
+def _fits(line: Column, known: LineClass) -> Column:
+    fits = F.lit(True) if known.needs is None else _rest(line, known).rlike(known.needs)
+    # At least one blank has to follow a prefix that does not end in one.
+    return fits & after_prefix(line, known.prefix).rlike(rf"^{WS}") if known.prefix.endswith(":") else fits
+
+
 def _rest(line: Column, known: LineClass) -> Column:
     return F.ltrim(after_prefix(line, known.prefix), F.lit(ASCII_SPACE))
 
@@ -120,20 +133,13 @@ def _by_class(token: Column, per_class: dict[str, Column], default: Column) -> C
 
 
 def entry_columns(line: Column, token: Column) -> dict[str, Column]:
-    messages, parsed = {}, {}
+    messages = {}
     for known in PREFIXED:
         rest = _rest(line, known)
         body = rest if known.cut is None else F.regexp_replace(rest, known.cut, known.put)
-        messages[known.prefix] = F.concat(F.lit(known.lead), body)
-        fits = F.lit(True) if known.needs is None else rest.rlike(known.needs)
-        if known.prefix.endswith(":"):
-            # At least one blank has to follow the prefix.
-            fits = fits & after_prefix(line, known.prefix).rlike(rf"^{WS}")
-        parsed[known.prefix] = fits
+        messages[known.prefix] = F.concat(F.lit(known.lead), body) if known.lead else body
     for name, pattern in (("http", WEB), ("phase", PHASE), ("kernel", KERNEL)):
         messages[name] = F.regexp_replace(line, pattern, "")
-    is_parsed = _by_class(token, parsed, token.isNotNull())
-    message = _by_class(token, messages, line)
 
     names = {k.prefix: F.lit(k.logger) for k in (*PREFIXED, *WHOLE)}
     names |= {"http": F.lit("http"), "phase": F.lit(TOOL), "kernel": F.lit("kernel"), "xml": F.lit("xml")}
@@ -151,15 +157,14 @@ def entry_columns(line: Column, token: Column) -> dict[str, Column]:
         "kernel": seconds(KERNEL),
     }
     out = entry(
-        is_parsed,
+        token.isNotNull() & (token != BARE),
         fields=_own_fields(line, token),
         timestamp=_by_class(token, stamps, F.lit("")),
         level=_by_class(token, levels, F.lit("INFO")),
-        message=message,
+        message=_by_class(token, messages, line),
         logger=_by_class(token, names, F.lit("")),
     )
-    # The one class that names its logger even when the rest of the line is missing.
-    out["logger"] = F.when(token == "libguestfs:", "libguestfs").otherwise(out["logger"])
+    out["logger"] = F.when(token == BARE, BARE).otherwise(out["logger"])
     return out
 
 

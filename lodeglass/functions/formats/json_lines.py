@@ -35,23 +35,26 @@ def looks_like(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """Texts of the top-level members of the line's JSON object; NULL when it is not exactly one object."""
-    body = strip_stamp(text.trim_space(line))
+    body = text.let(text.trim_space(line), strip_stamp)
+    return text.let(
+        body, lambda b: F.when(b.startswith("{"), text.let(text.let(_members(b), _unique), _texts))
+    )
+
+
+def _members(body: Column) -> Column:
     # Inside brackets anything after the object is an error or a second element.
     wrapped = F.concat(F.lit("["), body, F.lit("]"))
 
-    def only(objects: Column) -> Column:
-        return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+    def parse(value_type: str) -> Column:
+        objects = F.from_json(wrapped, f"array<map<string,{value_type}>>", _STRICT)
+        return text.let(objects, lambda o: F.when(F.size(o) == 1, F.get(o, F.lit(0))))
 
     # A key repeated inside a nested object fails the first reading; the second keeps such values as JSON text.
-    members = F.coalesce(
-        text.let(F.from_json(wrapped, "array<map<string,variant>>", _STRICT), only),
-        F.transform_values(
-            text.let(F.from_json(wrapped, "array<map<string,string>>", _STRICT), only),
-            lambda _, v: v.cast("variant"),
-        ),
-    )
-    unique = text.let(members, lambda m: text.last_wins_map(F.map_entries(m)))
-    return F.when(body.startswith("{"), text.let(unique, _texts))
+    return F.coalesce(parse("variant"), F.transform_values(parse("string"), lambda _, v: v.cast("variant")))
+
+
+def _unique(members: Column) -> Column:
+    return text.last_wins_map(F.map_entries(members))
 
 
 def _is_logrus(members: Column) -> Column:
@@ -65,11 +68,13 @@ def _is_known(key: Column, logrus: Column) -> Column:
 
 
 def _texts(members: Column) -> Column:
-    return F.transform_values(
-        members,
-        lambda k, v: F.when(_is_known(k, _is_logrus(members)), values.plain_text(v)).otherwise(
-            values.value_text(v)
-        ),
+    def shown(key: Column, value: Column, logrus: Column) -> Column:
+        known = _is_known(key, logrus)
+        null = F.when(known, "").otherwise("<nil>")
+        return F.when(values.is_null(value), null).otherwise(values.value_text(value, printed=known))
+
+    return text.let(
+        _is_logrus(members), lambda logrus: F.transform_values(members, lambda k, v: shown(k, v, logrus))
     )
 
 

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from lodeglass.functions.text import let
 
 # Containers nested deeper than this keep their JSON text.
-FLAT_DEPTH, PRINTED_DEPTH = 8, 3
+MAX_DEPTH = 8
 
 
-class Style(NamedTuple):
+class Marks(NamedTuple):
+    """What a style puts around and between the members of a container."""
+
     key_end: str
     object_open: str
     object_sep: str
@@ -28,8 +30,8 @@ class Style(NamedTuple):
     array_close: str
 
 
-FLAT = Style("=", "", " ", "", "", ",", "")
-PRINTED = Style(":", "map[", " ", "]", "[", " ", "]")
+FLAT = Marks("=", "", " ", "", "", ",", "")
+PRINTED = Marks(":", "map[", " ", "]", "[", " ", "]")
 
 
 def float_text(number: Column) -> Column:
@@ -87,46 +89,65 @@ def _scalar_text(value: Column, kind: Column) -> Column:
     )
 
 
-def value_text(value: Column, style: Style = FLAT, depth: int = FLAT_DEPTH) -> Column:
-    """Text of a JSON value, object keys in order."""
+def value_text(value: Column, printed: Column) -> Column:
+    """Text of a JSON value, object keys in order, in the printed style where ``printed`` holds, else in the flat one."""
+    kind = F.schema_of_variant(value)
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    return F.when(nested, let(printed, lambda p: _nested_text(value, p))).otherwise(_scalar_text(value, kind))
+
+
+def _nested_text(value: Column, printed: Column) -> Column:
+    """Write the value as a list of pieces, each a text and a value that follows it.
+
+    Every pass replaces the values that are containers by the pieces of their members.
+    """
 
-    def shaped(item: Column) -> Column:
+    def mark(name: str) -> Column:
+        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
+
+    def piece(text: Column, item: Column | None = None) -> Column:
+        item = F.lit(None).cast("variant") if item is None else item
+        return F.struct(text.alias("text"), item.alias("item"))
+
+    def opened(one: Column) -> Column:
+        text, item = one["text"], one["item"]
         kind = F.schema_of_variant(item)
-        is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-        if depth == 0:
-            return F.when(is_object | is_array, F.to_json(item)).otherwise(_scalar_text(item, kind))
+
+        def lead(index: Column, sep: str) -> Column:
+            return F.when(index > 0, mark(sep)).otherwise("")
+
         members = let(
             F.try_variant_get(item, "$", "map<string,variant>"),
             lambda m: F.transform(
                 F.array_sort(F.map_keys(m)),
-                lambda k: F.struct(F.concat(k, F.lit(style.key_end)).alias("head"), m[k].alias("item")),
+                lambda k, i: piece(F.concat(lead(i, "object_sep"), k, mark("key_end")), m[k]),
             ),
         )
         elements = F.transform(
-            F.try_variant_get(item, "$", "array<variant>"),
-            lambda x: F.struct(F.lit("").alias("head"), x.alias("item")),
-        )
-        texts = F.transform(
-            F.when(is_object, members).otherwise(elements),
-            lambda p: F.concat(p["head"], value_text(p["item"], style, depth - 1)),
+            F.try_variant_get(item, "$", "array<variant>"), lambda x, i: piece(lead(i, "array_sep"), x)
         )
-        nested = F.concat(
-            F.when(is_object, style.object_open).otherwise(style.array_open),
-            F.call_function(
-                "array_join", texts, F.when(is_object, style.object_sep).otherwise(style.array_sep)
-            ),
-            F.when(is_object, style.object_close).otherwise(style.array_close),
+
+        def within(inner: Column, start: str, end: str) -> Column:
+            return F.concat(F.array(piece(F.concat(text, mark(start)))), inner, F.array(piece(mark(end))))
+
+        return (
+            F.when(kind.startswith("OBJECT"), within(members, "object_open", "object_close"))
+            .when(kind.startswith("ARRAY"), within(elements, "array_open", "array_close"))
+            .otherwise(F.array(one))
         )
-        return F.when(is_object | is_array, nested).otherwise(_scalar_text(item, kind))
 
-    return F.coalesce(let(value, shaped), F.lit("<nil>"))
+    def closed(one: Column) -> Column:
+        item = one["item"]
+        kind = F.schema_of_variant(item)
+        deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        text = F.when(deep, F.to_json(item)).otherwise(_scalar_text(item, kind))
+        return F.concat(one["text"], F.when(item.isNull(), "").otherwise(text))
 
+    pieces = F.array(piece(F.lit(""), value))
+    for _ in range(MAX_DEPTH):
+        pieces = F.flatten(F.transform(pieces, opened))
+    return F.array_join(F.transform(pieces, closed), "")
 
-def plain_text(value: Column) -> Column:
-    """Text of a JSON value where a string is expected: null and missing are empty."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), "")
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .otherwise(value_text(value, PRINTED, PRINTED_DEPTH))
-    )
+
+def is_null(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)

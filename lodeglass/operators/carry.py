@@ -9,6 +9,7 @@ from lodeglass.functions.formats import conversion
 from lodeglass.operators.blocks import BLOCK_ROWS, carry_last
 
 STAGE, PROGRESS = "stage", "progress_pct"
+_CLASS = "_class"
 
 
 def carry_marks(rows: DataFrame, message, by_tool, progress, **options) -> DataFrame:
@@ -31,14 +32,16 @@ def carry_marks(rows: DataFrame, message, by_tool, progress, **options) -> DataF
 def carry_stage(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``stage`` and ``progress_pct`` to conversion-log lines, before parsing so that only raw lines are shuffled."""
     line = F.col("value")
-    entry = conversion.entry_columns(line, conversion.tokens(line))
-    return carry_marks(
-        lines,
+    classed = lines.select("*", F.inline(F.array(F.struct(conversion.tokens(line).alias(_CLASS)))))
+    entry = conversion.entry_columns(line, F.col(_CLASS))
+    carried = carry_marks(
+        classed,
         message=entry["message"],
         by_tool=entry["logger"] == conversion.TOOL,
         progress=conversion.progress(line),
         block_rows=block_rows,
     )
+    return carried.drop(_CLASS)
 
 
 def add_carried(entries: DataFrame) -> DataFrame:

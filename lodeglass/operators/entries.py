@@ -39,10 +39,12 @@ def _shape(lines: DataFrame, names: list[str], one: bool = False) -> DataFrame:
     def only_for(name: str, column: Column) -> Column:
         return column if one else F.when(fmt == name, column)
 
-    # One match or parse per line, kept as a column that all entry columns read.
-    tokenised = lines.withColumns(
-        {token[name]: only_for(name, FORMATS[name].tokens(line)) for name in token}
-    )
+    # One match or parse per line. A generator keeps it that way: filters on entry columns are not pushed below it, where
+    # each use of a token would match the line anew; filters on the raw line are.
+    tokenised = lines
+    if token:
+        row = F.struct(*[only_for(name, FORMATS[name].tokens(line)).alias(token[name]) for name in token])
+        tokenised = lines.select("*", F.inline(F.array(row)))
     shaped = {name: FORMATS[name].entry_columns(line, F.col(token[name])) for name in token}
     columns = {}
     for column in ENTRY_COLUMNS:
