@@ -32,13 +32,19 @@ def tokens(line: Column) -> Column:
 
 def clock(stamp: Column) -> Column:
     """Local time of day of the stamp; in other stamps the first eight characters with ``:`` third and sixth."""
-    parts = capture(stamp, STAMP, 5)
-    hour = F.concat(group(parts, 2), group(parts, 4))
-    rest = F.concat(group(parts, 3), group(parts, 5))
-    valid = F.try_to_date(F.initcap(group(parts, 1)), "dd/MMM/yyyy").isNotNull()
-    return F.when(valid, F.concat(F.lpad(hour, 2, "0"), rest)).otherwise(
-        F.regexp_extract(stamp, r"(?s)..:..:..", 0)
-    )
+
+    def read(parts: Column) -> Column:
+        date = group(parts, 1)
+        day = F.left(date, F.lit(2))
+        # Only the days after the 28th depend on month and year.
+        valid = day.between("01", "28") | F.try_to_date(F.initcap(date), "dd/MMM/yyyy").isNotNull()
+        hour = F.concat(group(parts, 2), group(parts, 4))
+        rest = F.concat(group(parts, 3), group(parts, 5))
+        return F.when(valid, F.concat(F.lpad(hour, 2, "0"), rest)).otherwise(
+            F.regexp_extract(stamp, r"(?s)..:..:..", 0)
+        )
+
+    return text.let(capture(stamp, STAMP, 5), read)
 
 
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
@@ -47,15 +53,10 @@ def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     level = (
         F.when(status.startswith("5"), "ERROR").when(status.startswith("4"), "WARN").otherwise("INFO")
     )
-    fields = F.map_filter(
-        F.create_map(
-            F.lit("client"), group(token, 1),
-            F.lit("status"), status,
-            F.lit("size"), group(token, 6),
-            F.lit("user"), F.nullif(user, F.lit("-")),
-        ),
-        lambda _, v: v.isNotNull(),
+    always = F.create_map(
+        F.lit("client"), group(token, 1), F.lit("status"), status, F.lit("size"), group(token, 6)
     )
+    fields = F.when(user == "-", always).otherwise(F.map_concat(always, F.create_map(F.lit("user"), user)))
     return entry(
         token.isNotNull(),
         fields=fields,

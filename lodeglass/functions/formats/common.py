@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodeglass.functions.text import let
+
 ENTRY_TEXT = ("timestamp", "level", "message", "source", "logger")
 ENTRY_COLUMNS = (*ENTRY_TEXT, "fields", "parsed")
 
@@ -37,7 +39,7 @@ def entry(parsed: Column, fields: Column | None = None, **texts: Column) -> dict
     empty = F.lit("")
     out = {name: F.when(parsed, texts[name]).otherwise(empty) if name in texts else empty for name in ENTRY_TEXT}
     out["fields"] = F.lit(None).cast("map<string,string>") if fields is None else F.when(
-        parsed & (F.size(fields) > 0), fields
+        parsed, let(fields, lambda m: F.when(F.size(m) > 0, m))
     )
     out["parsed"] = parsed
     return out

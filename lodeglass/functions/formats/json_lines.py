@@ -12,6 +12,10 @@ from lodeglass.functions.formats.common import entry
 ZAP_KEYS = ("level", "ts", "msg", "logger", "caller", "stacktrace")
 LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
+# Texts that may stand for a container or for a number whose text is not its JSON text, and where a line has one.
+_NEEDS_TYPE = r"^(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
+_AFTER_COLON = r":[ \t\r\n]*(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
+
 # Strict JSON: no single quotes, no NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
@@ -34,27 +38,36 @@ def looks_like(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Texts of the top-level members of the line's JSON object; NULL when it is not exactly one object."""
+    """Texts of the top-level members of the line's JSON object; NULL when it is not exactly one object.
+
+    Reading members as strings gives their texts already, except for containers and for numbers that print with a
+    fraction or an exponent. Only lines that may have such members are read again with types.
+    """
     body = text.let(text.trim_space(line), strip_stamp)
-    return text.let(
-        body, lambda b: F.when(b.startswith("{"), text.let(text.let(_members(b), _unique), _texts))
-    )
 
+    def read(b: Column) -> Column:
+        members = text.let(_members(b, "string"), _unique)
+        typed = F.when(b.rlike(_AFTER_COLON), _unique(_members(b, "variant")))
+        return F.when(b.startswith("{"), text.let(members, lambda m: _texts(m, typed)))
 
-def _members(body: Column) -> Column:
-    # Inside brackets anything after the object is an error or a second element.
-    wrapped = F.concat(F.lit("["), body, F.lit("]"))
+    return text.let(body, read)
 
-    def parse(value_type: str) -> Column:
-        objects = F.from_json(wrapped, f"array<map<string,{value_type}>>", _STRICT)
-        return text.let(objects, lambda o: F.when(F.size(o) == 1, F.get(o, F.lit(0))))
 
-    # A key repeated inside a nested object fails the first reading; the second keeps such values as JSON text.
-    return F.coalesce(parse("variant"), F.transform_values(parse("string"), lambda _, v: v.cast("variant")))
+def _members(body: Column, value_type: str) -> Column:
+    # Inside brackets anything after the object is an error or a second element.
+    wrapped = F.concat(F.lit("["), body, F.lit("]"))
+    objects = F.from_json(wrapped, f"array<map<string,{value_type}>>", _STRICT)
+    return text.let(objects, lambda o: F.when(F.size(o) == 1, F.get(o, F.lit(0))))
 
 
 def _unique(members: Column) -> Column:
-    return text.last_wins_map(F.map_entries(members))
+    """A repeated key keeps its last value."""
+    return text.let(
+        members,
+        lambda m: F.when(F.size(F.array_distinct(F.map_keys(m))) == F.size(m), m).otherwise(
+            text.last_wins_map(F.map_entries(m))
+        ),
+    )
 
 
 def _is_logrus(members: Column) -> Column:
@@ -67,15 +80,31 @@ def _is_known(key: Column, logrus: Column) -> Column:
     return F.when(logrus, key.isin(*LOGRUS_KEYS)).otherwise(key.isin(*ZAP_KEYS))
 
 
-def _texts(members: Column) -> Column:
-    def shown(key: Column, value: Column, logrus: Column) -> Column:
-        known = _is_known(key, logrus)
-        null = F.when(known, "").otherwise("<nil>")
-        return F.when(values.is_null(value), null).otherwise(values.value_text(value, printed=known))
+def _texts(members: Column, typed: Column) -> Column:
+    """``typed`` is NULL where no member needs it, and where a key repeated in a nested object keeps it from being read."""
 
-    return text.let(
-        _is_logrus(members), lambda logrus: F.transform_values(members, lambda k, v: shown(k, v, logrus))
-    )
+    def with_nulls(logrus: Column) -> Column:
+        return F.transform_values(
+            members, lambda k, v: F.coalesce(v, F.when(_is_known(k, logrus), "").otherwise("<nil>"))
+        )
+
+    def by_type(variants: Column, logrus: Column) -> Column:
+        def shown(key: Column, value: Column) -> Column:
+            exact = F.when(value.rlike(_NEEDS_TYPE), values.value_text(value, variants[key], _is_known(key, logrus)))
+            null = F.when(_is_known(key, logrus), "").otherwise("<nil>")
+            return F.coalesce(exact, value, null)
+
+        return F.transform_values(members, shown)
+
+    def read(variants: Column) -> Column:
+        logrus = _is_logrus(members)
+        return (
+            F.when(variants.isNotNull(), text.let(logrus, lambda is_logrus: by_type(variants, is_logrus)))
+            .when(F.exists(F.map_values(members), lambda v: v.isNull()), with_nulls(logrus))
+            .otherwise(members)
+        )
+
+    return text.let(typed, read)
 
 
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
@@ -87,7 +116,7 @@ def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     stamp = F.coalesce(F.nullif(member("timestamp", "ts"), F.lit("")), F.when(logrus, token["time"]), F.lit(""))
     return entry(
         token.isNotNull(),
-        fields=F.map_filter(token, lambda k, _: ~_is_known(k, logrus)),
+        fields=text.let(logrus, lambda is_logrus: F.map_filter(token, lambda k, _: ~_is_known(k, is_logrus))),
         timestamp=text.time_of_day(stamp),
         level=text.normal_level(member("level", "level")),
         message=member("msg", "msg"),

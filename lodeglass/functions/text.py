@@ -61,7 +61,7 @@ def time_of_day(stamp: Column) -> Column:
         found = F.left(F.substring_index(text.substr(after, F.length(text)), ".", 1), F.lit(8))
         return F.when(text.contains("T") | text.contains(" "), found).otherwise(text)
 
-    return let(F.regexp_replace(stamp, "Z$", ""), clock)
+    return let(stamp, lambda s: let(F.when(s.endswith("Z"), s.substr(F.lit(1), F.length(s) - 1)).otherwise(s), clock))
 
 
 def normal_level(level: Column) -> Column:
@@ -95,15 +95,11 @@ def last_wins_map(entries: Column) -> Column:
     return F.when(unique, F.map_from_entries(entries)).otherwise(let(F.reverse(entries), rebuilt))
 
 
-def last_value(entries: Column, *keys: str) -> Column:
-    """Value of the last entry whose key is one of ``keys``, or the empty string."""
-    hits = F.filter(entries, lambda e: e["key"].isin(*keys))
+def last_value(entries: Column, key: str) -> Column:
+    """Value of the last entry with this key, or the empty string."""
+    hits = F.filter(entries, lambda e: e["key"] == key)
     return F.coalesce(F.try_element_at(hits, F.lit(-1))["value"], F.lit(""))
 
 
 def without_keys(fields: Column, *keys: str) -> Column:
     return F.map_filter(fields, lambda k, _: ~k.isin(*keys))
-
-
-def null_if_empty(fields: Column) -> Column:
-    return F.when(F.size(fields) > 0, fields)

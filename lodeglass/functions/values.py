@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from lodeglass.functions.text import let
 
-# Containers nested deeper than this keep their JSON text.
-MAX_DEPTH = 8
-
 
 class Marks(NamedTuple):
     """What a style puts around and between the members of a container."""
@@ -76,78 +73,85 @@ def float_text(number: Column) -> Column:
     return F.concat(F.when(number < 0, "-").otherwise(""), plain)
 
 
-def _scalar_text(value: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind == "VOID", "<nil>")
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(
-            (kind == "BIGINT") & F.try_variant_get(value, "$", "bigint").between(-999999, 999999),
-            F.try_variant_get(value, "$", "string"),
-        )
-        .otherwise(float_text(F.try_variant_get(value, "$", "double")))
-    )
-
-
-def value_text(value: Column, printed: Column) -> Column:
-    """Text of a JSON value, object keys in order, in the printed style where ``printed`` holds, else in the flat one."""
-    kind = F.schema_of_variant(value)
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(nested, let(printed, lambda p: _nested_text(value, p))).otherwise(_scalar_text(value, kind))
+def value_text(json: Column, value: Column, printed: Column) -> Column:
+    """Text of a JSON value, object keys in order, in the printed style where ``printed`` holds, else in the flat one.
 
+    ``json`` is the value's JSON text. The value is written as a list of pieces, each a text and, where that is not the
+    whole piece yet, a value that follows it and whether it is a container. Every pass replaces containers by the pieces
+    of their members; there cannot be more levels than opening brackets.
+    """
+    brackets = F.length(json) - F.length(F.translate(json, "{[", ""))
 
-def _nested_text(value: Column, printed: Column) -> Column:
-    """Write the value as a list of pieces, each a text and a value that follows it.
+    def open_once(pieces: Column, style: Column) -> Column:
+        opened = F.flatten(F.transform(pieces, lambda one: _opened(one, style)))
+        return F.when(F.exists(pieces, lambda one: one["nested"]), opened).otherwise(pieces)
 
-    Every pass replaces the values that are containers by the pieces of their members.
-    """
+    def write(style: Column) -> Column:
+        pieces = F.aggregate(
+            F.sequence(F.lit(0), brackets),
+            F.array(_piece(F.lit(""), value)),
+            lambda pieces, _: open_once(pieces, style),
+        )
+        return F.array_join(F.transform(pieces, _closed), "")
 
-    def mark(name: str) -> Column:
-        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
+    return let(printed, write)
 
-    def piece(text: Column, item: Column | None = None) -> Column:
-        item = F.lit(None).cast("variant") if item is None else item
-        return F.struct(text.alias("text"), item.alias("item"))
 
-    def opened(one: Column) -> Column:
-        text, item = one["text"], one["item"]
-        kind = F.schema_of_variant(item)
+def _closed(one: Column) -> Column:
+    number = float_text(F.try_variant_get(one["item"], "$", "double"))
+    return F.when(one["item"].isNull(), one["text"]).otherwise(F.concat(one["text"], number))
 
-        def lead(index: Column, sep: str) -> Column:
-            return F.when(index > 0, mark(sep)).otherwise("")
 
-        members = let(
-            F.try_variant_get(item, "$", "map<string,variant>"),
-            lambda m: F.transform(
-                F.array_sort(F.map_keys(m)),
-                lambda k, i: piece(F.concat(lead(i, "object_sep"), k, mark("key_end")), m[k]),
+def _piece(text: Column, value: Column) -> Column:
+    def of_kind(kind: Column) -> Column:
+        shown = F.try_variant_get(value, "$", "string")
+        small = (kind == "BIGINT") & F.try_variant_get(value, "$", "bigint").between(-999999, 999999)
+        whole = F.when(kind.isin("STRING", "BOOLEAN") | small, shown).when(kind == "VOID", "<nil>")
+        return let(
+            whole,
+            lambda rest: F.struct(
+                F.when(rest.isNull(), text).otherwise(F.concat(text, rest)).alias("text"),
+                F.when(rest.isNull(), value).alias("item"),
+                F.when(rest.isNull(), kind.rlike("^(OBJECT|ARRAY)")).otherwise(F.lit(False)).alias("nested"),
             ),
         )
-        elements = F.transform(
-            F.try_variant_get(item, "$", "array<variant>"), lambda x, i: piece(lead(i, "array_sep"), x)
-        )
 
-        def within(inner: Column, start: str, end: str) -> Column:
-            return F.concat(F.array(piece(F.concat(text, mark(start)))), inner, F.array(piece(mark(end))))
+    return let(F.schema_of_variant(value), of_kind)
 
-        return (
-            F.when(kind.startswith("OBJECT"), within(members, "object_open", "object_close"))
-            .when(kind.startswith("ARRAY"), within(elements, "array_open", "array_close"))
-            .otherwise(F.array(one))
-        )
 
-    def closed(one: Column) -> Column:
-        item = one["item"]
-        kind = F.schema_of_variant(item)
-        deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        text = F.when(deep, F.to_json(item)).otherwise(_scalar_text(item, kind))
-        return F.concat(one["text"], F.when(item.isNull(), "").otherwise(text))
+def _text_piece(text: Column) -> Column:
+    return F.struct(
+        text.alias("text"), F.lit(None).cast("variant").alias("item"), F.lit(False).alias("nested")
+    )
+
+
+def _opened(one: Column, printed: Column) -> Column:
+    """Pieces of a container's members, or the piece itself."""
+
+    def mark(name: str) -> Column:
+        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
+
+    def lead(index: Column, sep: str) -> Column:
+        return F.when(index > 0, mark(sep)).otherwise("")
 
-    pieces = F.array(piece(F.lit(""), value))
-    for _ in range(MAX_DEPTH):
-        pieces = F.flatten(F.transform(pieces, opened))
-    return F.array_join(F.transform(pieces, closed), "")
+    def of_object(members: Column) -> Column:
+        return F.transform(
+            F.array_sort(F.map_keys(members)),
+            lambda k, i: _piece(F.concat(lead(i, "object_sep"), k, mark("key_end")), members[k]),
+        )
 
+    def within(inner: Column, start: str, end: str) -> Column:
+        return F.concat(
+            F.array(_text_piece(F.concat(one["text"], mark(start)))), inner, F.array(_text_piece(mark(end)))
+        )
 
-def is_null(value: Column) -> Column:
-    return value.isNull() | F.is_variant_null(value)
+    elements = F.transform(
+        F.try_variant_get(one["item"], "$", "array<variant>"), lambda x, i: _piece(lead(i, "array_sep"), x)
+    )
+    inside = let(
+        F.try_variant_get(one["item"], "$", "map<string,variant>"),
+        lambda m: F.when(m.isNotNull(), within(of_object(m), "object_open", "object_close")).otherwise(
+            within(elements, "array_open", "array_close")
+        ),
+    )
+    return F.when(one["nested"], inside).otherwise(F.array(one))

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from lodeglass.functions.formats import ENTRY_COLUMNS, FORMATS, PLAIN, plain_entry
 from lodeglass.functions.formats.conversion import FORMAT as CONVERSION
+from lodeglass.functions.text import let
 from lodeglass.operators.blocks import BLOCK_ROWS
 from lodeglass.operators.carry import add_carried, carry_stage
 from lodeglass.operators.detect import detect_format
 from lodeglass.sources.staging import stage
 
 
+ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+
+
 def without_empty(lines: DataFrame) -> DataFrame:
     """Drop empty lines; lines of blanks stay."""
     return lines.where(F.col("value") != "")
@@ -39,12 +43,11 @@ def _shape(lines: DataFrame, names: list[str], one: bool = False) -> DataFrame:
     def only_for(name: str, column: Column) -> Column:
         return column if one else F.when(fmt == name, column)
 
-    # One match or parse per line. A generator keeps it that way: filters on entry columns are not pushed below it, where
-    # each use of a token would match the line anew; filters on the raw line are.
-    tokenised = lines
+    # One match or parse per line. The generator passes the tokens on as they are, but filters on entry columns are not
+    # pushed below it, where each use of a token would match the line anew; filters on the raw line are.
+    tokenised = lines.withColumns({token[name]: only_for(name, FORMATS[name].tokens(line)) for name in token})
     if token:
-        row = F.struct(*[only_for(name, FORMATS[name].tokens(line)).alias(token[name]) for name in token])
-        tokenised = lines.select("*", F.inline(F.array(row)))
+        tokenised = tokenised.select(*lines.columns, F.inline(F.array(F.struct(*token.values()))))
     shaped = {name: FORMATS[name].entry_columns(line, F.col(token[name])) for name in token}
     columns = {}
     for column in ENTRY_COLUMNS:
@@ -98,17 +101,17 @@ def parse_logs(lines: DataFrame, formats: DataFrame | None = None, block_rows: i
 
 def event_time(raw_line: Column) -> Column:
     """Date and time a line carries in ISO, access-log or ``2026/03/03 00:38:19`` form; NULL when it has no date."""
-    iso = F.regexp_extract(
-        raw_line, r"(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)\d*(Z|[+-]\d{2}:?\d{2})?", 0
-    )
-    zoned = F.when(iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    iso = F.regexp_extract(raw_line, ISO, 0)
     access = F.regexp_extract(raw_line, r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]", 1)
     slashed = F.regexp_extract(raw_line, r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}", 0)
-    return (
-        F.when(iso != "", F.try_to_timestamp(zoned))
-        .when(access != "", F.try_to_timestamp(access, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
-        .when(
-            slashed != "",
-            F.try_to_timestamp(F.concat(slashed, F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss Z")),
+
+    def parsed(found: Column) -> Column:
+        zoned = F.when(found.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), found).otherwise(F.concat(found, F.lit("Z")))
+        return F.when(found != "", F.try_to_timestamp(zoned)).otherwise(
+            F.coalesce(
+                F.try_to_timestamp(access, F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
+                F.try_to_timestamp(F.concat(slashed, F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss Z")),
+            )
         )
-    )
+
+    return let(iso, parsed)

@@ -94,11 +94,13 @@ def log_detect_sources(t: Tables):
     return detect_format(_lines(t, I.source_line())).select("source_id", "format")
 
 
-@query("SELECT doc_id AS source_id, 'plain' AS format FROM documents WHERE FALSE")
+@query(
+    """SELECT doc_id AS source_id, 'plain' AS format, CAST(0 AS DOUBLE) AS confidence FROM documents
+       WHERE NOT regexp_full_match(text, '\\s*')"""
+)
 def log_detect_documents(t: Tables):
-    """Prose is no log: documents that would be parsed as one."""
-    found = detect_format(split_text(t.documents, "doc_id", "text"))
-    return found.where(F.col("format").isin("klog", "clf", "virtv2v")).select("source_id", "format")
+    """Prose is no log."""
+    return detect_format(split_text(t.documents, "doc_id", "text"))
 
 
 # ---- parsers
