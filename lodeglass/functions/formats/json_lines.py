@@ -12,9 +12,11 @@ from lodeglass.functions.formats.common import entry
 ZAP_KEYS = ("level", "ts", "msg", "logger", "caller", "stacktrace")
 LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
-# Texts that may stand for a container or for a number whose text is not its JSON text, and where a line has one.
-_NEEDS_TYPE = r"^(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
-_AFTER_COLON = r":[ \t\r\n]*(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
+# How containers start, and numbers whose text here is not their JSON text.
+_TYPED = r"(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
+# Where a line has such a member, and where it has a string that looks like one.
+_HAS_TYPED = rf":[ \t\r\n]*{_TYPED}"
+_HAS_LOOKALIKE = rf':[ \t\r\n]*"{_TYPED}'
 
 # Strict JSON: no single quotes, no NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -41,14 +43,21 @@ def tokens(line: Column) -> Column:
     """Texts of the top-level members of the line's JSON object; NULL when it is not exactly one object.
 
     Reading members as strings gives their texts already, except for containers and for numbers that print with a
-    fraction or an exponent. Only lines that may have such members are read again with types.
+    fraction or an exponent. These are typed by how they look; only a line that also has strings looking like them is
+    read again with types.
     """
     body = text.let(text.trim_space(line), strip_stamp)
 
     def read(b: Column) -> Column:
         members = text.let(_members(b, "string"), _unique)
-        typed = F.when(b.rlike(_AFTER_COLON), _unique(_members(b, "variant")))
-        return F.when(b.startswith("{"), text.let(members, lambda m: _texts(m, typed)))
+        variants = F.when(b.rlike(_HAS_LOOKALIKE), _unique(_members(b, "variant")))
+
+        def texts(m: Column) -> Column:
+            return F.when(b.rlike(_HAS_TYPED), text.let(variants, lambda v: _typed_texts(m, v))).otherwise(
+                _string_texts(m)
+            )
+
+        return F.when(b.startswith("{"), text.let(members, texts))
 
     return text.let(body, read)
 
@@ -80,31 +89,31 @@ def _is_known(key: Column, logrus: Column) -> Column:
     return F.when(logrus, key.isin(*LOGRUS_KEYS)).otherwise(key.isin(*ZAP_KEYS))
 
 
-def _texts(members: Column, typed: Column) -> Column:
-    """``typed`` is NULL where no member needs it, and where a key repeated in a nested object keeps it from being read."""
+def _null_text(key: Column, logrus: Column) -> Column:
+    return F.when(_is_known(key, logrus), "").otherwise("<nil>")
 
-    def with_nulls(logrus: Column) -> Column:
-        return F.transform_values(
-            members, lambda k, v: F.coalesce(v, F.when(_is_known(k, logrus), "").otherwise("<nil>"))
-        )
 
-    def by_type(variants: Column, logrus: Column) -> Column:
-        def shown(key: Column, value: Column) -> Column:
-            exact = F.when(value.rlike(_NEEDS_TYPE), values.value_text(value, variants[key], _is_known(key, logrus)))
-            null = F.when(_is_known(key, logrus), "").otherwise("<nil>")
-            return F.coalesce(exact, value, null)
+def _string_texts(members: Column) -> Column:
+    filled = text.let(
+        _is_logrus(members),
+        lambda logrus: F.transform_values(members, lambda k, v: F.coalesce(v, _null_text(k, logrus))),
+    )
+    return F.when(F.exists(F.map_values(members), lambda v: v.isNull()), filled).otherwise(members)
 
-        return F.transform_values(members, shown)
 
-    def read(variants: Column) -> Column:
-        logrus = _is_logrus(members)
-        return (
-            F.when(variants.isNotNull(), text.let(logrus, lambda is_logrus: by_type(variants, is_logrus)))
-            .when(F.exists(F.map_values(members), lambda v: v.isNull()), with_nulls(logrus))
-            .otherwise(members)
+def _typed_texts(members: Column, variants: Column) -> Column:
+    """``variants`` is NULL where looks are enough; a container that cannot be read on its own keeps its JSON text."""
+
+    def shown(key: Column, value: Column, logrus: Column) -> Column:
+        typed = F.when(variants.isNotNull(), variants[key]).otherwise(F.try_parse_json(value))
+        exact = text.let(
+            typed, lambda v: F.when(v.isNotNull(), values.value_text(value, v, _is_known(key, logrus)))
         )
+        return F.coalesce(F.when(value.rlike(f"^{_TYPED}"), exact), value, _null_text(key, logrus))
 
-    return text.let(typed, read)
+    return text.let(
+        _is_logrus(members), lambda logrus: F.transform_values(members, lambda k, v: shown(k, v, logrus))
+    )
 
 
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:

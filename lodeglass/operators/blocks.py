@@ -21,7 +21,8 @@ _BLOCK = "_block"
 
 
 def _with_block(lines: DataFrame, pos: str, block_rows: int) -> DataFrame:
-    return lines.withColumn(_BLOCK, F.floor(F.col(pos) / F.lit(block_rows)))
+    # Whole division: positions may need all 64 bits.
+    return lines.withColumn(_BLOCK, F.expr(f"`{pos}` div {int(block_rows)}"))
 
 
 def carry_last(

@@ -224,3 +224,22 @@ def test_conversion(spark):
 def test_line_class(spark, line, expected):
     row = spark.createDataFrame([(line,)], "value string").select(line_class(F.col("value")).alias("c")).first()
     assert row.c == expected
+
+
+def test_json_strings_that_look_like_other_values(spark):
+    rows = parsed(
+        spark,
+        "json",
+        '{"s":"1234567","n":1234567,"t":"[1, 2]","l":[1, 2],"o":"{}"}',
+        '{"s":"1234567","t":"{\\"a\\": 1}","d":"1.50"}',
+        '{"n": 1.50,"big":123456789012345678901234567890,"neg":-0.00001,"e":1e3,"z":null}',
+        '{"o":{"s":"1.50","n":1.50,"q":"a\\"b"},"ip":"10.0.0.1"}',
+        '{"level":{"a":1.5},"msg":["x",{"b":null}],"logger":12345678}',
+    )
+    assert [r.fields for r in rows[:4]] == [
+        {"s": "1234567", "n": "1.234567e+06", "t": "[1, 2]", "l": "1,2", "o": "{}"},
+        {"s": "1234567", "t": '{"a": 1}', "d": "1.50"},
+        {"n": "1.5", "big": "1.2345678901234568e+29", "neg": "-1e-05", "e": "1000", "z": "<nil>"},
+        {"o": 'n=1.5 q=a"b s=1.50', "ip": "10.0.0.1"},
+    ]
+    assert (rows[4].level, rows[4].message, rows[4].logger) == ("MAP[A:1.5]", "[x map[b:<nil>]]", "1.2345678e+07")

@@ -139,6 +139,17 @@ def test_number_lines(spark, block_rows):
     assert [(r.source_id, r.line_no, r.value) for r in got] == [(s, i + 1, f"{29 - i}") for s in "ab" for i in range(30)]
 
 
+def test_blocks_of_large_positions(spark):
+    """Positions that a double cannot tell apart still fall into the right blocks."""
+    base = (1 << 62) + 5
+    rows = [("s", base + i, "x" if i == 0 else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "source_id string, line_no long, mark string").repartition(3)
+    got = blocks.carry_last(df, {"mark": F.col("mark")}, block_rows=4).orderBy("line_no").collect()
+    assert [r.mark for r in got] == ["x"] * 50
+    last = blocks.last_rows(df, 3, block_rows=2).orderBy("line_no").collect()
+    assert [r.line_no for r in last] == [base + 47, base + 48, base + 49]
+
+
 def test_newest_first_keeps_stages_in_file_order(spark):
     rows = logs.newest_first(parse_logs(lines_of(spark, {"pod": RUN.split("\n")}))).collect()
     assert [r.line_no for r in rows] == list(range(8, 0, -1))
