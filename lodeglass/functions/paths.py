@@ -86,10 +86,13 @@ def _member(ref: Ref, name: str) -> Ref:
         return Ref(column, ref.type[found].dataType)
     if isinstance(ref.type, T.MapType):
         return Ref(_map_member(ref.column, name), ref.type.valueType)
-    members = F.try_variant_get(ref.column, "$", "map<string,variant>")
-    exact = F.try_variant_get(ref.column, f"$[{_quoted(name)}]", "variant")
-    loose = let(members, lambda m: _map_member(m, name))
-    return Ref(_not_json_null(F.coalesce(exact, loose)), T.VariantType())
+
+    def find(obj: Column) -> Column:
+        exact = F.try_variant_get(obj, f"$[{_quoted(name)}]", "variant")
+        members = F.try_variant_get(obj, "$", "map<string,variant>")
+        return F.coalesce(exact, let(members, lambda m: _map_member(m, name)))
+
+    return Ref(_not_json_null(let(ref.column, find)), T.VariantType())
 
 
 def _quoted(key: str) -> str:
@@ -97,7 +100,7 @@ def _quoted(key: str) -> str:
 
 
 def _not_json_null(value: Column) -> Column:
-    return F.when(~F.is_variant_null(value), value)
+    return let(value, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def _map_member(members: Column, name: str) -> Column:
@@ -161,16 +164,26 @@ def _each(ref: Ref, rest: list[str]) -> Ref:
 
 def _variant_hits(value: Column) -> Column:
     """Elements of an array value, the value itself otherwise; NULL when there is none."""
-    members = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(value.isNotNull() & ~F.is_variant_null(value), F.coalesce(members, F.array(value)))
+
+    def hits(one: Column) -> Column:
+        members = F.try_variant_get(one, "$", "array<variant>")
+        return F.when(one.isNotNull() & ~F.is_variant_null(one), F.coalesce(members, F.array(one)))
+
+    return let(value, hits)
 
 
 def _variant_rest(ref: Ref, rest: list[str]) -> Ref:
     """Below a VARIANT an array fans out and an object is entered, whichever it turns out to be."""
-    direct = _walk(ref, rest)
-    if isinstance(direct.type, T.ArrayType):
-        return direct
-    fanned = _each(ref, rest)
-    is_array = F.schema_of_variant(ref.column).startswith("ARRAY")
-    listed = F.to_variant_object(fanned.column)
-    return Ref(F.when(is_array, listed).otherwise(direct.column), T.VariantType())
+    found: list[T.DataType] = []
+
+    def enter(value: Column) -> Column:
+        inner = Ref(value, T.VariantType())
+        direct = _walk(inner, rest)
+        found[:] = [direct.type]
+        if isinstance(direct.type, T.ArrayType):
+            return direct.column
+        listed = F.to_variant_object(_each(inner, rest).column)
+        return F.when(F.schema_of_variant(value).startswith("ARRAY"), listed).otherwise(direct.column)
+
+    column = let(ref.column, enter)
+    return Ref(column, found[0])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeglass.functions.ordering import display_key
+from lodeglass.functions.text import last_wins_map, let
 
 CELLS = "_columns"
 HOISTED = ("name", "namespace")
@@ -27,6 +28,13 @@ def shape_rows(table: DataFrame, headers: Sequence[str], object_col: str = "obje
     shown = F.least(F.size(cells), F.lit(len(headers)))
     names = F.slice(F.array(*[F.lit(h) for h in headers]), F.lit(1), shown)
 
+    values = F.slice(cells, F.lit(1), shown)
+    if len(set(headers)) == len(headers):
+        named = F.map_from_arrays(names, values)
+    else:
+        pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+        named = let(pairs, last_wins_map)
+
     def hoist(name: str) -> Column:
         value = obj["metadata"][name]
         return F.coalesce(value, obj[name]) if name in kind.names else value
@@ -34,7 +42,7 @@ def shape_rows(table: DataFrame, headers: Sequence[str], object_col: str = "obje
     return table.select(
         *[obj[n].alias(n) for n in kind.names if n not in hoisted],
         *[hoist(n).alias(n) for n in hoisted],
-        F.when(cells.isNotNull(), F.map_from_arrays(names, F.slice(cells, F.lit(1), shown))).alias(CELLS),
+        F.when(cells.isNotNull(), named).alias(CELLS),
     )
 
 

@@ -241,8 +241,8 @@ _ENTRY_TIME = f"CASE user_id % 6 WHEN 4 THEN {_V_TIME} WHEN 5 THEN '' ELSE {_CLO
 _ENTRY_TEXT = f"""CASE user_id % 6 WHEN 3 THEN 'GET /' || event_type || '/' || event_id || ' HTTP/1.1' WHEN 4 THEN {_V_TEXT}
                        WHEN 5 THEN '' ELSE {_SAID} END"""
 _ENTRIES = f"""SELECT user_id, event_id, ts, event_type, {_FORMAT} AS format, {_ENTRY_LEVEL} AS level, {_ENTRY_TIME} AS timestamp,
-                      {_ENTRY_TEXT} AS message, user_id % 6 <> 5 AS parsed,
-                      CASE WHEN user_id % 6 = 4 THEN {_STAGE} END AS stage FROM events {_PAST}"""
+                      {_ENTRY_TEXT} AS message, {_FORMAT} <> 'plain' AS parsed,
+                      CASE WHEN {_FORMAT} = 'virtv2v' THEN {_STAGE} END AS stage FROM events {_PAST}"""
 
 
 def _entries(t: Tables):
@@ -266,13 +266,16 @@ def log_errors_top(t: Tables):
     return newest.select("source_id", "line_no", "format", "timestamp", "message")
 
 
-@query(f"SELECT {_ROW} FROM events WHERE event_type = 'error' AND user_id % 6 <> 4")
+_BY_FORMAT = f"(SELECT *, {_FORMAT} AS format FROM events)"
+
+
+@query(f"SELECT {_ROW} FROM {_BY_FORMAT} WHERE event_type = 'error' AND format <> 'virtv2v'")
 def log_fulltext(t: Tables):
     hits = _lines(t, I.source_line()).where(F.col("value").rlike("(?i)did ERROR|/error/"))
     return hits.select("source_id", "line_no")
 
 
-@query(f"SELECT {_ROW}, CAST(event_id AS VARCHAR) AS event FROM events WHERE user_id % 6 = 2")
+@query(f"SELECT {_ROW}, CAST(event_id AS VARCHAR) AS event FROM {_BY_FORMAT} WHERE format = 'logfmt'")
 def log_field_exists(t: Tables):
     entries = _entries(t)
     return entries.where((F.col("format") == "logfmt") & _field("event").isNotNull()).select(
@@ -305,7 +308,7 @@ def log_compact(t: Tables):
 
 @query(
     f"""SELECT user_id AS source_id, {_FORMAT} AS format, count(*) AS lines,
-               CASE WHEN user_id % 6 <> 5 THEN '# format: ' || {_FORMAT} || ', lines: ' || count(*) END AS header
+               CASE WHEN {_FORMAT} <> 'plain' THEN '# format: ' || {_FORMAT} || ', lines: ' || count(*) END AS header
         FROM events GROUP BY user_id"""
 )
 def log_header(t: Tables):

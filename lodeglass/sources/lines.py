@@ -26,6 +26,24 @@ def read_lines(spark: SparkSession, path: str, source: Column | None = None) ->
     return _ordered(text, source)
 
 
+def container_logs(
+    spark: SparkSession,
+    root: str,
+    namespace: str = "*",
+    pod: str = "*",
+    container: str = "*",
+    previous: bool = False,
+) -> DataFrame:
+    """Lines of containers' current or previous instances, kept as ``root/namespace/pod/container/current.log``.
+
+    A source is ``namespace/pod/container``, and an instance is one file. Given names read only their folders.
+    """
+    instance = "previous" if previous else "current"
+    folders = F.split(F.col("_metadata.file_path"), "/")
+    source = F.array_join(F.slice(folders, -4, 3), "/")
+    return read_lines(spark, f"{root}/{namespace}/{pod}/{container}/{instance}.log", source)
+
+
 def _ordered(text: DataFrame, source: Column) -> DataFrame:
     unit = F.shiftright(F.col("_metadata.file_block_start"), _UNIT_BITS)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))

@@ -80,16 +80,20 @@ def value_of(text):
     return None if text is None else json.loads(text).get("v")
 
 
-@pytest.mark.parametrize("text", PATHS)
-def test_typed_paths(typed, text):
-    rows = typed.select("id", as_json(path(typed, text)).alias("v")).orderBy("id").collect()
-    assert [value_of(r.v) for r in rows] == PATHS[text]
+def collected(df, columns):
+    """Values of many columns by row id, from one job."""
+    rows = df.select("id", *[as_json(c).alias(f"v{i}") for i, c in enumerate(columns)]).orderBy("id").collect()
+    return [[value_of(r[i + 1]) for r in rows] for i in range(len(columns))]
+
+
+def test_typed_paths(typed):
+    got = collected(typed, [path(typed, text) for text in PATHS])
+    assert dict(zip(PATHS, got)) == PATHS
 
 
 @pytest.mark.parametrize("text", [t for t in PATHS if not t.startswith("{{")])
 def test_variant_paths(dynamic, text):
-    rows = dynamic.select("id", as_json(path(dynamic, "o." + text)).alias("v")).orderBy("id").collect()
-    assert [value_of(r.v) for r in rows] == PATHS[text]
+    assert collected(dynamic, [path(dynamic, "o." + text)]) == [PATHS[text]]
 
 
 def test_match_name():
@@ -111,14 +115,13 @@ REDUCED = {
 }
 
 
-@pytest.mark.parametrize("text, reducer", REDUCED)
-def test_reducers(typed, dynamic, text, reducer):
-    for df, prefix in ((typed, ""), (dynamic, "o.")):
-        column = R.reduce_value(resolve(df, prefix + text), reducer).column
-        rows = df.select("id", as_json(column).alias("v")).orderBy("id").collect()
-        assert [value_of(r.v) for r in rows] == REDUCED[text, reducer]
+@pytest.mark.parametrize("form", ["typed", "dynamic"])
+def test_reducers(request, form):
+    df, prefix = request.getfixturevalue(form), "" if form == "typed" else "o."
+    for (text, reducer), wanted in REDUCED.items():
+        assert collected(df, [R.reduce_value(resolve(df, prefix + text), reducer).column]) == [wanted]
     with pytest.raises(ValueError):
-        R.reduce_value(resolve(typed, text), "median")
+        R.reduce_value(resolve(df, prefix + "items"), "median")
 
 
 def test_reducers_match_model(spark):

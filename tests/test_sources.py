@@ -12,7 +12,7 @@ from lodeglass.operators.compact import compact_line
 from lodeglass.operators.detect import detect_format
 from lodeglass.operators.entries import parse_logs
 from lodeglass.sources import sinks, snapshots
-from lodeglass.sources.lines import read_lines
+from lodeglass.sources.lines import container_logs, read_lines
 from lodeglass.sources.staging import stage
 from lodeglass.streaming.entries import stream_entries
 
@@ -38,6 +38,18 @@ def test_lines_keep_order_across_splits(spark, tmp_path):
         assert got == list(enumerate(values, 1))
 
 
+def test_container_logs(spark, tmp_path):
+    for pod in ("a", "b"):
+        folder = tmp_path / "n" / pod / "app"
+        folder.mkdir(parents=True)
+        (folder / "current.log").write_text(f"{pod} now\n")
+        (folder / "previous.log").write_text(f"{pod} before\n")
+    now = container_logs(spark, str(tmp_path)).collect()
+    assert sorted((r.source_id, r.value) for r in now) == [("n/a/app", "a now"), ("n/b/app", "b now")]
+    before = container_logs(spark, str(tmp_path), pod="b", previous=True).collect()
+    assert [(r.source_id, r.value) for r in before] == [("n/b/app", "b before")]
+
+
 def test_tiny_splits_are_refused(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
