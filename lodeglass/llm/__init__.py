@@ -1,9 +1,9 @@
 """Operations of a training-data pipeline over texts, one module each; nothing else in the library imports them."""
 
-from lodeglass.llm import op10_quality
+from lodeglass.llm import op1_secrets, op2_urls, op4_chat, op10_quality
 
 QUERIES = {
     name: query
-    for module in (op10_quality,)
+    for module in (op1_secrets, op2_urls, op4_chat, op10_quality)
     for name, query in module.QUERIES.items()
 }
