@@ -1,9 +1,16 @@
 """Operations of a training-data pipeline over texts, one module each; nothing else in the library imports them."""
 
-from lodeglass.llm import op1_secrets, op2_urls, op4_chat, op10_quality
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions go to the executors whole, so the package need not be installed there.
+register_pickle_by_value(sys.modules[__name__])
+
+from lodeglass.llm import op1_secrets, op2_urls, op4_chat, op7_substrings, op10_quality  # noqa: E402
 
 QUERIES = {
     name: query
-    for module in (op1_secrets, op2_urls, op4_chat, op10_quality)
+    for module in (op1_secrets, op2_urls, op4_chat, op7_substrings, op10_quality)
     for name, query in module.QUERIES.items()
 }
