@@ -7,10 +7,18 @@ from pyspark.cloudpickle import register_pickle_by_value
 # Functions go to the executors whole, so the package need not be installed there.
 register_pickle_by_value(sys.modules[__name__])
 
-from lodeglass.llm import op1_secrets, op2_urls, op4_chat, op7_substrings, op10_quality  # noqa: E402
+from lodeglass.llm import (  # noqa: E402
+    op1_secrets,
+    op2_urls,
+    op4_chat,
+    op5_token_files,
+    op7_substrings,
+    op9_packing,
+    op10_quality,
+)
 
 QUERIES = {
     name: query
-    for module in (op1_secrets, op2_urls, op4_chat, op7_substrings, op10_quality)
+    for module in (op1_secrets, op2_urls, op4_chat, op5_token_files, op7_substrings, op9_packing, op10_quality)
     for name, query in module.QUERIES.items()
 }

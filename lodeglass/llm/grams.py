@@ -19,8 +19,9 @@ _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _CODES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, dtype=_U)
 _FOLDED = _CODES.copy()
 _FOLDED[65:91] = _CODES[97:123]
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[32, *range(9, 14)]] = False
+#: Whether a byte is white space between words.
+_GAPS = np.zeros(256, bool)
+_GAPS[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,9 +55,12 @@ class Words:
     """The words of a batch: ``data`` (bytes), ``bounds`` (byte offsets of texts), and per word ``start``, ``end``, ``doc``
     and ``hash``; ``first`` has the number of words before each text."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, folded: bool = False):
+    def __init__(
+        self, data: np.ndarray, bounds: np.ndarray, folded: bool = False, gaps: np.ndarray = _GAPS, cuts: np.ndarray | None = None
+    ):
+        """``folded``: hashes take A-Z for a-z. ``gaps`` tells bytes between words; ``cuts`` are bytes where a new word begins."""
         self.data, self.bounds = data, bounds
-        inside = _IS_WORD[data]
+        inside = ~gaps[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
@@ -64,6 +68,9 @@ class Words:
         first[edges] = inside[edges]
         edges = bounds[1:][bounds[:-1] < bounds[1:]] - 1
         last[edges] = inside[edges]
+        if cuts is not None:
+            first[cuts] = True
+            last[cuts - 1] = True
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, bounds)
