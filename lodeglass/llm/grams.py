@@ -96,8 +96,10 @@ class Words:
         return at, mix((sums[at + length] - sums[at]) * _power(_WORD_BASE, n)[1][at] + _U(length))
 
 
-def batches(rows: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Record batches cut to about ``BATCH_BYTES`` of text, with the bytes and offsets of the texts; null is empty."""
+def batches(
+    rows: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Record batches cut to about ``size`` bytes of text, with the bytes and offsets of the texts; null is empty."""
     for batch in rows:
         texts = batch.column(text).cast(pa.large_binary()).fill_null(b"")
         _, offsets, data = texts.buffers()
@@ -105,7 +107,7 @@ def batches(rows: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tupl
         data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
         low = 0
         while low < len(batch):
-            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + BATCH_BYTES, "right")) - 1)
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + size, "right")) - 1)
             high = min(high, len(batch))
             own = bounds[low : high + 1]
             yield batch.slice(low, high - low), data[own[0] : own[-1]], own - own[0]

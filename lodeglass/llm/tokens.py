@@ -13,7 +13,9 @@ import pyarrow as pa
 from lodeglass.llm import grams
 
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 2 << 20
 _ALNUM, _MARK, _GAP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _MARK[list(b".,;:!?")] = True
@@ -125,5 +127,5 @@ def encoded(
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches with the ids of all their texts and where each text's begin, null being empty."""
     encoder = _encoder(path, end)
-    for batch, data, bounds in grams.batches(rows, text):
+    for batch, data, bounds in grams.batches(rows, text, AT_ONCE):
         yield batch, *encoder.encode(data, bounds)
