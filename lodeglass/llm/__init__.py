@@ -10,8 +10,10 @@ register_pickle_by_value(sys.modules[__name__])
 from lodeglass.llm import (  # noqa: E402
     op1_secrets,
     op2_urls,
+    op3_lines,
     op4_chat,
     op5_token_files,
+    op6_decontamination,
     op7_substrings,
     op9_packing,
     op10_quality,
@@ -19,6 +21,9 @@ from lodeglass.llm import (  # noqa: E402
 
 QUERIES = {
     name: query
-    for module in (op1_secrets, op2_urls, op4_chat, op5_token_files, op7_substrings, op9_packing, op10_quality)
+    for module in (
+        op1_secrets, op2_urls, op3_lines, op4_chat, op5_token_files, op6_decontamination, op7_substrings, op9_packing,
+        op10_quality,
+    )
     for name, query in module.QUERIES.items()
-}
+}
