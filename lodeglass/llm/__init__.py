@@ -15,6 +15,7 @@ from lodeglass.llm import (  # noqa: E402
     op5_token_files,
     op6_decontamination,
     op7_substrings,
+    op8_jaccard,
     op9_packing,
     op10_quality,
 )
@@ -22,8 +23,8 @@ from lodeglass.llm import (  # noqa: E402
 QUERIES = {
     name: query
     for module in (
-        op1_secrets, op2_urls, op3_lines, op4_chat, op5_token_files, op6_decontamination, op7_substrings, op9_packing,
-        op10_quality,
+        op1_secrets, op2_urls, op3_lines, op4_chat, op5_token_files, op6_decontamination, op7_substrings, op8_jaccard,
+        op9_packing, op10_quality,
     )
     for name, query in module.QUERIES.items()
 }
