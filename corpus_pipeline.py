@@ -6,18 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm.common import stage, table
+from lodeglass.llm.op3_lines import dedup_lines
+from lodeglass.llm.op6_decontamination import decontaminate
+from lodeglass.llm.op8_jaccard import keep_one
+from lodeglass.llm.op9_packing import pack_documents
 from lodeglass.llm.op10_quality import judge_quality
 
 
+def _with_text(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumns({"text": F.col(text), "n_chars": F.length(text).cast("long")})
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass, with the text that the line rules leave."""
-    clean = F.col("quality.clean")
-    return (
-        judge_quality(docs).where("quality.kept").withColumns({"text": clean, "n_chars": F.length(clean).cast("long")})
-    ).drop("quality")
+    return _with_text(judge_quality(docs).where("quality.kept"), "quality.clean").drop("quality")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without later repeated runs of lines; those whose every line is a repeat go."""
+    out = dedup_lines(docs).where("lines.n_removed < lines.n_lines or lines.n_lines = 0")
+    changed = F.when(F.col("lines.n_removed") > 0, F.col("lines.kept")).otherwise(F.col("text"))
+    return _with_text(out.withColumn("lines", changed), "lines").drop("lines")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the least id."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold too little of the benchmark to be contaminated."""
+    out = decontaminate(docs, table(spark, folder, "benchmark"))
+    return out.where("not benchmark.contaminated").drop("benchmark")
+
+
+def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of the documents' token ids, each with its sequence and place."""
+    return pack_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
 #: Packing has no SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None

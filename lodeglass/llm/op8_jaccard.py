@@ -242,20 +242,15 @@ def _close_in_size(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a, b) > 0)
 
 
-def link_documents(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """``id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every row.
-
-    Words lie between white space, A-Z in lower case. A text with fewer than ``shingle`` words is one shingle; null and
-    blank texts have none and are linked with nothing. Texts are told apart by a 64-bit hash. ``id`` is a whole number;
-    a row without one can link others, but a component of such rows alone has no id. Rows with equal ids are separate
-    rows. Other columns are left out.
-    """
-    keyed = docs.select(
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(
         F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
+
+
+def _grouped(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``id``, ``key``, ``size`` and ``group`` of every row; rows without shingles have no group."""
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sizes, bands, common = _measured(keyed, shingle)
     n_ranges = max(MIN_RANGES, -(-size // RANGE_BYTES))
@@ -285,8 +280,20 @@ def link_documents(
         roots = components(links.union(more))
 
     whole = sizes.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    group = F.when(F.col("size") > 0, F.coalesce("root", "key"))
-    whole = whole.select("id", "size", group.alias("group"))
+    return whole.select("id", "key", "size", F.when(F.col("size") > 0, F.coalesce("root", "key")).alias("group"))
+
+
+def link_documents(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """``id``, ``n_shingles`` and ``component_id`` (the least id that links reach) of every row.
+
+    Words lie between white space, A-Z in lower case. A text with fewer than ``shingle`` words is one shingle; null and
+    blank texts have none and are linked with nothing. Texts are told apart by a 64-bit hash. ``id`` is a whole number;
+    a row without one can link others, but a component of such rows alone has no id. Rows with equal ids are separate
+    rows. Other columns are left out.
+    """
+    whole = _grouped(_keyed(docs, id, text), shingle, percent)
     least = whole.where("group is not null").groupBy("group").agg(F.min("id").alias("least"))
     component = F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least"))
     return whole.join(least, "group", "left").select(
@@ -294,6 +301,26 @@ def link_documents(
     )
 
 
+def keep_one(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """Rows of ``docs`` without near duplicates: of linked ones the row with the least id stays, a missing id being after
+    all others; of rows alike in id and text one stays. Rows without shingles all stay."""
+    whole = stage(_grouped(_keyed(docs, id, text), shingle, percent))
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    kept = whole.where("group is not null").groupBy("group").agg(F.min(order).alias("o"))
+    kept = kept.select(F.col("o.id").alias("kept_id"), F.col("o.key").alias("kept_key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(
+        row, F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+    )
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    full = rows.where(~blank).drop("text").join(kept, same, "left_semi").dropDuplicates(["id", "key"])
+    return full.select("row.*").unionByName(rows.where(blank).select("row.*"))
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(table(spark, folder, "documents"))
 
