@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm.common import stage, table
@@ -13,20 +13,23 @@ from lodeglass.llm.op9_packing import pack_documents
 from lodeglass.llm.op10_quality import judge_quality
 
 
-def _with_text(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({"text": F.col(text), "n_chars": F.length(text).cast("long")})
+#: Where operators put what they find; no column of documents has this name.
+_FOUND = "_found"
+
+
+def _with_text(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop(_FOUND)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass, with the text that the line rules leave."""
-    return _with_text(judge_quality(docs).where("quality.kept"), "quality.clean").drop("quality")
+    return _with_text(judge_quality(docs, into=_FOUND).where(f"{_FOUND}.kept"), F.col(f"{_FOUND}.clean"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without later repeated runs of lines; those whose every line is a repeat go."""
-    out = dedup_lines(docs).where("lines.n_removed < lines.n_lines or lines.n_lines = 0")
-    changed = F.when(F.col("lines.n_removed") > 0, F.col("lines.kept")).otherwise(F.col("text"))
-    return _with_text(out.withColumn("lines", changed), "lines").drop("lines")
+    out = dedup_lines(docs, into=_FOUND).where(f"{_FOUND}.n_removed < {_FOUND}.n_lines or {_FOUND}.n_lines = 0")
+    return _with_text(out, F.when(F.col(f"{_FOUND}.n_removed") > 0, F.col(f"{_FOUND}.kept")).otherwise(F.col("text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -36,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold too little of the benchmark to be contaminated."""
-    out = decontaminate(docs, table(spark, folder, "benchmark"))
-    return out.where("not benchmark.contaminated").drop("benchmark")
+    out = decontaminate(docs, table(spark, folder, "benchmark"), into=_FOUND)
+    return out.where(f"not {_FOUND}.contaminated").drop(_FOUND)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -50,6 +50,11 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(row)))
 
 
+def others(df: DataFrame, *names: str) -> Column:
+    """All columns of ``df`` but ``names`` in one struct, ``row``, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names]).alias("row")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, below the warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import BREAKS, Query, pin, table, words
+from lodeglass.llm.common import BREAKS, Query, others, pin, table, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -86,10 +86,12 @@ def pairs_none() -> Column:
     return F.array().cast("array<struct<h:bigint,i:int>>")
 
 
-def judge_quality(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> DataFrame:
-    """``docs`` with ``quality``: measures, verdict and the cleaned text.
+def judge_quality(
+    docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST, into: str = "quality"
+) -> DataFrame:
+    """``docs`` with ``into``: measures, verdict and the cleaned text.
 
-    ``quality`` is a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
+    ``into`` (which replaces a column of that name) is a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
     line_chars, kept and clean. ``clean`` is the text without failing lines; lines without words stay. A document is
     kept if it passes the base rules and loses at most ``max_lost`` percent of the characters in its lines.
 
@@ -97,7 +99,7 @@ def judge_quality(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST)
     judged by itself; columns of any name pass through.
     """
     t = F.col("_text")
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    df = docs.select(others(docs, into), F.col(text).alias("_text"))
     df = _repeated(pin(df, _words=words(t)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = pin(df, _lines=F.coalesce(lines, F.array().cast("array<string>")))
@@ -119,7 +121,7 @@ def judge_quality(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST)
     )
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeated") > MAX_REPEATED * F.col("_n"))
     return df.select(
-        "_row.*",
+        "row.*",
         F.struct(
             F.col("_n").alias("n_words"),
             F.length("_dense").cast("long").alias("word_chars"),
@@ -131,7 +133,7 @@ def judge_quality(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST)
             F.col("_all").alias("line_chars"),
             (~failed & (100 * F.col("_lost") <= max_lost * F.col("_all"))).alias("kept"),
             F.array_join(good, "\n").alias("clean"),
-        ).alias("quality"),
+        ).alias(into),
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import Query, pin, stage, table
+from lodeglass.llm.common import Query, others, pin, stage, table
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 3
@@ -25,8 +25,10 @@ def _least(run: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_h") - run), rank))
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """``docs`` with ``lines``: n_lines (with words), n_removed and kept, the text without later repeated runs.
+def dedup_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, into: str = "lines"
+) -> DataFrame:
+    """``docs`` with ``into`` (which replaces a column of that name): n_lines (with words), n_removed and kept, the text without later repeated runs.
 
     Lines are parted by line feeds and compared whole; those without words are neither compared nor counted, and go
     with the line before them. Places are in order of ``id``, then line; a missing id is after all others. A run is
@@ -35,8 +37,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
     name pass through.
     """
     i, t = F.col(f"`{id}`"), F.col(f"`{text}`")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, F.struct(i.isNull().alias("last"), i.alias("id")).alias("_id"), t.alias("_text"))
+    rows = docs.select(others(docs, into), F.struct(i.isNull().alias("last"), i.alias("id")).alias("_id"), t.alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     numbered = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(x.alias("line"), k.alias("k")))
     worded = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
@@ -83,12 +84,12 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", run: in
     out = pin(out, _kept=kept, _worded=F.coalesce(F.size(has_words(F.col("_lines"))), F.lit(0)).cast("long"))
     n_kept = F.when(F.col("_gone").isNull(), F.col("_worded")).otherwise(F.size(has_words(F.col("_kept"))).cast("long"))
     return out.select(
-        "_row.*",
+        "row.*",
         F.struct(
             F.when(F.col("_text").isNull(), 0).otherwise(F.col("_worded")).cast("long").alias("n_lines"),
             F.when(F.col("_text").isNull(), 0).otherwise(F.col("_worded") - n_kept).cast("long").alias("n_removed"),
             F.array_join("_kept", "\n").alias("kept"),
-        ).alias("lines"),
+        ).alias(into),
     )
 
 

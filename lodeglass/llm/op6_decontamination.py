@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import Query, fold, pin, stage, table
+from lodeglass.llm.common import Query, fold, others, pin, stage, table
 
 #: Words of a window.
 WINDOW = 13
@@ -75,8 +75,9 @@ def _listed(windows: DataFrame, worded: DataFrame, limit: int) -> DataFrame:
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: int = SHARE, broadcast_bytes: int = BROADCAST_BYTES, columns: list[str] | None = None,
+    into: str = "benchmark",
 ) -> DataFrame:
-    """``docs`` with ``benchmark``: n_words, n_hit, items (ids as texts, sorted as texts) and contaminated.
+    """``docs`` with ``into`` (which replaces a column of that name): n_words, n_hit, items (ids as texts, sorted as texts) and contaminated.
 
     ``columns``: those of ``docs`` that are wanted (all); they go through one shuffle, so leave out long ones.
 
@@ -84,7 +85,7 @@ def decontaminate(
     in ``share``. Null and empty texts have no words. Equal rows are judged each by itself. An empty benchmark hits
     nothing. Columns of any name pass through.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row")
+    row = others(docs.select(*[f"`{c}`" for c in columns]) if columns else docs, into)
     keyed = docs.select(row, F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("key"))
     keyed = pin(keyed, words=F.concat(F.array(F.lit("")), letter_words(F.col("text")))).drop("text")
     worded = pin(docs.select(F.col(f"`{text}`").alias("text")), words=letter_words(F.col("text"))).select("words")
@@ -125,7 +126,7 @@ def decontaminate(
     )
     judged = pin(found, n_hit=covered)
     dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return judged.select("row.*", F.struct("n_words", "n_hit", "items", dirty.alias("contaminated")).alias("benchmark"))
+    return judged.select("row.*", F.struct("n_words", "n_hit", "items", dirty.alias("contaminated")).alias(into))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 Documents are sets of word shingles. Two sets of Jaccard similarity t share at least t of the larger one. So
 
-* small (light) sets name all their subsets of that size: two linked light sets name a subset in common;
+* a set with too many shingles that no other text has is linked with none, and most documents end there;
+* small (light) sets name all their subsets of the least shared size: two linked light sets name one in common;
 * large (heavy) sets, and light ones large enough to be linked with a heavy one, are listed under the first tokens of a
-  global order, as many as a linked set cannot all miss. Shingles that many documents have are last in the order,
-  so lists under passages that many documents share are hardly ever scanned.
+  global order, as many as a linked set cannot all miss.
 
-The boundary between them is where the costs counted over the corpus's sizes are least. Sets in one list are candidates.
-Copies of a text are one member. In each list every member is first compared with one centre; linked sets form
-components, and only lists whose members are still in several components are compared further, across those. Each
+The boundary between light and heavy is where the costs counted over the sizes are least. Sets in one list are
+candidates. Copies of a text are one member. In each list every member is first compared with one centre; linked sets
+form components, and only lists whose members are still in several components are compared further, across those. Each
 candidate is verified on the texts. So a group of n near copies costs about n comparisons, not n squared, and no two
 linked texts end up in different components.
 """
@@ -26,17 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import grams
-from lodeglass.llm.common import Query, stage, table
+from lodeglass.llm.common import Query, others, stage, table
 from lodeglass.llm.components import components
 
 #: Words of a shingle, and least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: A shingle is common when one in so many documents has it: at most this many times the mean set size are.
-COMMON = 200
 #: Sets above this size are heavy whatever the costs; their subsets could not be counted out.
 MAX_LIGHT = 14
 #: Cost of scanning one list entry, with the verification it may bring, in subsets named.
 SCAN = 4
+#: Stands for a missing id: after all others.
+_LAST = 2**63 - 1
 #: Bytes of text for each hash range, and ranges at least.
 RANGE_BYTES, MIN_RANGES = 64 << 20, 32
 
@@ -85,65 +85,112 @@ def light_boundary(sizes: dict[int, int], percent: int = PERCENT, scan: int = SC
     return min(range(most + 1), key=cost)
 
 
-def _measured(keyed: DataFrame, shingle: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:
-    """Set size of every row; sets of each small size; and the common shingles.
+def _packed(range_of: np.ndarray, owner: np.ndarray, tokens: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows of a hash range: its tokens by owner, how many each owner has, and the owners' ``columns``."""
+    order = np.lexsort((owner, range_of))
+    range_of, owner, tokens = range_of[order], owner[order], tokens[order].astype(np.uint32)
+    docs, ranges = grams.runs(range_of, owner), grams.runs(range_of)
+    of_docs = np.searchsorted(docs[:-1], ranges)
+    who = owner[docs[:-1]]
+    parts = {
+        "range": pa.array(range_of[ranges[:-1]].astype(np.int32)),
+        "tokens": grams.cut(tokens, ranges),
+        "counts": grams.cut(np.diff(docs).astype(np.uint32), of_docs),
+    }
+    return pa.RecordBatch.from_pydict(parts | {k: grams.cut(v[who], of_docs) for k, v in columns.items()})
 
-    A task sends the shingles that at least two of its documents have, with their number. A shingle that one document
-    in ``COMMON`` has is met that often in nearly every task; one that is missed costs time alone, since any order of
-    tokens finds all links. There are at most ``COMMON`` times the mean set size of them.
+
+def _range_of(tokens: np.ndarray, n_ranges: int) -> np.ndarray:
+    return (tokens >> np.uint64(32)) % np.uint64(n_ranges)
+
+
+def _measured(keyed: DataFrame, shingle: int, n_ranges: int) -> DataFrame:
+    """``id``, ``key`` and ``size`` of every row, and rows of ``key`` and ``alone``, the shingles that no other text has,
+    for each hash range.
+
+    A task sends a shingle that several of its texts have once, for no text; so a shingle that a third of all documents
+    have costs one entry per task. Shingles are told apart by 32 bits and their range; two that are not only seem less
+    alone.
     """
 
-    def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in grams.batches(rows):
             doc, hashes = _sets(data, bounds, shingle)
+            id, key = (batch.column(c).fill_null(_LAST).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             sizes = np.bincount(doc, minlength=len(batch))
-            found, counts = np.unique(hashes, return_counts=True)
-            often = counts > 1
-            total = len(batch) + int(often.sum())
-            blank = lambda n, kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch.column("id"), blank(total - len(batch), pa.int64())]),
-                    pa.concat_arrays([batch.column("key"), blank(total - len(batch), pa.int64())]),
-                    pa.concat_arrays([pa.array(sizes), blank(total - len(batch), pa.int64())]),
-                    pa.concat_arrays([blank(len(batch), pa.int64()), pa.array(found[often].view(np.int64))]),
-                    pa.concat_arrays([blank(len(batch), pa.int64()), pa.array(counts[often])]),
-                ],
-                ["id", "key", "size", "hash", "n"],
+            copies = np.ones(len(batch), bool)
+            copies[np.unique(key, return_index=True)[1]] = False
+            owner, tokens = doc[~copies[doc]], hashes[~copies[doc]]
+            order = np.argsort(tokens, kind="stable")
+            owner, tokens = owner[order], tokens[order]
+            at = grams.runs(tokens)
+            first, shared = at[:-1], np.diff(at) > 1
+            owner, tokens = np.where(shared, len(batch), owner[first]), tokens[first]
+            if len(tokens):
+                out = _packed(_range_of(tokens, n_ranges), owner, tokens, keys=np.append(key, 0), owned=np.append(np.ones(len(batch), np.int8), np.int8(0)))
+                yield pa.RecordBatch.from_pydict(
+                    dict(zip(out.schema.names, out.columns, strict=True)) | {k: pa.nulls(len(out), pa.binary()) for k in ("ids", "sizes")}
+                )
+            whole = np.array([0, len(batch)])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "range": pa.array([int(key[0]) % n_ranges], pa.int32()),
+                    **{k: pa.nulls(1, pa.binary()) for k in ("tokens", "counts")},
+                    "keys": grams.cut(key, whole),
+                    "owned": pa.nulls(1, pa.binary()),
+                    "ids": grams.cut(id, whole),
+                    "sizes": grams.cut(sizes, whole),
+                }
             )
 
-    made = stage(keyed.mapInArrow(measure, "id long, key long, size long, hash long, n long"))
-    sizes = made.where("size is not null").select("id", "key", "size")
-    bands = sizes.groupBy(F.least("size", F.lit(MAX_LIGHT * 2)).alias("size")).count().collect()
-    total = sum(r["count"] for r in bands)
-    common = made.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n")).where(f"n * {COMMON} >= {total} and n > 2")
-    order = {r["hash"] % 2**64: r["n"] for r in common.collect()}
-    return sizes, {r["size"]: r["count"] for r in bands if r["size"]}, order
+    def alone(rows: pa.Table) -> pa.Table:
+        done = rows.filter(rows.column("tokens").is_null())
+        rows = rows.filter(rows.column("tokens").is_valid())
+        counts = grams.joined(rows.column("counts"), np.uint32)
+        spread = lambda name, kind: np.repeat(grams.joined(rows.column(name), kind), counts)
+        tokens, keys, owned = grams.joined(rows.column("tokens"), np.uint32), spread("keys", np.int64), spread("owned", np.int8)
+        order = np.lexsort((keys, tokens))
+        tokens, keys, owned = tokens[order], keys[order], owned[order]
+        at = grams.runs(tokens)
+        if len(tokens):
+            first, last = at[:-1], at[1:] - 1
+            single = (keys[first] == keys[last]) & (np.minimum.reduceat(owned, first) == 1)
+            keys, counts = np.unique(keys[first][single], return_counts=True)
+        else:
+            counts = np.empty(0, np.int64)
+        ids, own = grams.joined(done.column("ids"), np.int64), grams.joined(done.column("keys"), np.int64)
+        sizes = grams.joined(done.column("sizes"), np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.table(
+            {
+                "id": pa.concat_arrays([pa.array(ids), none(len(keys))]),
+                "key": pa.array(np.append(own, keys)),
+                "size": pa.concat_arrays([pa.array(sizes), none(len(keys))]),
+                "alone": pa.concat_arrays([none(len(own)), pa.array(counts)]),
+            }
+        )
+
+    schema = "range int, tokens binary, counts binary, keys binary, owned binary, ids binary, sizes binary"
+    packed = keyed.mapInArrow(shingles, schema)
+    return packed.groupBy("range").applyInArrow(alone, "id long, key long, size long, alone long")
 
 
-def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, common: dict[int, int], n_ranges: int) -> DataFrame:
+def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges: int) -> DataFrame:
     """Members of every list that holds at least two texts: list, members, centre, and both sizes.
 
-    Lists with the same members are one list, and are told by the members' hash.
+    Lists with the same members are one list for each hash range, told by the members' hash, with the number of tokens
+    that have it.
     """
     heavy_from = _needed(light + 1, percent)
-    often = np.array(sorted(common), np.uint64)
-    rank = np.array([common[h] for h in sorted(common)], np.int64)
-
     def lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in grams.batches(rows):
             doc, hashes = _sets(data, bounds, shingle)
             sizes = np.bincount(doc, minlength=len(batch))
-            last = np.zeros(len(hashes), np.int64)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-                last = np.where(often[at] == hashes, rank[at], 0)
-            order = np.lexsort((hashes, last, doc))
             begin = np.cumsum(sizes) - sizes
             place = np.arange(len(doc)) - begin[doc]
             prefix = sizes - _needed(sizes, percent) + 1
             chosen = (place < prefix[doc]) & (sizes[doc] >= heavy_from)
-            tokens, owner = hashes[order][chosen], doc[chosen]
+            tokens, owner = hashes[chosen], doc[chosen]
             named = [
                 (h, d)
                 for d in np.flatnonzero((sizes > 0) & (sizes <= light)).tolist()
@@ -154,24 +201,9 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, common: di
                 owner = np.append(owner, np.array([d for _, d in named], np.int64))
             if not len(tokens):
                 continue
-            spread = (tokens >> np.uint64(32)) % np.uint64(n_ranges)
-            order = np.lexsort((owner, spread))
-            spread, owner, tokens = spread[order], owner[order], tokens[order].astype(np.uint32)
-            docs, ranges = grams.runs(spread, owner), grams.runs(spread)
-            of_docs = np.searchsorted(docs[:-1], ranges)
-            who = owner[docs[:-1]]
-            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)[who]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(spread[ranges[:-1]].astype(np.int32)),
-                    grams.cut(tokens, ranges),
-                    grams.cut(column("key"), of_docs),
-                    grams.cut(column("id"), of_docs),
-                    grams.cut(sizes[who].astype(np.uint32), of_docs),
-                    grams.cut(np.diff(docs).astype(np.uint32), of_docs),
-                ],
-                ["range", "tokens", "keys", "ids", "sizes", "counts"],
-            )
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            range_of = _range_of(tokens, n_ranges)
+            yield _packed(range_of, owner, tokens, keys=column("key"), ids=column("id"), sizes=sizes.astype(np.uint32))
 
     def members(rows: pa.Table) -> pa.Table:
         counts = grams.joined(rows.column("counts"), np.uint32)
@@ -189,12 +221,12 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, common: di
         keys, ids, sizes, count = keys[spread_out], ids[spread_out], sizes[spread_out], count[several]
         begin = np.cumsum(count) - count
         names = np.add.reduceat(grams.mix(keys.view(np.uint64)), begin) if len(begin) else np.empty(0, np.uint64)
-        _, first = np.unique(names, return_index=True)
+        _, first, times = np.unique(names, return_index=True, return_counts=True)
         fresh = np.zeros(len(count), bool)
         fresh[first] = True
         spread_out = np.repeat(fresh, count)
         keys, ids, sizes = keys[spread_out], ids[spread_out], sizes[spread_out]
-        names, count = names[fresh], count[fresh]
+        names, count, tokens = names[fresh], count[fresh], times[np.argsort(first, kind="stable")]
         lists = np.repeat(np.arange(len(count)), count)
         begin = np.cumsum(count) - count
         centre = np.lexsort((keys, ids, lists))[begin]
@@ -202,6 +234,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, common: di
             {
                 "list": pa.array(names.view(np.int64)[lists]),
                 "members": pa.array(count[lists]),
+                "tokens": pa.array(tokens[lists]),
                 "key": pa.array(keys),
                 "size": pa.array(sizes),
                 "centre": pa.array(keys[centre][lists]),
@@ -209,8 +242,8 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, common: di
             }
         )
 
-    packed = keyed.mapInArrow(lists, "range int, tokens binary, keys binary, ids binary, sizes binary, counts binary")
-    schema = "list long, members long, key long, size long, centre long, centre_size long"
+    packed = keyed.mapInArrow(lists, "range int, tokens binary, counts binary, keys binary, ids binary, sizes binary")
+    schema = "list long, members long, tokens long, key long, size long, centre long, centre_size long"
     return packed.groupBy("range").applyInArrow(members, schema)
 
 
@@ -242,6 +275,18 @@ def _close_in_size(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a, b) > 0)
 
 
+def _can_overlap(light: int, percent: int):
+    """Whether texts of ``x`` and ``y`` shingles that ``met`` under so many tokens can be linked.
+
+    Up to the last token that the one whose list tokens end first is listed under, both texts' shared tokens are all
+    met; of its others all may be shared, which are one less than it must share with any linked text.
+    """
+    most = F.greatest("x", "y")
+    least = -F.floor(-(F.col("x") + F.col("y")) * percent / (100 + percent))
+    rest = -F.floor(-most * percent / 100) - 1
+    return (F.least("x", "y") < _needed(light + 1, percent)) | (F.col("met") + rest >= least)
+
+
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(
         F.col(f"`{id}`").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"),
@@ -252,29 +297,37 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 def _grouped(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``id``, ``key``, ``size`` and ``group`` of every row; rows without shingles have no group."""
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sizes, bands, common = _measured(keyed, shingle)
     n_ranges = max(MIN_RANGES, -(-size // RANGE_BYTES))
-    known = keyed.withColumn("id", F.coalesce("id", F.lit(2**63 - 1)))
-    lists = stage(_listed(known, shingle, percent, light_boundary(bands, percent), common, n_ranges))
+    made = stage(_measured(keyed, shingle, n_ranges))
+    sizes = made.where("size is not null").select(F.nullif("id", F.lit(_LAST)).alias("id"), "key", "size")
+    alone = made.where("alone is not null").groupBy("key").agg(F.sum("alone").alias("alone"))
+    texts = sizes.groupBy("key").agg(F.first("size").alias("size"), F.min(F.coalesce("id", F.lit(_LAST))).alias("id"))
+    shared = F.col("size") - F.coalesce("alone", F.lit(0))
+    some = texts.join(alone, "key", "left").where((F.col("size") > 0) & (shared * 100 >= F.col("size") * percent))
+    some = stage(some.select("key", "size", "id"))
+    texts = stage(keyed.select("key", "text").join(some.select("key", "id"), "key").dropDuplicates(["key"]))
+    bands = some.groupBy(F.least("size", F.lit(2 * MAX_LIGHT)).alias("size")).count().collect()
+    light = light_boundary({r["size"]: r["count"] for r in bands}, percent)
+    lists = stage(_listed(texts, shingle, percent, light, n_ranges))
 
     stars = lists.where((F.col("key") != F.col("centre")) & _close_in_size("size", "centre_size", percent))
     stars = stars.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-    needed = lists.select("key").distinct()
-    texts = stage(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]))
     stars = stage(stars)
     links = stage(_verified(stars, texts, shingle, percent))
     roots = components(links)
 
     # lists of two are settled; the others only where their members are not all together yet
-    several = lists.where("members > 2").select("list", "key", "size").dropDuplicates(["list", "key"])
+    several = lists.where("members > 2").groupBy("list", "key", "size").agg(F.sum("tokens").alias("tokens"))
     placed = several.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = stage(placed.select("list", "key", "size", F.coalesce("root", "key").alias("root")))
+    placed = stage(placed.select("list", "key", "size", "tokens", F.coalesce("root", "key").alias("root")))
     split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     rest = placed.join(split, "list", "left_semi")
-    x, y = (rest.select("list", *[F.col(c).alias(f"{c}_{m}") for c in ("key", "size", "root")]) for m in "xy")
+    x = rest.select("list", "tokens", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "root")])
+    y = rest.select("list", *[F.col(c).alias(f"{c}_y") for c in ("key", "size", "root")])
     pairs = x.join(y, "list").where((F.col("root_x") != F.col("root_y")) & (F.col("key_x") < F.col("key_y")))
-    pairs = pairs.where(_close_in_size("size_x", "size_y", percent))
-    pairs = pairs.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    pairs = pairs.where(_close_in_size("size_x", "size_y", percent)).groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    pairs = pairs.agg(F.sum("tokens").alias("met"), F.first("size_x").alias("x"), F.first("size_y").alias("y"))
+    pairs = pairs.where(_can_overlap(light, percent)).select("a", "b").join(stars, ["a", "b"], "left_anti")
     more = stage(_verified(pairs, texts, shingle, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
@@ -310,9 +363,8 @@ def keep_one(
     order = F.struct(F.col("id").isNull(), "id", "key")
     kept = whole.where("group is not null").groupBy("group").agg(F.min(order).alias("o"))
     kept = kept.select(F.col("o.id").alias("kept_id"), F.col("o.key").alias("kept_key"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(
-        row, F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+        others(docs), F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
     rows = rows.withColumn("key", F.xxhash64("text"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))

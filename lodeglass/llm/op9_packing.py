@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeglass.llm import tokens
-from lodeglass.llm.common import Query, stage, table
+from lodeglass.llm.common import Query, others, stage, table
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -91,12 +91,13 @@ def _numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, **bounds) -> DataFrame:
-    """``pieces`` (which have a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (which have a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``, which
+    replace columns of those names.
 
     ``bounds`` go to :func:`plan_bins`. Sequences are numbered from 0 and filled from 0 without gaps. Equal rows are
     separate pieces. An empty table gives an empty one.
     """
-    inner = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"), F.col("length").cast("int").alias("length"))
+    inner = pieces.select(others(pieces, "sequence_id", "offset"), F.col("length").cast("int").alias("length"))
     kind = inner.schema["row"].dataType.simpleString()
     numbered = stage(inner.mapInArrow(_numbered, f"row {kind}, length int, task long, number long"))
     by_task = numbered.groupBy("length", "task").count()
