@@ -55,6 +55,18 @@ def others(df: DataFrame, *names: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in names]).alias("row")
 
 
+def carried(df: DataFrame, *names: str) -> tuple[list[Column], list[Column]]:
+    """All columns of ``df`` but ``names`` as ``in0``, ``in1``, .., and those under their own names again.
+
+    For plans with generators, where Spark cannot prune the fields of a struct.
+    """
+    kept = [c for c in df.columns if c not in names]
+    return (
+        [F.col(f"`{c}`").alias(f"in{k}") for k, c in enumerate(kept)],
+        [F.col(f"in{k}").alias(c) for k, c in enumerate(kept)],
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, below the warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import BREAKS, Query, others, pin, table, words
+from lodeglass.llm.common import BREAKS, Query, carried, pin, table, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -99,7 +99,8 @@ def judge_quality(
     judged by itself; columns of any name pass through.
     """
     t = F.col("_text")
-    df = docs.select(others(docs, into), F.col(text).alias("_text"))
+    given, back = carried(docs, into)
+    df = docs.select(*given, F.col(f"`{text}`").alias("_text"))
     df = _repeated(pin(df, _words=words(t)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = pin(df, _lines=F.coalesce(lines, F.array().cast("array<string>")))
@@ -121,7 +122,7 @@ def judge_quality(
     )
     failed = (F.col("_n") < MIN_WORDS) | (100 * F.col("_repeated") > MAX_REPEATED * F.col("_n"))
     return df.select(
-        "row.*",
+        *back,
         F.struct(
             F.col("_n").alias("n_words"),
             F.length("_dense").cast("long").alias("word_chars"),

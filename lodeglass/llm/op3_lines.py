@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import Query, others, pin, stage, table
+from lodeglass.llm.common import Query, carried, pin, stage, table
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 3
@@ -37,7 +37,8 @@ def dedup_lines(
     name pass through.
     """
     i, t = F.col(f"`{id}`"), F.col(f"`{text}`")
-    rows = docs.select(others(docs, into), F.struct(i.isNull().alias("last"), i.alias("id")).alias("_id"), t.alias("_text"))
+    given, back = carried(docs, into)
+    rows = docs.select(*given, F.struct(i.isNull().alias("last"), i.alias("id")).alias("_id"), t.alias("_text"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     numbered = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(x.alias("line"), k.alias("k")))
     worded = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
@@ -84,7 +85,7 @@ def dedup_lines(
     out = pin(out, _kept=kept, _worded=F.coalesce(F.size(has_words(F.col("_lines"))), F.lit(0)).cast("long"))
     n_kept = F.when(F.col("_gone").isNull(), F.col("_worded")).otherwise(F.size(has_words(F.col("_kept"))).cast("long"))
     return out.select(
-        "row.*",
+        *back,
         F.struct(
             F.when(F.col("_text").isNull(), 0).otherwise(F.col("_worded")).cast("long").alias("n_lines"),
             F.when(F.col("_text").isNull(), 0).otherwise(F.col("_worded") - n_kept).cast("long").alias("n_removed"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import Query, fold, others, pin, stage, table
+from lodeglass.llm.common import Query, carried, fold, pin, stage, table
 
 #: Words of a window.
 WINDOW = 13
@@ -85,8 +85,8 @@ def decontaminate(
     in ``share``. Null and empty texts have no words. Equal rows are judged each by itself. An empty benchmark hits
     nothing. Columns of any name pass through.
     """
-    row = others(docs.select(*[f"`{c}`" for c in columns]) if columns else docs, into)
-    keyed = docs.select(row, F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("key"))
+    given, back = carried(docs.select(*[f"`{c}`" for c in columns]) if columns else docs, into)
+    keyed = docs.select(*given, F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("key"))
     keyed = pin(keyed, words=F.concat(F.array(F.lit("")), letter_words(F.col("text")))).drop("text")
     worded = pin(docs.select(F.col(f"`{text}`").alias("text")), words=letter_words(F.col("text"))).select("words")
     listed = stage(_listed(stage(benchmark_windows(items, item, item_text, window)), worded, broadcast_bytes))
@@ -107,10 +107,10 @@ def decontaminate(
     same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(1))) == F.col("window")
     itself = F.col("window").isNull()
     hits = met.where(itself | (fits & second & same)).select(
-        "key", F.when(itself, F.col("row")).alias("row"), (F.size("words") - 1).alias("n"), "items", F.when(~itself, F.struct(start.alias("at"), (start + length).alias("to"))).alias("span"),
+        "key", *[F.when(itself, F.col(f"in{k}")).alias(f"in{k}") for k in range(len(given))], (F.size("words") - 1).alias("n"), "items", F.when(~itself, F.struct(start.alias("at"), (start + length).alias("to"))).alias("span"),
     )
     found = hits.groupBy("key").agg(
-        F.first("row", ignorenulls=True).alias("row"),
+        *[F.first(f"in{k}", ignorenulls=True).alias(f"in{k}") for k in range(len(given))],
         F.max("n").cast("long").alias("n_words"),
         F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
@@ -126,7 +126,7 @@ def decontaminate(
     )
     judged = pin(found, n_hit=covered)
     dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return judged.select("row.*", F.struct("n_words", "n_hit", "items", dirty.alias("contaminated")).alias(into))
+    return judged.select(*back, F.struct("n_words", "n_hit", "items", dirty.alias("contaminated")).alias(into))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import grams
@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 5, 80
 MAX_LIGHT = 14
 #: Cost of scanning one list entry, with the verification it may bring, in subsets named.
 SCAN = 4
+#: Bits that tell texts apart before they are compared.
+BITS = 1024
 #: Stands for a missing id: after all others.
 _LAST = 2**63 - 1
 #: Bytes of text for each hash range, and ranges at least.
@@ -176,7 +178,7 @@ def _measured(keyed: DataFrame, shingle: int, n_ranges: int) -> DataFrame:
 
 
 def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges: int) -> DataFrame:
-    """Members of every list that holds at least two texts: list, members, centre, and both sizes.
+    """Members of every list that holds at least two texts: list, members and centre.
 
     Lists with the same members are one list for each hash range, told by the members' hash, with the number of tokens
     that have it.
@@ -203,29 +205,31 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
             range_of = _range_of(tokens, n_ranges)
-            yield _packed(range_of, owner, tokens, keys=column("key"), ids=column("id"), sizes=sizes.astype(np.uint32))
+            yield _packed(
+                range_of, owner, tokens, keys=column("key"), ids=column("id"), sizes=sizes.astype(np.uint32), shared=column("shared")
+            )
 
     def members(rows: pa.Table) -> pa.Table:
         counts = grams.joined(rows.column("counts"), np.uint32)
         spread = lambda name, kind: np.repeat(grams.joined(rows.column(name), kind), counts)
         tokens, keys = grams.joined(rows.column("tokens"), np.uint32), spread("keys", np.int64)
-        ids, sizes = spread("ids", np.int64), spread("sizes", np.uint32).astype(np.int64)
-        order = np.lexsort((ids, keys, tokens))
-        tokens, keys, ids, sizes = tokens[order], keys[order], ids[order], sizes[order]
-        own = grams.runs(tokens, keys)[:-1]
-        tokens, keys, ids, sizes = tokens[own], keys[own], ids[own], sizes[own]
+        ids, sizes, shared = spread("ids", np.int64), spread("sizes", np.uint32).astype(np.int64), spread("shared", np.int64)
+        order = np.lexsort((keys, tokens))
+        own = order[grams.runs(tokens[order], keys[order])[:-1]]
+        tokens, keys, ids, sizes, shared = tokens[own], keys[own], ids[own], sizes[own], shared[own]
         at = grams.runs(tokens)
         count = np.diff(at)
         several = count > 1
         spread_out = np.repeat(several, count)
-        keys, ids, sizes, count = keys[spread_out], ids[spread_out], sizes[spread_out], count[several]
+        keys, ids, sizes, shared = (x[spread_out] for x in (keys, ids, sizes, shared))
+        count = count[several]
         begin = np.cumsum(count) - count
         names = np.add.reduceat(grams.mix(keys.view(np.uint64)), begin) if len(begin) else np.empty(0, np.uint64)
         _, first, times = np.unique(names, return_index=True, return_counts=True)
         fresh = np.zeros(len(count), bool)
         fresh[first] = True
         spread_out = np.repeat(fresh, count)
-        keys, ids, sizes = keys[spread_out], ids[spread_out], sizes[spread_out]
+        keys, ids, sizes, shared = (x[spread_out] for x in (keys, ids, sizes, shared))
         names, count, tokens = names[fresh], count[fresh], times[np.argsort(first, kind="stable")]
         lists = np.repeat(np.arange(len(count)), count)
         begin = np.cumsum(count) - count
@@ -237,13 +241,15 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
                 "tokens": pa.array(tokens[lists]),
                 "key": pa.array(keys),
                 "size": pa.array(sizes),
+                "shared": pa.array(shared),
                 "centre": pa.array(keys[centre][lists]),
                 "centre_size": pa.array(sizes[centre][lists]),
+                "centre_shared": pa.array(shared[centre][lists]),
             }
         )
 
-    packed = keyed.mapInArrow(lists, "range int, tokens binary, counts binary, keys binary, ids binary, sizes binary")
-    schema = "list long, members long, tokens long, key long, size long, centre long, centre_size long"
+    packed = keyed.mapInArrow(lists, "range int, tokens binary, counts binary, keys binary, ids binary, sizes binary, shared binary")
+    schema = "list long, members long, tokens long, key long, size long, shared long, centre long, centre_size long, centre_shared long"
     return packed.groupBy("range").applyInArrow(members, schema)
 
 
@@ -271,8 +277,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(b, "b").join(a, "a").mapInArrow(linked, "a long, b long")
 
 
-def _close_in_size(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a, b) > 0)
+def _parities(texts: DataFrame, shingle: int) -> DataFrame:
+    """``key`` and ``BITS`` bits of each text, in longs: whether it has an odd number of the shingles that fall on a bit.
+
+    Where two texts' bits differ there is a shingle that only one of them has, so no more bits differ than shingles.
+    """
+
+    def parities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, bounds in grams.batches(rows):
+            doc, hashes = _sets(data, bounds, shingle)
+            odd = np.bincount(doc * BITS + (hashes % np.uint64(BITS)).astype(np.int64), minlength=len(batch) * BITS) % 2
+            longs = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(len(batch), -1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *(pa.array(longs[:, k].copy()) for k in range(BITS // 64))],
+                ["key", *(f"bits{k}" for k in range(BITS // 64))],
+            )
+
+    schema = ", ".join(["key long", *(f"bits{k} long" for k in range(BITS // 64))])
+    return texts.select("key", "text").mapInArrow(parities, schema)
+
+
+def _linkable(x: str, y: str, shared_x: str, shared_y: str, percent: int) -> Column:
+    """Whether sets of sizes ``x`` and ``y`` can be linked if so many of their shingles are not theirs alone."""
+    least = F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (F.least(shared_x, shared_y) >= least)
 
 
 def _can_overlap(light: int, percent: int):
@@ -304,28 +332,36 @@ def _grouped(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     texts = sizes.groupBy("key").agg(F.first("size").alias("size"), F.min(F.coalesce("id", F.lit(_LAST))).alias("id"))
     shared = F.col("size") - F.coalesce("alone", F.lit(0))
     some = texts.join(alone, "key", "left").where((F.col("size") > 0) & (shared * 100 >= F.col("size") * percent))
-    some = stage(some.select("key", "size", "id"))
-    texts = stage(keyed.select("key", "text").join(some.select("key", "id"), "key").dropDuplicates(["key"]))
+    some = stage(some.select("key", "size", "id", shared.alias("shared")))
+    texts = stage(keyed.select("key", "text").join(some.select("key", "id", "shared"), "key").dropDuplicates(["key"]))
     bands = some.groupBy(F.least("size", F.lit(2 * MAX_LIGHT)).alias("size")).count().collect()
     light = light_boundary({r["size"]: r["count"] for r in bands}, percent)
     lists = stage(_listed(texts, shingle, percent, light, n_ranges))
 
-    stars = lists.where((F.col("key") != F.col("centre")) & _close_in_size("size", "centre_size", percent))
+    stars = lists.where((F.col("key") != F.col("centre")) & _linkable("size", "centre_size", "shared", "centre_shared", percent))
     stars = stars.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     stars = stage(stars)
     links = stage(_verified(stars, texts, shingle, percent))
     roots = components(links)
 
     # lists of two are settled; the others only where their members are not all together yet
-    several = lists.where("members > 2").groupBy("list", "key", "size").agg(F.sum("tokens").alias("tokens"))
+    several = lists.where("members > 2").groupBy("list", "key", "size", "shared").agg(F.sum("tokens").alias("tokens"))
     placed = several.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = stage(placed.select("list", "key", "size", "tokens", F.coalesce("root", "key").alias("root")))
+    placed = stage(placed.select("list", "key", "size", "shared", "tokens", F.coalesce("root", "key").alias("root")))
     split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     rest = placed.join(split, "list", "left_semi")
-    x = rest.select("list", "tokens", *[F.col(c).alias(f"{c}_x") for c in ("key", "size", "root")])
-    y = rest.select("list", *[F.col(c).alias(f"{c}_y") for c in ("key", "size", "root")])
-    pairs = x.join(y, "list").where((F.col("root_x") != F.col("root_y")) & (F.col("key_x") < F.col("key_y")))
-    pairs = pairs.where(_close_in_size("size_x", "size_y", percent)).groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
+    rest = rest.join(_parities(texts, shingle), "key")
+    own = ["key", "size", "shared", "root", *(f"bits{k}" for k in range(BITS // 64))]
+    x = rest.select("list", "tokens", *[F.col(c).alias(f"{c}_x") for c in own])
+    y = rest.select("list", *[F.col(c).alias(f"{c}_y") for c in own])
+    apart = sum(F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(BITS // 64))
+    pairs = x.join(
+        y,
+        (x["list"] == y["list"]) & (F.col("root_x") != F.col("root_y")) & (F.col("key_x") < F.col("key_y"))
+        & _linkable("size_x", "size_y", "shared_x", "shared_y", percent)
+        & (apart * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)),
+    )
+    pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
     pairs = pairs.agg(F.sum("tokens").alias("met"), F.first("size_x").alias("x"), F.first("size_y").alias("y"))
     pairs = pairs.where(_can_overlap(light, percent)).select("a", "b").join(stars, ["a", "b"], "left_anti")
     more = stage(_verified(pairs, texts, shingle, percent))
