@@ -13,23 +13,26 @@ from lodeglass.llm.op9_packing import pack_documents
 from lodeglass.llm.op10_quality import judge_quality
 
 
-#: Where operators put what they find; no column of documents has this name.
-_FOUND = "_found"
+def _free(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` has."""
+    return "_" + max(docs.columns, key=len)
 
 
-def _with_text(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop(_FOUND)
+def _with_text(docs: DataFrame, text: Column, found: str) -> DataFrame:
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop(found)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass, with the text that the line rules leave."""
-    return _with_text(judge_quality(docs, into=_FOUND).where(f"{_FOUND}.kept"), F.col(f"{_FOUND}.clean"))
+    found = _free(docs)
+    return _with_text(judge_quality(docs, into=found).where(f"{found}.kept"), F.col(f"{found}.clean"), found)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without later repeated runs of lines; those whose every line is a repeat go."""
-    out = dedup_lines(docs, into=_FOUND).where(f"{_FOUND}.n_removed < {_FOUND}.n_lines or {_FOUND}.n_lines = 0")
-    return _with_text(out, F.when(F.col(f"{_FOUND}.n_removed") > 0, F.col(f"{_FOUND}.kept")).otherwise(F.col("text")))
+    found = _free(docs)
+    out = dedup_lines(docs, into=found).where(f"{found}.n_removed < {found}.n_lines or {found}.n_lines = 0")
+    return _with_text(out, F.when(F.col(f"{found}.n_removed") > 0, F.col(f"{found}.kept")).otherwise(F.col("text")), found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -39,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold too little of the benchmark to be contaminated."""
-    out = decontaminate(docs, table(spark, folder, "benchmark"), into=_FOUND)
-    return out.where(f"not {_FOUND}.contaminated").drop(_FOUND)
+    found = _free(docs)
+    out = decontaminate(docs, table(spark, folder, "benchmark"), into=found)
+    return out.where(f"not {found}.contaminated").drop(found)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
