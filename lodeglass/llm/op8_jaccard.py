@@ -37,6 +37,8 @@ MAX_LIGHT = 14
 SCAN = 4
 #: Bits that tell texts apart before they are compared.
 BITS = 1024
+#: Bytes of texts that are handled at once.
+AT_ONCE = 4 << 20
 #: Stands for a missing id: after all others.
 _LAST = 2**63 - 1
 #: Bytes of text for each hash range, and ranges at least.
@@ -116,7 +118,7 @@ def _measured(keyed: DataFrame, shingle: int, n_ranges: int) -> DataFrame:
     """
 
     def shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in grams.batches(rows):
+        for batch, data, bounds in grams.batches(rows, size=AT_ONCE):
             doc, hashes = _sets(data, bounds, shingle)
             id, key = (batch.column(c).fill_null(_LAST).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             sizes = np.bincount(doc, minlength=len(batch))
@@ -185,7 +187,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
     """
     heavy_from = _needed(light + 1, percent)
     def lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in grams.batches(rows):
+        for batch, data, bounds in grams.batches(rows, size=AT_ONCE):
             doc, hashes = _sets(data, bounds, shingle)
             sizes = np.bincount(doc, minlength=len(batch))
             begin = np.cumsum(sizes) - sizes
@@ -258,7 +260,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     def linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
-            for batch, data, bounds in grams.batches(iter([whole]), "text_a"):
+            for batch, data, bounds in grams.batches(iter([whole]), "text_a", AT_ONCE):
                 sets = [_sets(data, bounds, shingle)]
                 other = batch.column("text_b").cast(pa.large_binary())
                 bounds = np.append(0, np.cumsum([len(x) for x in (y.as_py() for y in other)]))
@@ -284,10 +286,13 @@ def _parities(texts: DataFrame, shingle: int) -> DataFrame:
     """
 
     def parities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, bounds in grams.batches(rows):
+        for batch, data, bounds in grams.batches(rows, size=AT_ONCE):
             doc, hashes = _sets(data, bounds, shingle)
-            odd = np.bincount(doc * BITS + (hashes % np.uint64(BITS)).astype(np.int64), minlength=len(batch) * BITS) % 2
-            longs = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(len(batch), -1)
+            places = np.sort(doc * BITS + (hashes % np.uint64(BITS)).astype(np.int64))
+            at = grams.runs(places)
+            bits = np.zeros(len(batch) * BITS, bool)
+            bits[places[at[:-1][np.diff(at) % 2 == 1]]] = True
+            longs = np.packbits(bits.reshape(-1, 64), axis=1).view(np.int64).reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *(pa.array(longs[:, k].copy()) for k in range(BITS // 64))],
                 ["key", *(f"bits{k}" for k in range(BITS // 64))],
@@ -333,7 +338,9 @@ def _grouped(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     shared = F.col("size") - F.coalesce("alone", F.lit(0))
     some = texts.join(alone, "key", "left").where((F.col("size") > 0) & (shared * 100 >= F.col("size") * percent))
     some = stage(some.select("key", "size", "id", shared.alias("shared")))
-    texts = stage(keyed.select("key", "text").join(some.select("key", "id", "shared"), "key").dropDuplicates(["key"]))
+    # how many texts are left grows with the corpus: they are joined by key at every size, never broadcast
+    left = some.select("key", "id", "shared").hint("merge")
+    texts = stage(keyed.select("key", "text").join(left, "key").dropDuplicates(["key"]))
     bands = some.groupBy(F.least("size", F.lit(2 * MAX_LIGHT)).alias("size")).count().collect()
     light = light_boundary({r["size"]: r["count"] for r in bands}, percent)
     lists = stage(_listed(texts, shingle, percent, light, n_ranges))
