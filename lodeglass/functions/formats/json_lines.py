@@ -14,9 +14,9 @@ LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
 # How containers start, and numbers whose text here is not their JSON text.
 _TYPED = r"(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
-# Where a line has such a member, and where it has a string that looks like one.
+# Where a line has such a member, and where it has a string that looks like one or might, once its escape is read.
 _HAS_TYPED = rf":[ \t\r\n]*{_TYPED}"
-_HAS_LOOKALIKE = rf':[ \t\r\n]*"{_TYPED}'
+_HAS_LOOKALIKE = rf':[ \t\r\n]*"(?:{_TYPED}|[-\d.]*\\u)'
 
 # Strict JSON: no single quotes, no NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}

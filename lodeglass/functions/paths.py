@@ -82,7 +82,7 @@ def _member(ref: Ref, name: str) -> Ref:
         found = match_name(ref.type.names, name)
         if found is None:
             return _nothing()
-        column = F.col(f"`{found}`") if ref.column is None else ref.column.getField(found)
+        column = F.col(f"`{found}`") if ref.column is None else _field(ref, found)
         return Ref(column, ref.type[found].dataType)
     if isinstance(ref.type, T.MapType):
         return Ref(_map_member(ref.column, name), ref.type.valueType)
@@ -95,6 +95,15 @@ def _member(ref: Ref, name: str) -> Ref:
     return Ref(_not_json_null(let(ref.column, find)), T.VariantType())
 
 
+def _field(ref: Ref, name: str) -> Column:
+    """Member of a struct; where others differ from it by case alone, by its place."""
+    names = ref.type.names
+    if sum(n.lower() == name.lower() for n in names) == 1:
+        return ref.column.getField(name)
+    placed = T.StructType([T.StructField(f"_{k}", f.dataType, True) for k, f in enumerate(ref.type.fields)])
+    return ref.column.cast(placed).getField(f"_{names.index(name)}")
+
+
 def _quoted(key: str) -> str:
     return f"'{key}'" if "'" not in key else f'"{key}"'
 
@@ -129,7 +138,7 @@ def _key(ref: Ref, key: str) -> Ref:
     if isinstance(ref.type, T.MapType):
         return Ref(ref.column[key], ref.type.valueType)
     if isinstance(ref.type, T.StructType) and key in ref.type.names:
-        return Ref(ref.column.getField(key), ref.type[key].dataType)
+        return Ref(_field(ref, key), ref.type[key].dataType)
     if isinstance(ref.type, T.VariantType):
         found = F.try_variant_get(ref.column, f"$[{_quoted(key)}]", "variant")
         return Ref(_not_json_null(found), ref.type)

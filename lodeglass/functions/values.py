@@ -78,9 +78,8 @@ def value_text(json: Column, value: Column, printed: Column) -> Column:
 
     ``json`` is the value's JSON text. The value is written as a list of pieces, each a text and, where that is not the
     whole piece yet, a value that follows it and whether it is a container. Every pass replaces containers by the pieces
-    of their members; there cannot be more levels than opening brackets.
+    of their members; there are as many passes as brackets are nested.
     """
-    brackets = F.length(json) - F.length(F.translate(json, "{[", ""))
 
     def open_once(pieces: Column, style: Column) -> Column:
         opened = F.flatten(F.transform(pieces, lambda one: _opened(one, style)))
@@ -88,7 +87,7 @@ def value_text(json: Column, value: Column, printed: Column) -> Column:
 
     def write(style: Column) -> Column:
         pieces = F.aggregate(
-            F.sequence(F.lit(0), brackets),
+            F.sequence(F.lit(0), depth(json)),
             F.array(_piece(F.lit(""), value)),
             lambda pieces, _: open_once(pieces, style),
         )
@@ -97,6 +96,19 @@ def value_text(json: Column, value: Column, printed: Column) -> Column:
     return let(printed, write)
 
 
+def depth(json: Column) -> Column:
+    """How deep brackets outside strings are nested."""
+    unquoted = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(unquoted, r"[^\[\]{}]++", ""), "")
+
+    def step(so_far: Column, bracket: Column) -> Column:
+        now = so_far["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(so_far["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, step, lambda so_far: so_far["most"])
+
+
 def _closed(one: Column) -> Column:
     number = float_text(F.try_variant_get(one["item"], "$", "double"))
     return F.when(one["item"].isNull(), one["text"]).otherwise(F.concat(one["text"], number))

@@ -7,6 +7,8 @@ what has to travel between blocks is one small row per block.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 # Positions per block; one block of one source is the most that ever meets in one task.
 BLOCK_ROWS = 1 << 20
 
-# Up to this many rows per source are cheaper to rank twice than to count blocks first.
-_SMALL_PICK = 10_000
+# Positions per block where first or last rows are picked: all that is ranked beyond the pick itself.
+PICK_ROWS = 1 << 13
 
 _BLOCK = "_block"
 
@@ -38,13 +40,16 @@ def carry_last(
     before = {name: f"_before_{name}" for name in events}
     blocked = _with_block(lines.withColumns({found[n]: e for n, e in events.items()}), pos, block_rows)
 
-    # The last event of each block, then of all blocks before it. NULL positions are skipped by max_by.
-    per_block = blocked.groupBy(*keys, _BLOCK).agg(
+    # The last event of each block, from the few rows that have one, then of all blocks before it.
+    any_event = reduce(or_, [F.col(found[n]).isNotNull() for n in events])
+    marks = blocked.where(any_event).groupBy(*keys, _BLOCK).agg(
         *[
             F.max_by(found[n], F.when(F.col(found[n]).isNotNull(), F.col(pos))).alias(found[n])
             for n in events
         ]
     )
+    every_block = _with_block(lines.select(*keys, pos), pos, block_rows).select(*keys, _BLOCK).distinct()
+    per_block = every_block.join(marks, [*keys, _BLOCK], "left")
     earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     incoming = per_block.select(
         *keys, _BLOCK, *[F.last(found[n], True).over(earlier).alias(before[n]) for n in events]
@@ -99,7 +104,7 @@ def first_rows(
     keys: Sequence[str] = ("source_id",),
     pos: str = "line_no",
     rank: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PICK_ROWS,
 ) -> DataFrame:
     """The first ``n`` rows of every key in position order; ``rank`` names a column for their 1-based rank."""
     return _pick(lines, n, list(keys), pos, rank, block_rows, descending=False)
@@ -111,7 +116,7 @@ def last_rows(
     keys: Sequence[str] = ("source_id",),
     pos: str = "line_no",
     rank: str | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PICK_ROWS,
 ) -> DataFrame:
     """The last ``n`` rows of every key; ``rank`` 1 is the last one."""
     return _pick(lines, n, list(keys), pos, rank, block_rows, descending=True)
@@ -120,21 +125,15 @@ def last_rows(
 def _pick(
     lines: DataFrame, n: int, keys: list[str], pos: str, rank: str | None, block_rows: int, descending: bool
 ) -> DataFrame:
+    # Blocks are counted first, from the positions alone; then only the blocks that reach into the pick are read and ranked.
     order = F.col(pos).desc() if descending else F.col(pos).asc()
     blocked = _with_block(lines, pos, block_rows)
+    reach = _rows_before(blocked, keys, descending).where(F.col("_before") < n).drop("_count")
     in_block = F.row_number().over(Window.partitionBy(*keys, _BLOCK).orderBy(order))
-    if n <= _SMALL_PICK:
-        # Both ranks are cut off before their shuffle, so tasks send at most n rows per block and per key.
-        survivors = blocked.withColumn("_rank", in_block).where(F.col("_rank") <= n)
-        in_key = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-        picked = survivors.withColumn("_rank", in_key).where(F.col("_rank") <= n)
-    else:
-        # Count first, keep the blocks that reach into the pick, and rank inside these only.
-        reach = _rows_before(blocked, keys, descending).where(F.col("_before") < n).drop("_count")
-        picked = (
-            blocked.join(reach, [*keys, _BLOCK])
-            .withColumn("_rank", in_block + F.col("_before"))
-            .where(F.col("_rank") <= n)
-        )
+    picked = (
+        blocked.join(reach, [*keys, _BLOCK])
+        .withColumn("_rank", in_block + F.col("_before"))
+        .where(F.col("_rank") <= n)
+    )
     columns = [F.col(c) for c in lines.columns]
     return picked.select(*columns, *([F.col("_rank").alias(rank)] if rank else []))

@@ -1,7 +1,7 @@
 """From lines to entries.
 
 Lines are ``source_id, line_no, value`` (other columns pass through); entries add
-``timestamp, level, message, source, logger, fields, raw_line, format, parsed``.
+``timestamp, level, message, source, logger, fields, raw_line, event_ts, format, parsed``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from lodeglass.functions.text import let
 from lodeglass.operators.blocks import BLOCK_ROWS
 from lodeglass.operators.carry import add_carried, carry_stage
 from lodeglass.operators.detect import detect_format
-from lodeglass.sources.staging import stage
 
 
 ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
@@ -63,6 +62,7 @@ def _shape(lines: DataFrame, names: list[str], one: bool = False) -> DataFrame:
         *kept,
         *[columns[c].alias(c) for c in ENTRY_COLUMNS if c != "parsed"],
         line.alias("raw_line"),
+        event_time(line).alias("event_ts"),
         "format",
         columns["parsed"].alias("parsed"),
     )
@@ -82,13 +82,15 @@ def with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
 def parse_logs(lines: DataFrame, formats: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Detect the format of every source, parse its lines, and carry stage and progress through conversion logs.
 
-    ``formats`` is a written result of :func:`detect_format` when there is one; otherwise it is made here. Written first,
-    it has a known size, so joining it to the lines broadcasts it only while it is small, and only the parsers and the
-    carrying that some source needs become part of the plan.
+    ``formats`` is a written result of :func:`detect_format` when there is one (``sources.staging.stage`` writes it).
+    Then its size is known, so joining it to the lines broadcasts it only while it is small, and only the parsers and the
+    carrying that some source needs become part of the plan. Without it nothing runs here: the plan detects formats
+    itself and has all parsers.
     """
     if formats is None:
-        formats = stage(detect_format(lines, block_rows))
-    present = {row["format"] for row in formats.select("format").distinct().collect()}
+        formats, present = detect_format(lines), {*FORMATS}
+    else:
+        present = {row["format"] for row in formats.select("format").distinct().collect()}
     typed = with_format(without_empty(lines), formats)
     direct = _shape(
         typed.where(F.col("format") != CONVERSION), [n for n in FORMATS if n in present and n != CONVERSION]

@@ -35,6 +35,9 @@ RUNNING = "Running"
 
 _WORKLOAD = ["namespace", "kind", "name"]
 
+# Label sets of a namespace are dealt over so many keys for workloads that have no positive condition.
+SPREAD = 64
+
 
 def _equal_needs(labels: Column) -> Column:
     return F.transform(
@@ -90,17 +93,23 @@ def _label_sets(pods: DataFrame, *aggregates: Column) -> DataFrame:
     return keyed.groupBy("namespace", "label_set").agg(F.count(F.lit(1)).alias("_pods"), *aggregates)
 
 
+def _free_word(number: Column) -> Column:
+    """A word that no label is: keys and values hold no control characters."""
+    return F.concat(F.lit("\x01"), number.cast("string"))
+
+
 def _match_sets(workloads: DataFrame, sets: DataFrame) -> DataFrame:
     """``namespace, kind, name, label_set`` for every label set that meets a workload's conditions.
 
     The join key of a workload is the rarest of its positive conditions in the namespace, so a label that most pods
-    share is used only when a workload has nothing rarer; the other conditions are checked on the candidates.
+    share is used only when a workload has nothing rarer; the other conditions are checked on the candidates. A workload
+    without positive conditions meets all label sets of its namespace, a part of them under each of ``SPREAD`` keys.
     """
     words = F.flatten(
         F.array(
             F.transform("label_set", lambda e: F.concat(e["key"], F.lit("="), e["value"])),
             F.transform("label_set", lambda e: e["key"]),
-            F.array(F.lit("")),
+            F.array(_free_word(F.pmod(F.xxhash64("label_set"), F.lit(SPREAD)))),
         )
     )
     by_word = sets.withColumn("_word", F.explode(F.array_distinct(words)))
@@ -115,7 +124,8 @@ def _match_sets(workloads: DataFrame, sets: DataFrame) -> DataFrame:
         ).when(one["op"] == "Exists", F.array(one["key"]))
 
     options = F.filter(F.transform("needs", need_words), lambda w: w.isNotNull())
-    options = F.when(F.size(options) > 0, options).otherwise(F.array(F.array(F.lit(""))))
+    every = F.array(*[_free_word(F.lit(k)) for k in range(SPREAD)])
+    options = F.when(F.size(options) > 0, options).otherwise(F.array(every))
     ranked = (
         needed.select(*_WORKLOAD, F.posexplode(options).alias("_option", "_words"))
         .withColumn("_word", F.explode_outer("_words"))
@@ -148,7 +158,7 @@ def workload_pods(workloads: DataFrame, pods: DataFrame) -> DataFrame:
 
 def pick_pods(workloads: DataFrame, pods: DataFrame) -> DataFrame:
     """``namespace, kind, name, pod, phase, pods`` per workload: its first running pod, else its first pod, else NULL."""
-    rank = F.struct((F.col("phase") != RUNNING).alias("late"), "pos")
+    rank = F.struct((~F.col("phase").eqNullSafe(RUNNING)).alias("late"), "pos")
     best = F.min_by(F.struct(F.col("name").alias("pod"), "phase"), rank).alias("_best")
     sets = _label_sets(pods, best, F.min(rank).alias("_rank"))
     chosen = (
@@ -168,7 +178,8 @@ def resolve_pods(requests: DataFrame, workloads: DataFrame, pods: DataFrame) ->
     """
     kind, name = split_reference(F.col("reference"))
     asked = requests.withColumns({"_type": kind, "_name": name}).withColumn("_kind", canonical_kind(F.col("_type")))
-    picked = pick_pods(workloads, pods).select(
+    wanted = asked.select("namespace", F.col("_kind").alias("kind"), F.col("_name").alias("name")).distinct()
+    picked = pick_pods(workloads.join(wanted, _WORKLOAD, "left_semi"), pods).select(
         "namespace", F.col("kind").alias("_kind"), F.col("name").alias("_name"),
         F.col("pod").alias("_pod"), F.lit(True).alias("_known"),
     )

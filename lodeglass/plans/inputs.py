@@ -125,7 +125,7 @@ def mixed_line() -> Column:
     return F.when(kind.isin("error", "click"), zap_line()).when(kind == "view", klog_line()).otherwise(text_line())
 
 
-def line_objects(lineitem: DataFrame) -> DataFrame:
+def line_objects(lineitem: DataFrame, *extra: str) -> DataFrame:
     """One nested object per order line; its item list has ``l_linenumber - 1`` elements, so it may be empty."""
     numbers = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i < F.col("l_linenumber"))
 
@@ -154,6 +154,7 @@ def line_objects(lineitem: DataFrame) -> DataFrame:
         F.struct(F.transform(numbers, item).alias("items")).alias("spec"),
         F.col("l_orderkey").alias("key"),
         F.col("l_linenumber").cast("long").alias("n"),
+        *extra,
     )
 
 
@@ -202,6 +203,41 @@ def workloads(customer: DataFrame) -> DataFrame:
     )
 
 
+def open_workloads(nation: DataFrame) -> DataFrame:
+    """Every nation is a workload without any positive condition."""
+    sort = F.pmod("n_nationkey", F.lit(3))
+    need = "array<struct<key:string,op:string,values:array<string>>>"
+    texts = "map<string,string>"
+
+    def needs(key: str, op: str, *values: str) -> Column:
+        listed = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        return F.array(F.struct(F.lit(key).alias("key"), F.lit(op).alias("op"), listed.alias("values"))).cast(need)
+
+    return nation.select(
+        _namespace(F.col("n_nationkey")).alias("namespace"),
+        F.when(sort == 2, "Job").otherwise("Deployment").alias("kind"),
+        F.col("n_name").alias("name"),
+        F.lit(None).cast(texts).alias("match_labels"),
+        F.when(sort == 0, needs("priority", "NotIn", "1-URGENT", "5-LOW"))
+        .when(sort == 1, needs("open", "DoesNotExist"))
+        .alias("match_expressions"),
+        F.lit(None).cast(texts).alias("template_labels"),
+    )
+
+
+def pod_lines(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every event is a line of an order's pod, in one of two containers."""
+    order = F.pmod("event_id", F.lit(4000))
+    keyed = events.select(
+        order.alias("o_orderkey"), F.col("event_id").alias("line_no"), zap_line().alias("value"),
+        F.when(F.col("event_id") % 2 == 0, "main").otherwise("side").alias("container"),
+    )
+    owner = orders.select("o_orderkey", _namespace(F.col("o_custkey")).alias("namespace"))
+    return keyed.join(owner, "o_orderkey").select(
+        "namespace", F.concat(F.lit("pod-"), "o_orderkey").alias("pod"), "container", "line_no", "value"
+    )
+
+
 def pods(orders: DataFrame) -> DataFrame:
     """Every order is a pod; only open orders carry the ``open`` label."""
     status = F.col("o_orderstatus")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lodeglass.operators import compact
@@ -10,10 +10,11 @@ from lodeglass.operators.blocks import number_lines
 from lodeglass.operators.carry import carry_stage
 from lodeglass.operators.detect import detect_format
 from lodeglass.operators.entries import event_time, parse_as, parse_logs
-from lodeglass.operators.logs import newest_first, recent, tail
+from lodeglass.operators.logs import newest_order, recent, tail
 from lodeglass.plans import inputs as I
 from lodeglass.plans.registry import Tables, query
 from lodeglass.sources.lines import split_text
+from lodeglass.sources.staging import stage
 
 _CLOCK = "strftime(ts, '%H:%M:%S')"
 _SAID = "'user ' || user_id || ' did ' || event_type"
@@ -56,19 +57,33 @@ def log_tail(t: Tables):
     return tail(_lines(t, I.source_line()), 5).select("source_id", "line_no")
 
 
-@query("SELECT user_id AS source_id, event_id AS line_no FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR")
+_DATED = "CASE WHEN event_type IN ('error', 'click') THEN ts END"
+
+
+@query(
+    f"""SELECT source_id, line_no FROM (
+          SELECT user_id AS source_id, event_id AS line_no, first_value({_DATED} IGNORE NULLS) OVER every AS first,
+                 last_value({_DATED} IGNORE NULLS) OVER past AS last FROM events
+          WINDOW past AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+                 every AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        WHERE first IS NULL OR coalesce(last, first) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR"""
+)
 def log_since(t: Tables):
-    lines = _lines(t, I.zap_line())
+    """Dated JSON lines among klog and text lines, which have no date."""
+    lines = _lines(t, I.mixed_line())
     as_of = F.lit("2024-01-30T12:00:00Z").cast("timestamp")
-    return recent(lines, event_time(F.col("value")), "36h", as_of).select("source_id", "line_no")
+    return recent(lines, event_time(F.col("value")), "36h", as_of, block_rows=1000).select("source_id", "line_no")
 
 
 @query(
-    f"""SELECT user_id AS source_id, event_id AS line_no, {_LEVEL} AS level FROM events
-        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3 ORDER BY user_id, event_id DESC"""
+    f"""SELECT user_id AS source_id, event_id AS line_no, {_LEVEL} AS level,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events"""
 )
 def log_newest_first(t: Tables):
-    return newest_first(parse_as(tail(_lines(t, I.zap_line()), 3), "json")).select("source_id", "line_no", "level")
+    """Every line's place in the order, so that the order is data."""
+    _, *order = newest_order()
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
+    return parse_as(_lines(t, I.zap_line()), "json").select("source_id", "line_no", "level", place.alias("place"))
 
 
 # ---- detection
@@ -95,8 +110,7 @@ def log_detect_sources(t: Tables):
 
 
 @query(
-    """SELECT doc_id AS source_id, 'plain' AS format, CAST(0 AS DOUBLE) AS confidence FROM documents
-       WHERE NOT regexp_full_match(text, '\\s*')"""
+    """SELECT doc_id AS source_id, 'plain' AS format, CAST(0 AS DOUBLE) AS confidence FROM documents"""
 )
 def log_detect_documents(t: Tables):
     """Prose is no log."""
@@ -246,7 +260,8 @@ _ENTRIES = f"""SELECT user_id, event_id, ts, event_type, {_FORMAT} AS format, {_
 
 
 def _entries(t: Tables):
-    return parse_logs(_lines(t, I.source_line()))
+    lines = _lines(t, I.source_line())
+    return parse_logs(lines, stage(detect_format(lines)))
 
 
 @query(f"SELECT {_ROW}, format, level, timestamp, message, parsed, stage FROM ({_ENTRIES})")
@@ -256,16 +271,27 @@ def log_entries_mixed(t: Tables):
     )
 
 
+_EVENT_TS = """CASE user_id % 6 WHEN 1 THEN NULL WHEN 3 THEN date_trunc('second', ts) WHEN 4 THEN NULL WHEN 5 THEN NULL
+                    ELSE ts END"""
+
+
 @query(
-    f"""SELECT {_ROW}, format, timestamp, message FROM ({_ENTRIES}) WHERE level = 'ERROR' ORDER BY event_id DESC LIMIT 20"""
+    f"""SELECT {_ROW}, format, timestamp, message FROM ({_ENTRIES}) WHERE level = 'ERROR'
+        ORDER BY {_EVENT_TS} DESC NULLS LAST, user_id, event_id LIMIT 20"""
 )
 def log_errors_top(t: Tables):
-    """Flagship: the latest errors of all sources, whatever they log in."""
+    """Flagship: the latest errors of all sources that date their lines, whatever they log in."""
     errors = _entries(t).where(F.col("level") == "ERROR")
-    newest = errors.orderBy(F.col("line_no").desc()).limit(20)
+    newest = errors.orderBy(F.col("event_ts").desc_nulls_last(), "source_id", "line_no").limit(20)
     return newest.select("source_id", "line_no", "format", "timestamp", "message")
 
 
+@query(f"SELECT {_ROW}, {_EVENT_TS} AS event_ts FROM events WHERE user_id % 6 <> 4")
+def log_event_ts(t: Tables):
+    entries = _entries(t).where(F.col("format") != "virtv2v")
+    return entries.select("source_id", "line_no", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+
+
 _BY_FORMAT = f"(SELECT *, {_FORMAT} AS format FROM events)"
 
 
@@ -306,13 +332,18 @@ def log_compact(t: Tables):
     return _entries(t).select("source_id", "line_no", compact.compact_line().alias("line"))
 
 
+_KEPT = "event_type = 'error'"
+
+
 @query(
-    f"""SELECT user_id AS source_id, {_FORMAT} AS format, count(*) AS lines,
-               CASE WHEN {_FORMAT} <> 'plain' THEN '# format: ' || {_FORMAT} || ', lines: ' || count(*) END AS header
-        FROM events GROUP BY user_id"""
+    f"""SELECT user_id AS source_id, {_FORMAT} AS format, count(*) FILTER ({_KEPT}) AS lines,
+               CASE WHEN {_FORMAT} = 'plain' THEN NULL WHEN count(*) FILTER ({_KEPT}) = 0 THEN '(no matching log entries)'
+                    ELSE '# format: ' || {_FORMAT} || ', lines: ' || count(*) FILTER ({_KEPT}) END AS header
+        FROM events GROUP BY user_id UNION ALL SELECT -r_regionkey - 1, 'plain', 0, NULL FROM region"""
 )
 def log_header(t: Tables):
-    lines = _lines(t, I.source_line())
-    formats = detect_format(lines)
-    kept = lines.where(F.col("value") != "")
-    return compact.log_header(kept, formats)
+    """After a filter, and with sources of blank lines only."""
+    blank = t.region.select((-F.col("r_regionkey") - 1).alias("source_id"), F.lit(1).cast("long").alias("line_no"), F.lit(" ").alias("value"))
+    lines = _lines(t, I.source_line()).unionByName(blank)
+    kept = t.events.where("event_type = 'error'").select(F.col("user_id").alias("source_id"))
+    return compact.log_header(kept, detect_format(lines))

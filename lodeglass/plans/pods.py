@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeglass.operators import compact, picks
-from lodeglass.plans.inputs import containers, pods, workloads
+from lodeglass.operators.entries import parse_as
+from lodeglass.operators.logs import requested_lines
+from lodeglass.plans.inputs import containers, open_workloads, pod_lines, pods, workloads
 from lodeglass.plans.registry import Tables, query
 
 # Orders a customer's workload selects, by segment.
@@ -62,6 +64,39 @@ def log_target(t: Tables):
     return picks.resolve_pods(requests, owned, pods(t.orders)).select("c_custkey", "pod", "problem")
 
 
+@query(
+    """SELECT n_name AS name, 'pod-' || min(o_orderkey) AS pod, count(o_orderkey) AS pods FROM nation
+       LEFT JOIN orders ON o_custkey % 7 = n_nationkey % 7
+        AND CASE n_nationkey % 3 WHEN 0 THEN o_orderpriority NOT IN ('1-URGENT', '5-LOW') WHEN 1 THEN o_orderstatus <> 'O' ELSE TRUE END
+       GROUP BY n_name"""
+)
+def pod_pick_negative(t: Tables):
+    """Workloads that only say what their pods do not have, and jobs that take every pod of a namespace."""
+    waiting = pods(t.orders).withColumn("phase", F.lit(None).cast("string"))
+    return picks.pick_pods(open_workloads(t.nation), waiting).select("name", "pod", "pods")
+
+
+@query(
+    f"""SELECT c.c_custkey, event_id AS line_no, 'ERROR' AS level, 'user ' || user_id || ' did error' AS message
+        FROM customer c JOIN ({_PICKED}) p USING (c_custkey) JOIN events ON event_id % 4000 = p.o_orderkey
+        WHERE event_type = 'error' AND c_mktsegment NOT IN ('MACHINERY', 'BUILDING')
+          AND CASE WHEN c_mktsegment = 'FURNITURE' THEN event_id % 2 = 1 ELSE event_id % 2 = 0 END"""
+)
+def log_request(t: Tables):
+    """From a workload's name to the errors in its log: pod, container, lines, entries."""
+    segment = F.col("c_mktsegment")
+    kind = F.when(segment == "MACHINERY", "pod").when(segment == "BUILDING", "cronjob").when(segment == "HOUSEHOLD", "job").otherwise("deployment")
+    requests = t.customer.select(
+        "c_custkey",
+        F.concat(F.lit("ns-"), F.pmod("c_custkey", F.lit(7))).alias("namespace"),
+        F.concat(kind, F.lit("/"), "c_name").alias("reference"),
+        F.when(segment == "FURNITURE", "side").alias("container"),
+    )
+    own = pods(t.orders).withColumn("containers", F.array(F.lit("istio-proxy"), F.lit("main"), F.lit("side")))
+    entries = parse_as(requested_lines(requests, workloads(t.customer), own, pod_lines(t.events, t.orders)), "json")
+    return entries.where("level = 'ERROR'").select("c_custkey", "line_no", "level", "message")
+
+
 _FORWARD = "['istio-proxy', 'vector', 'app-a', 'fluent-bit', 'app-b', 'envoy', 'app-c']"
 _LISTED = f"list_slice(CASE WHEN l_returnflag = 'R' THEN {_FORWARD} ELSE list_reverse({_FORWARD}) END, 1, l_linenumber)"
 

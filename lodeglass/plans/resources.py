@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeglass.functions import predicates as P
 from lodeglass.functions import reducers as R
-from lodeglass.functions.paths import path
+from lodeglass.functions.ordering import sort_keys
+from lodeglass.functions.paths import path, resolve
 from lodeglass.operators import display, names
 from lodeglass.operators.query import Item, Names, run
 from lodeglass.plans.inputs import HEADERS, customer_table, line_objects
@@ -303,16 +305,27 @@ def reduce_any(t: Tables):
     return run(line_objects(t.lineitem), select=["key", "n", *items])
 
 
-@query(f"SELECT {_KEY}, FALSE AS every FROM lineitem")
+@query(
+    f"""SELECT {_KEY}, l_linenumber > 1 AND l_linenumber < 6 AND (l_returnflag = 'R' OR l_linenumber < 4) AS every,
+               FALSE AS mixed FROM lineitem"""
+)
 def reduce_all(t: Tables):
-    return run(line_objects(t.lineitem), select=["key", "n", Item("spec.items[*].ret", "every", "all")])
+    """Flags of one to six elements: true, false and, from the fifth on, one NULL; the first line of an order has none."""
+    numbers = F.filter(F.sequence(F.lit(1), F.lit(7)), lambda i: i < F.col("l_linenumber"))
+    flag = lambda i: F.when((i == 4) & (F.col("l_linenumber") > 5), F.lit(None)).otherwise(
+        (i < 3) | (F.col("l_returnflag") == "R")
+    )
+    objects = line_objects(t.lineitem.withColumn("flags", F.transform(numbers, flag)), "flags")
+    return run(
+        objects, select=["key", "n", Item("flags", "every", "all"), Item("spec.items[*].ret", "mixed", "all")]
+    )
 
 
-@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER))) = len(embedding) AS positive, len(embedding) > 0 AND list_max(embedding) > 0.3 AS high FROM embeddings")
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(x > -0.25 AS INTEGER))) = len(embedding) AS positive, len(embedding) > 0 AND list_max(embedding) > 0.3 AS high FROM embeddings")
 def reduce_flags(t: Tables):
     flags = t.embeddings.select(
         "vec_id",
-        F.transform("embedding", lambda x: x > 0).alias("signs"),
+        F.transform("embedding", lambda x: x.cast("double") > -0.25).alias("signs"),
         F.transform("embedding", lambda x: x.cast("double") > 0.3).alias("highs"),
     )
     return run(flags, select=["vec_id", Item("signs", "positive", "all"), Item("highs", "high", "any")])
@@ -338,25 +351,33 @@ def _mixed(t: Tables):
         .when(size < 30, F.col("p_type"))
         .when(size < 49, F.concat(F.lit("0"), text))
     )
-    return t.part.select("p_partkey", mixed.alias("mixed"))
+    return t.part.select("p_partkey", "p_brand", mixed.alias("mixed"))
+
+
+def _ranked(t: Tables, descending: bool):
+    """Every part's place among those of its brand, so that the order is data."""
+    mixed = _mixed(t)
+    order = sort_keys(resolve(mixed, "mixed"), descending)
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(*order, "p_partkey"))
+    return mixed.select("p_partkey", "p_brand", "mixed", place.alias("place"))
 
 
 @query(
-    f"""SELECT p_partkey, {_MIXED} AS mixed FROM part
-        ORDER BY ({_MIXED}) IS NOT NULL, {_MIXED_NUMBER} IS NULL, {_MIXED_NUMBER},
-                 CASE WHEN {_MIXED_NUMBER} IS NULL THEN {_MIXED} END, p_partkey LIMIT 300"""
+    f"""SELECT p_partkey, p_brand, {_MIXED} AS mixed, row_number() OVER (PARTITION BY p_brand
+          ORDER BY ({_MIXED}) IS NOT NULL, {_MIXED_NUMBER} IS NULL, {_MIXED_NUMBER},
+                   CASE WHEN {_MIXED_NUMBER} IS NULL THEN {_MIXED} END, p_partkey) AS place FROM part"""
 )
 def sort_numeric_text(t: Tables):
-    return run(_mixed(t), order_by=["mixed"], tie=["p_partkey"], limit=300)
+    return _ranked(t, descending=False)
 
 
 @query(
-    f"""SELECT p_partkey, {_MIXED} AS mixed FROM part
-        ORDER BY ({_MIXED}) IS NULL, {_MIXED_NUMBER} IS NOT NULL, {_MIXED_NUMBER} DESC,
-                 CASE WHEN {_MIXED_NUMBER} IS NULL THEN {_MIXED} END DESC, p_partkey LIMIT 300"""
+    f"""SELECT p_partkey, p_brand, {_MIXED} AS mixed, row_number() OVER (PARTITION BY p_brand
+          ORDER BY ({_MIXED}) IS NULL, {_MIXED_NUMBER} IS NOT NULL, {_MIXED_NUMBER} DESC,
+                   CASE WHEN {_MIXED_NUMBER} IS NULL THEN {_MIXED} END DESC, p_partkey) AS place FROM part"""
 )
 def sort_numeric_text_desc(t: Tables):
-    return run(_mixed(t), order_by=[("mixed", True)], tie=["p_partkey"], limit=300)
+    return _ranked(t, descending=True)
 
 
 @query(

@@ -1,30 +1,32 @@
-"""Small results written once in the cluster's shared folder, so that later steps know their size and survive lost
-executors."""
+"""Small results written once in a folder that all executors share, so that later steps know their size and survive
+lost executors."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lodeglass-")
-    spark.conf.set(_SETTING, folder)
-    return folder
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` as a written table."""
+    """``spark.checkpoint.dir``; where that is unset, a folder of the warehouse, which executors share as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+
+
+def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a written table in ``folder``; :func:`release` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(staged: DataFrame) -> None:
+    """Delete what :func:`stage` wrote; nothing may read it any more."""
+    spark = staged.sparkSession
+    for file in staged.inputFiles():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if not folder.getName().startswith("stage-"):
+            raise ValueError(f"{folder} was not staged")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

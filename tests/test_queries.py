@@ -12,7 +12,7 @@ from lodeglass.operators.entries import parse_logs
 from lodeglass.plans import QUERIES, Tables
 from lodeglass.plans import inputs as I
 from lodeglass.plans.registry import TABLES
-from lodeglass.sources.staging import stage
+from lodeglass.sources.staging import release, stage
 
 FOLDER = pathlib.Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no tables")
@@ -68,9 +68,28 @@ def test_each_line_is_parsed_once_and_not_shuffled(tables):
     """A filter on a parsed column must not parse again below, and raw-line filters must sink to the scan."""
     lines = I.lines(tables.events, I.zap_line())
     formats = stage(detect_format(lines))
+    assert release(stage(formats)) is None
     errors = parse_logs(lines, formats).where("level = 'ERROR' and raw_line like '%error%'")
     plan = errors._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate inline", 1)
     assert "from_json" not in above
     assert "Contains(" in below or "contains(" in below.lower()
     assert "Exchange hashpartitioning" not in plan_of(errors)
+
+
+@pytest.mark.parametrize("name", ["log_detect", "log_tail"])
+def test_lines_are_not_sorted_before_they_are_picked(tables, name):
+    """Blocks are counted by hashing; only lines of the blocks that are wanted are exchanged and sorted."""
+    plan = plan_of(QUERIES[name].build(tables))
+    scans = plan.split("FileScan")[:-1]
+    for above in scans:
+        below_last_exchange = above.rsplit("Exchange", 1)[1]
+        assert "Sort " not in below_last_exchange
+    assert plan.count("FileScan") == 2
+    assert "BroadcastHashJoin" in plan.split("Exchange hashpartitioning(source_id", 2)[1 if name == "log_tail" else 2]
+
+
+def test_no_query_pairs_rows_without_a_key(tables):
+    for name in ("log_request", "pod_pick_negative", "workload_pods", "log_target"):
+        plan = plan_of(QUERIES[name].build(tables))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

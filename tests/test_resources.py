@@ -11,7 +11,7 @@ from lodeglass.functions import predicates as P
 from lodeglass.functions import reducers as R
 from lodeglass.functions.paths import match_name, path, resolve
 from lodeglass.functions.values import float_text
-from lodeglass.operators import display, names, picks
+from lodeglass.operators import display, logs, names, picks
 from lodeglass.operators.query import Item, Names, run
 from lodeglass.sources import sinks
 
@@ -267,7 +267,7 @@ def test_pods_of_workloads(spark):
     keys, values = ["app", "tier", "zone"], ["x", "y", "z"]
     pods = [
         (f"ns{rng.randrange(2)}", f"p{i}", {"app": "hot"} if rng.random() < 0.5 else {k: rng.choice(values) for k in keys if rng.random() < 0.7},
-         rng.choice(["Running", "Pending", "Failed"]), i)
+         rng.choice(["Running", "Pending", "Failed", None]), i)
         for i in range(60)
     ]
     ops = ["In", "NotIn", "Exists", "DoesNotExist"]
@@ -304,6 +304,42 @@ def test_pods_of_workloads(spark):
     }
 
 
+def test_requested_lines(spark):
+    """From references to lines: a workload's pod and chosen container, a named pod and container, and what is not found."""
+    pods = [
+        ("n", "p0", {"a": "1"}, None, 0, ["envoy", "main"]), ("n", "p1", {"a": "1"}, "Running", 1, ["envoy", "main"]),
+        ("n", "solo", {}, "Running", 2, ["only"]),
+    ]
+    pods = spark.createDataFrame(pods, "namespace string, name string, labels map<string,string>, phase string, pos long, containers array<string>")
+    workloads = spark.createDataFrame(
+        [("n", "Deployment", "web", {"a": "1"}, None, None), ("n", "Deployment", "other", {"a": "2"}, None, None)],
+        "namespace string, kind string, name string, match_labels map<string,string>,"
+        "match_expressions array<struct<key:string,op:string,values:array<string>>>, template_labels map<string,string>",
+    )
+    asked = [
+        (1, "n", "deploy/web", None), (2, "n", "p0", "envoy"), (3, "n", "solo", ""), (4, "n", "deploy/other", None),
+        (5, "n", "deploy/none", None), (6, "n", "gone", None),
+    ]
+    requests = spark.createDataFrame(asked, "id int, namespace string, reference string, container string")
+    found = {r.id: (r.pod, r.container, r.containers, r.problem) for r in logs.resolve_requests(requests, workloads, pods).collect()}
+    assert found == {
+        1: ("p1", "main", ["envoy", "main"], None), 2: ("p0", "envoy", None, None), 3: ("solo", "only", None, None),
+        4: (None, None, None, "no pods found"), 5: (None, None, None, "workload not found"), 6: ("gone", None, None, "pod not found"),
+    }
+    lines = [("n", p, c, k, f"{p} {c} {k}") for p in ("p0", "p1", "solo") for c in ("envoy", "main", "only") for k in (1, 2)]
+    lines = spark.createDataFrame(lines, "namespace string, pod string, container string, line_no long, value string")
+    got = logs.requested_lines(requests, workloads, pods, lines).select("id", "source_id", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(
+        (i, f"n/{p}/{c}", f"{p} {c} {k}") for i, p, c in ((1, "p1", "main"), (2, "p0", "envoy"), (3, "solo", "only")) for k in (1, 2)
+    )
+
+
+def test_members_that_differ_by_case(spark):
+    df = spark.sql("SELECT named_struct('Aa', 1, 'aA', 'x', 'b', 2) AS s, array(named_struct('k', 1, 'K', 2)) AS l")
+    row = df.select(path(df, "s.Aa").alias("a"), path(df, "s.aA").alias("b"), path(df, "s.AA").alias("c"), path(df, "l[*].K").alias("d")).first()
+    assert tuple(row) == (1, "x", 1, [2])
+
+
 def test_float_text(spark):
     cases = {0.0: "0", 1.5: "1.5", 1e-4: "0.0001", 1.234e-5: "1.234e-05", 123456.0: "123456", 1234567.0: "1.234567e+06",
              1e21: "1e+21", -2.5: "-2.5", 1.5e300: "1.5e+300", 100000.0: "100000", 0.1: "0.1"}
