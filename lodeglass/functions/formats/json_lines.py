@@ -14,8 +14,7 @@ LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
 # How containers start, and numbers whose text here is not their JSON text.
 _TYPED = r"(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
-# Where a line has such a member, and where it has a string that looks like one or might, once its escape is read.
-_HAS_TYPED = rf":[ \t\r\n]*{_TYPED}"
+# Where a line has a string that looks like one, or might, once its escape is read.
 _HAS_LOOKALIKE = rf':[ \t\r\n]*"(?:{_TYPED}|[-\d.]*\\u)'
 
 # Strict JSON: no single quotes, no NaN.
@@ -40,24 +39,20 @@ def looks_like(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """Texts of the top-level members of the line's JSON object; NULL when it is not exactly one object.
+    """The top-level members of the line's JSON object as their texts; NULL when it is not exactly one object.
 
     Reading members as strings gives their texts already, except for containers and for numbers that print with a
-    fraction or an exponent. These are typed by how they look; only a line that also has strings looking like them is
-    read again with types.
+    fraction or an exponent. These are told by how they look, when they are shown; only a line that also has strings
+    looking like them is read again, with types.
     """
     body = text.let(text.trim_space(line), strip_stamp)
 
     def read(b: Column) -> Column:
-        members = text.let(_members(b, "string"), _unique)
-        variants = F.when(b.rlike(_HAS_LOOKALIKE), _unique(_members(b, "variant")))
-
-        def texts(m: Column) -> Column:
-            return F.when(b.rlike(_HAS_TYPED), text.let(variants, lambda v: _typed_texts(m, v))).otherwise(
-                _string_texts(m)
-            )
-
-        return F.when(b.startswith("{"), text.let(members, texts))
+        typed = F.when(b.rlike(_HAS_LOOKALIKE), _unique(_members(b, "variant"))).alias("variants")
+        token = text.let(
+            _unique(_members(b, "string")), lambda m: F.when(m.isNotNull(), F.struct(m.alias("members"), typed))
+        )
+        return F.when(b.startswith("{"), token)
 
     return text.let(body, read)
 
@@ -89,43 +84,35 @@ def _is_known(key: Column, logrus: Column) -> Column:
     return F.when(logrus, key.isin(*LOGRUS_KEYS)).otherwise(key.isin(*ZAP_KEYS))
 
 
-def _null_text(key: Column, logrus: Column) -> Column:
-    return F.when(_is_known(key, logrus), "").otherwise("<nil>")
+def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column:
+    """Text of a member that is not null; a container that cannot be read on its own keeps its JSON text."""
 
+    def exact(json: Column) -> Column:
+        typed = F.when(token["variants"].isNotNull(), token["variants"][key]).otherwise(F.try_parse_json(json))
+        return text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)))
 
-def _string_texts(members: Column) -> Column:
-    filled = text.let(
-        _is_logrus(members),
-        lambda logrus: F.transform_values(members, lambda k, v: F.coalesce(v, _null_text(k, logrus))),
-    )
-    return F.when(F.exists(F.map_values(members), lambda v: v.isNull()), filled).otherwise(members)
-
-
-def _typed_texts(members: Column, variants: Column) -> Column:
-    """``variants`` is NULL where looks are enough; a container that cannot be read on its own keeps its JSON text."""
-
-    def shown(key: Column, value: Column, logrus: Column) -> Column:
-        typed = F.when(variants.isNotNull(), variants[key]).otherwise(F.try_parse_json(value))
-        exact = text.let(
-            typed, lambda v: F.when(v.isNotNull(), values.value_text(value, v, _is_known(key, logrus)))
-        )
-        return F.coalesce(F.when(value.rlike(f"^{_TYPED}"), exact), value, _null_text(key, logrus))
-
-    return text.let(
-        _is_logrus(members), lambda logrus: F.transform_values(members, lambda k, v: shown(k, v, logrus))
-    )
+    return text.let(value, lambda v: F.coalesce(F.when(v.rlike(f"^{_TYPED}"), exact(v)), v))
 
 
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
-    logrus = _is_logrus(token)
+    members = token["members"]
+    logrus = _is_logrus(members)
+
+    def known(key: str) -> Column:
+        return _shown(token, F.lit(key), members[key], F.lit(True))
 
     def member(in_logrus: str, in_zap: str) -> Column:
-        return F.coalesce(F.when(logrus, token[in_logrus]).otherwise(token[in_zap]), F.lit(""))
+        found = known(in_zap) if in_zap == in_logrus else F.when(logrus, known(in_logrus)).otherwise(known(in_zap))
+        return F.coalesce(found, F.lit(""))
+
+    def others(is_logrus: Column) -> Column:
+        own = F.map_filter(members, lambda k, _: ~_is_known(k, is_logrus))
+        return F.transform_values(own, lambda k, v: F.coalesce(_shown(token, k, v, F.lit(False)), F.lit("<nil>")))
 
-    stamp = F.coalesce(F.nullif(member("timestamp", "ts"), F.lit("")), F.when(logrus, token["time"]), F.lit(""))
+    stamp = F.coalesce(F.nullif(member("timestamp", "ts"), F.lit("")), F.when(logrus, known("time")), F.lit(""))
     return entry(
         token.isNotNull(),
-        fields=text.let(logrus, lambda is_logrus: F.map_filter(token, lambda k, _: ~_is_known(k, is_logrus))),
+        fields=text.let(logrus, others),
         timestamp=text.time_of_day(stamp),
         level=text.normal_level(member("level", "level")),
         message=member("msg", "msg"),

@@ -97,7 +97,12 @@ def value_text(json: Column, value: Column, printed: Column) -> Column:
 
 
 def depth(json: Column) -> Column:
-    """How deep brackets outside strings are nested."""
+    """How deep brackets outside strings are nested; where there is one opening bracket, it may be in a string."""
+    opening = F.length(json) - F.length(F.translate(json, "{[", ""))
+    return F.when(opening < 2, opening).otherwise(_folded_depth(json))
+
+
+def _folded_depth(json: Column) -> Column:
     unquoted = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     brackets = F.split(F.regexp_replace(unquoted, r"[^\[\]{}]++", ""), "")
 

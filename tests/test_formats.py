@@ -235,7 +235,7 @@ def test_many_nested_objects_in_one_line(spark):
     (row,) = parsed(spark, "json", line)
     assert row.fields["l"] == ",".join(f"a={k} b=[{{" for k in range(8000))
     assert time.perf_counter() - begun < 6
-    cases = {"1": 0, "[]": 1, '{"a":[{"b":"]]}}[["}]}': 3, '"[\\"["': 0, "[[],[[]]]": 3}
+    cases = {"1": 0, "[]": 1, '{"a":[{"b":"]]}}[["}]}': 3, '"[[\\"["': 0, "[[],[[]]]": 3}
     df = spark.createDataFrame([(k,) for k in cases], "j string").select("j", depth(F.col("j")).alias("d"))
     assert {r.j: r.d for r in df.collect()} == cases
 
