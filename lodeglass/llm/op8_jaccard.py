@@ -38,11 +38,11 @@ SCAN = 4
 #: Bits that tell texts apart before they are compared.
 BITS = 1024
 #: Bytes of texts that are handled at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Stands for a missing id: after all others.
 _LAST = 2**63 - 1
 #: Bytes of text for each hash range, and ranges at least.
-RANGE_BYTES, MIN_RANGES = 64 << 20, 32
+RANGE_BYTES, MIN_RANGES = 16 << 20, 32
 
 
 def _needed(n: np.ndarray | int, percent: int):

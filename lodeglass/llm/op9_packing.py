@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,22 +73,6 @@ def plan_bins(
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def _numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the task and the number of each piece among those of its length in the task."""
-    task, seen = TaskContext.get().partitionId(), {}
-    for batch in rows:
-        length = batch.column("length").to_numpy(zero_copy_only=False)
-        order = np.argsort(length, kind="stable")
-        sizes, at, counts = np.unique(length[order], return_index=True, return_counts=True)
-        number = np.empty(len(length), np.int64)
-        base = np.array([seen.get(s, 0) for s in sizes.tolist()], np.int64)
-        number[order] = np.arange(len(length)) - np.repeat(at, counts) + np.repeat(base, counts)
-        seen.update(zip(sizes.tolist(), (base + counts).tolist(), strict=True))
-        extra = {"task": pa.array(np.full(len(length), task)), "number": pa.array(number)}
-        columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | extra
-        yield pa.RecordBatch.from_pydict(columns)
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY, **bounds) -> DataFrame:
     """``pieces`` (which have a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``, which
     replace columns of those names.
@@ -99,8 +82,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, **bounds) -> DataFrame:
     """
     inner = pieces.select(others(pieces, "sequence_id", "offset"), F.col("length").cast("int").alias("length"))
     kind = inner.schema["row"].dataType.simpleString()
-    numbered = stage(inner.mapInArrow(_numbered, f"row {kind}, length int, task long, number long"))
-    by_task = numbered.groupBy("length", "task").count()
+    placed_in = stage(inner.withColumns({"task": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    among = Window.partitionBy("length", "task").orderBy("at")
+    numbered = placed_in.select("row", "length", "task", (F.row_number().over(among) - 1).alias("number"))
+    by_task = placed_in.groupBy("length", "task").count()
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = stage(by_task.select("*", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")))
     counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("count").alias("n")).collect()}

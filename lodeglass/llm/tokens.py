@@ -13,7 +13,7 @@ import pyarrow as pa
 from lodeglass.llm import grams
 
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Bytes of texts that are encoded at once.
 AT_ONCE = 2 << 20
 _ALNUM, _MARK, _GAP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
