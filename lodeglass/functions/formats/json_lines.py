@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeglass.functions import text, values
 from lodeglass.functions.formats.common import entry
 
-# Keys that have an entry column of their own (or are dropped) in each layout.
+# Keys that have an entry column of their own (or are dropped) in each layout, place by place.
 ZAP_KEYS = ("level", "ts", "msg", "logger", "caller", "stacktrace")
 LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
@@ -39,7 +39,8 @@ def looks_like(line: Column) -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """The top-level members of the line's JSON object as their texts; NULL when it is not exactly one object.
+    """The top-level members of the line's JSON object as their texts, and those with an entry column as shown there;
+    NULL when it is not exactly one object.
 
     Reading members as strings gives their texts already, except for containers and for numbers that print with a
     fraction or an exponent. These are told by how they look, when they are shown; only a line that also has strings
@@ -52,7 +53,13 @@ def tokens(line: Column) -> Column:
         token = text.let(
             _unique(_members(b, "string")), lambda m: F.when(m.isNotNull(), F.struct(m.alias("members"), typed))
         )
-        return F.when(b.startswith("{"), token)
+        return F.when(b.startswith("{"), text.let(token, with_known))
+
+    def with_known(token: Column) -> Column:
+        zap, logrus = (F.array(*map(F.lit, keys)) for keys in (ZAP_KEYS, LOGRUS_KEYS))
+        keys = F.when(_is_logrus(token["members"]), logrus).otherwise(zap)
+        shown = F.transform(keys, lambda k: F.coalesce(_shown(token, k, token["members"][k], F.lit(True)), F.lit("")))
+        return F.when(token.isNotNull(), F.struct(token["members"].alias("members"), token["variants"].alias("variants"), shown.alias("known")))
 
     return text.let(body, read)
 
@@ -97,25 +104,19 @@ def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     members = token["members"]
     logrus = _is_logrus(members)
-
-    def known(key: str) -> Column:
-        return _shown(token, F.lit(key), members[key], F.lit(True))
-
-    def member(in_logrus: str, in_zap: str) -> Column:
-        found = known(in_zap) if in_zap == in_logrus else F.when(logrus, known(in_logrus)).otherwise(known(in_zap))
-        return F.coalesce(found, F.lit(""))
+    level, stamp, message, logger, source, time = (F.get(token["known"], F.lit(k)) for k in range(len(ZAP_KEYS)))
 
     def others(is_logrus: Column) -> Column:
         own = F.map_filter(members, lambda k, _: ~_is_known(k, is_logrus))
         return F.transform_values(own, lambda k, v: F.coalesce(_shown(token, k, v, F.lit(False)), F.lit("<nil>")))
 
-    stamp = F.coalesce(F.nullif(member("timestamp", "ts"), F.lit("")), F.when(logrus, known("time")), F.lit(""))
+    stamp = F.when((stamp == "") & logrus, time).otherwise(stamp)
     return entry(
         token.isNotNull(),
         fields=text.let(logrus, others),
         timestamp=text.time_of_day(stamp),
-        level=text.normal_level(member("level", "level")),
-        message=member("msg", "msg"),
-        source=member("pos", "caller"),
-        logger=member("component", "logger"),
+        level=text.normal_level(level),
+        message=message,
+        source=source,
+        logger=logger,
     )
