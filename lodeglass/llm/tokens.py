@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from lodeglass.llm import grams
 
-#: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 150_000
+#: Pieces that a worker remembers; beyond, it goes on with those of the batch at hand.
+REMEMBERED = 500_000
 #: Bytes of texts that are encoded at once.
 AT_ONCE = 2 << 20
 _ALNUM, _MARK, _GAP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -42,8 +42,9 @@ class Encoder:
         self._closes = np.zeros(self._tokenizer.get_vocab_size(), bool)
         for token, id in self._tokenizer.get_vocab().items():
             self._closes[id] = bool(suffix) and token.endswith(suffix)
-        self._new: dict[int, bytes] = {}
-        self._old: dict[int, bytes] = {}
+        # what is remembered: hashes in order, and where among the ids each one's begin and how many they are
+        self._hashes, self._begin = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._size, self._ids = np.empty(0, np.int32), np.empty(0, "<u4")
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, each with its end, and where each text's begin."""
@@ -64,32 +65,38 @@ class Encoder:
         which = np.empty(len(hashes), np.int64)
         which[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
         first = order[at[:-1]]
-        ids = self._looked_up(data, pieces.start[first], pieces.end[first], hashes[first].tolist())
-        sizes = np.array([len(x) for x in ids], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        own = sizes[which]
+        begins, sizes = self._looked_up(data, pieces.start[first], pieces.end[first], hashes[first])
+        own = sizes[which].astype(np.int64)
         ends = np.cumsum(own)
-        begin = (np.cumsum(sizes) - sizes)[which]
-        out = flat[np.repeat(begin - (ends - own), own) + np.arange(int(own.sum()))]
+        out = self._ids[np.repeat(begins[which] - (ends - own), own) + np.arange(int(own.sum()))]
         starts = np.append(0, ends)[pieces.first]
         return np.insert(out, starts[1:], self._end), starts + np.arange(len(bounds))
 
-    def _looked_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: list[int]) -> list[bytes]:
-        if len(self._new) > REMEMBERED:
-            self._old, self._new = self._new, {}
-        new, old = self._new, self._old
-        missing = []
-        for k, h in enumerate(hashes):
-            if h not in new:
-                if h in old:
-                    new[h] = old[h]
-                else:
-                    missing.append(k)
-        if missing:
+    def _looked_up(
+        self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces with these hashes, which are in order, begin, and how many they are."""
+        at = np.searchsorted(self._hashes, hashes)
+        missing = np.ones(len(hashes), bool)
+        inside = at < len(self._hashes)
+        missing[inside] = self._hashes[at[inside]] != hashes[inside]
+        if missing.any():
             texts = [bytes(data[a:b]).decode() for a, b in zip(start[missing], end[missing], strict=True)]
-            for k, x in zip(missing, self._encoded(texts), strict=True):
-                new[hashes[k]] = x
-        return [new[h] for h in hashes]
+            found = self._encoded(texts)
+            sizes = np.array([len(x) // 4 for x in found], np.int32)
+            begins = len(self._ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+            self._hashes = np.insert(self._hashes, at[missing], hashes[missing])
+            self._begin = np.insert(self._begin, at[missing], begins)
+            self._size = np.insert(self._size, at[missing], sizes)
+            self._ids = np.append(self._ids, np.frombuffer(b"".join(found), "<u4"))
+            at = np.searchsorted(self._hashes, hashes)
+        if len(self._hashes) > REMEMBERED:
+            begins, sizes = self._begin[at], self._size[at].astype(np.int64)
+            ends = np.cumsum(sizes)
+            self._ids = self._ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+            self._hashes, self._begin, self._size = hashes, ends - sizes, sizes.astype(np.int32)
+            at = np.arange(len(hashes))
+        return self._begin[at], self._size[at]
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece. Plain words go many at a time where the tokenizer marks each word's last token."""
