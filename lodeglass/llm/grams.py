@@ -6,7 +6,8 @@ way from its words' hashes. A batch of texts is one byte buffer, so nothing here
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,26 @@ _GAPS[[32, *range(9, 14)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``function``, with :func:`release` after each group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = function(rows)
+        release()
+        return out
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bits of ``x`` spread over all bits, one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -112,6 +133,7 @@ def batches(
             own = bounds[low : high + 1]
             yield batch.slice(low, high - low), data[own[0] : own[-1]], own - own[0]
             low = high
+    release()
 
 
 def cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

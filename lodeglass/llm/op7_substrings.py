@@ -107,7 +107,7 @@ def _verdicts(width: int, others: bool):
 
 
 def _exchange(entries: DataFrame, width: int, others: bool) -> DataFrame:
-    told = entries.groupBy("range").applyInArrow(_verdicts(width, others), "id long, told binary")
+    told = entries.groupBy("range").applyInArrow(grams.tidy(_verdicts(width, others)), "id long, told binary")
     return told.groupBy("id").agg(F.collect_list("told").alias("told"))
 
 

@@ -176,7 +176,7 @@ def _measured(keyed: DataFrame, shingle: int, n_ranges: int) -> DataFrame:
 
     schema = "range int, tokens binary, counts binary, keys binary, owned binary, ids binary, sizes binary"
     packed = keyed.mapInArrow(shingles, schema)
-    return packed.groupBy("range").applyInArrow(alone, "id long, key long, size long, alone long")
+    return packed.groupBy("range").applyInArrow(grams.tidy(alone), "id long, key long, size long, alone long")
 
 
 def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
 
     packed = keyed.mapInArrow(lists, "range int, tokens binary, counts binary, keys binary, ids binary, sizes binary, shared binary")
     schema = "list long, members long, tokens long, key long, size long, shared long, centre long, centre_size long, centre_shared long"
-    return packed.groupBy("range").applyInArrow(members, schema)
+    return packed.groupBy("range").applyInArrow(grams.tidy(members), schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
