@@ -4,6 +4,9 @@ Of every ``run`` lines in a row the one with the least hash is a fingerprint, so
 fingerprints that occur twice are followed: around their places the runs are hashed whole, in both directions as far as
 they hold the fingerprint, and the first place of each run is kept. A run is deleted wherever it begins later, by document
 and line. Counts and first places are grouped, so no pairs of places are made, however often a run occurs.
+
+Shorter runs may count too, if they hold enough words (``passage``). Each of them is its own fingerprint: they are few, as
+the rest of the text has to be in longer lines.
 """
 
 from __future__ import annotations
@@ -11,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm.common import Query, carried, pin, stage, table
+from lodeglass.llm.common import BREAKS, Query, carried, pin, stage, table
 
 #: Lines of the shortest run that counts as repeated.
 RUN = 3
+#: Words of the shortest passage that counts as repeated on fewer lines.
+PASSAGE = 50
 
 
 def _least(run: int) -> Column:
@@ -25,14 +30,37 @@ def _least(run: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_h") - run), rank))
 
 
+def _wordy(lines: int, passage: int) -> Column:
+    """Places in ``_w``, the words of each line, where so many ``lines`` begin that hold ``passage`` words together."""
+    held = lambda at: sum((F.get("_w", at + k) for k in range(1, lines)), F.get("_w", at))
+    return F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda at: held(at) >= passage)
+
+
+def _runs(begun: DataFrame, lines: int) -> DataFrame:
+    """The runs of so many ``lines`` that begin at ``at``, with the lines of the text that go with them."""
+    to = F.coalesce(F.get("_k", F.col("at") + lines), F.col("_n")) - 1
+    return begun.select(
+        "_id", "_key", "at", F.lit(lines).alias("long"),
+        F.xxhash64(F.slice("_h", F.col("at") + 1, F.lit(lines))).alias("h"),
+        F.xxhash64(F.slice("_g", F.col("at") + 1, F.lit(lines))).alias("g"),
+        F.get("_k", F.col("at")).alias("from"), to.alias("to"),
+    )
+
+
 def dedup_lines(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN, into: str = "lines"
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    run: int = RUN,
+    into: str = "lines",
+    passage: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``into`` (which replaces a column of that name): n_lines (with words), n_removed and kept, the text without later repeated runs.
 
     Lines are parted by line feeds and compared whole; those without words are neither compared nor counted, and go
     with the line before them. Places are in order of ``id``, then line; a missing id is after all others. A run is
-    deleted if the same ``run`` lines also begin at a smaller (id, line), judged on the input. So equal ids, and equal
+    deleted if the same ``run`` lines also begin at a smaller (id, line), judged on the input. With ``passage``, so are
+    fewer lines in a row that hold at least so many words together. So equal ids, and equal
     rows, do not delete each other's lines at the same place. Null and empty texts are kept as they are. Columns of any
     name pass through.
     """
@@ -42,7 +70,9 @@ def dedup_lines(
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     numbered = F.transform(F.split("_text", "\n"), lambda x, k: F.struct(x.alias("line"), k.alias("k")))
     worded = F.filter(numbered, lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
-    lines = pin(rows.select("_id", "_key", "_text"), _lines=worded).where(F.size("_lines") >= run)
+    lines = pin(rows.select("_id", "_key", "_text"), _lines=worded).where(F.size("_lines") >= (1 if passage else run))
+    n_words = lambda x: F.size(F.split(F.btrim(x["line"], F.lit(BREAKS)), r"[\x20\x09-\x0D]+"))
+    counted = [F.transform("_lines", n_words).alias("_w")] if passage else []
     known = stage(
         lines.select(
             "_id",
@@ -51,9 +81,10 @@ def dedup_lines(
             F.transform("_lines", lambda x: F.xxhash64(F.lit(1), x["line"])).alias("_g"),
             F.transform("_lines", lambda x: x["k"]).alias("_k"),
             F.size(F.split("_text", "\n")).alias("_n"),
+            *counted,
         ).dropDuplicates(["_id", "_key"])
     )
-    prints = known.select("_id", "_key", F.inline(_least(run)))
+    prints = known.where(F.size("_h") >= run).select("_id", "_key", F.inline(_least(run)))
     again = prints.groupBy("hash").count().where("count > 1").select("hash")
     places = prints.join(again, "hash", "left_semi").groupBy("_id", "_key").agg(F.collect_set(-F.col("place")).alias("_at"))
     last = F.size("_h") - run
@@ -62,17 +93,13 @@ def dedup_lines(
     )
     same = F.col("known._id").eqNullSafe(F.col("places._id")) & (F.col("known._key") == F.col("places._key"))
     around = known.alias("known").join(places.alias("places"), same).select("known.*", "_at")
-    begun = around.select("_id", "_key", "_h", "_g", "_k", "_n", F.explode(near).alias("at"))
-    to = F.coalesce(F.get("_k", F.col("at") + run), F.col("_n")) - 1
-    runs = begun.select(
-        "_id", "_key", "at",
-        F.xxhash64(F.slice("_h", F.col("at") + 1, F.lit(run))).alias("h"),
-        F.xxhash64(F.slice("_g", F.col("at") + 1, F.lit(run))).alias("g"),
-        F.get("_k", F.col("at")).alias("from"), to.alias("to"),
-    )
+    runs = _runs(around.select("_id", "_key", "_h", "_g", "_k", "_n", F.explode(near).alias("at")), run)
+    for few in range(1, run if passage else 1):
+        begun = known.select("_id", "_key", "_h", "_g", "_k", "_n", F.explode(_wordy(few, passage)).alias("at"))
+        runs = runs.unionByName(_runs(begun, few))
     place = F.struct("_id", "at")
-    first = runs.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(first, ["h", "g"]).where(place > F.col("first"))
+    first = runs.groupBy("long", "h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = runs.join(first, ["long", "h", "g"]).where(place > F.col("first"))
     gone = later.groupBy("_id", "_key").agg(
         F.array_distinct(F.flatten(F.collect_set(F.sequence("from", "to")))).alias("_gone")
     )
@@ -94,12 +121,21 @@ def dedup_lines(
     )
 
 
-def query(spark: SparkSession, folder: str) -> DataFrame:
-    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+def _answer(spark: SparkSession, folder: str, passage: int | None = None) -> DataFrame:
+    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), passage=passage)
     kept = F.sha2(F.coalesce("lines.kept", F.lit("")), 256).alias("kept_sha256")
     return out.select("doc_id", "lines.n_lines", "lines.n_removed", kept)
 
 
+def query(spark: SparkSession, folder: str) -> DataFrame:
+    return _answer(spark, folder)
+
+
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages on one or two lines as well."""
+    return _answer(spark, folder, PASSAGE)
+
+
 SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lined AS (SELECT r, doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM docs),
@@ -123,4 +159,32 @@ SELECT doc_id, n AS n_lines, n_gone AS n_removed, sha256(coalesce(kept, '')) AS
 FROM docs JOIN left_over USING (r)
 """
 
-QUERIES = {"op3_lines": Query(query, SQL)}
+#: The same with passages: fewer than ``RUN`` lines in a row are a run if they hold ``PASSAGE`` words.
+PASSAGES_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lined AS (SELECT r, doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM docs),
+worded AS (
+  SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY r ORDER BY k) AS p
+  FROM lined WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+ahead AS (
+  SELECT r, doc_id, p, list(x) OVER w AS xs, list(words) OVER w AS ns FROM worded
+  WINDOW w AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
+runs AS (
+  SELECT r, doc_id, p, long, xs[1:long] AS g FROM ahead, (SELECT unnest(range(1, {RUN} + 1)) AS long)
+  WHERE len(xs) >= long AND (long = {RUN} OR list_sum(ns[1:long]) >= {PASSAGE})),
+firsts AS (SELECT g, min((doc_id, p)) AS first FROM runs GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, p + k AS p FROM runs JOIN firsts USING (g), range({RUN}) AS s(k)
+  WHERE k < long AND (doc_id, p) > first),
+owned AS (
+  SELECT l.r, l.k, l.x, w.p IS NOT NULL AS has_words, max(w.p) OVER (PARTITION BY l.r ORDER BY l.k) AS p
+  FROM lined l LEFT JOIN worded w USING (r, k)),
+left_over AS (
+  SELECT o.r, count(*) FILTER (has_words) AS n, count(*) FILTER (has_words AND g.p IS NOT NULL) AS n_gone,
+         string_agg(x, chr(10) ORDER BY k) FILTER (g.p IS NULL) AS kept
+  FROM owned o LEFT JOIN gone g ON o.r = g.r AND o.p = g.p GROUP BY o.r)
+SELECT doc_id, n AS n_lines, n_gone AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs JOIN left_over USING (r)
+"""
+
+QUERIES = {"op3_lines": Query(query, SQL), "op3_passages": Query(passages, PASSAGES_SQL)}

@@ -145,6 +145,24 @@ def test_lines(docs, rows, no_docs):
     assert op3_lines.dedup_lines(no_docs).count() == 0
 
 
+def test_passages_on_few_lines(spark):
+    """Runs shorter than three lines count from so many words on, also in documents of one line."""
+    prose = lambda k, n: " ".join(f"p{k}x{j}" for j in range(n))
+    full, half, short = prose(1, 50), prose(2, 30) + "\n \n" + prose(3, 20), prose(4, 49)
+    rows = [
+        (1, f"{full}\n{prose(5, 9)}\n{half}"), (2, full), (3, f"{prose(6, 4)}\n{full}\n\n{prose(7, 4)}"), (4, half), (5, short),
+        (6, short), (7, f"{prose(8, 3)}\n{short}"), (8, f"{full}\n{full}"), (None, full), (None, None), (9, ""), (2, full),
+        (10, f"{prose(9, 2)}\n{prose(10, 2)}\n{prose(11, 2)}"), (11, f"{prose(9, 2)}\n{prose(10, 2)}\n{prose(11, 2)}\n{prose(12, 2)}"),
+    ]
+    gone = {1: 0, 2: 1, 3: 1, 4: 2, 5: 0, 6: 0, 7: 0, 8: 2, None: 1, 9: 0, 10: 0, 11: 3}
+    out = op3_lines.dedup_lines(frame(spark, rows), passage=50).select("doc_id", "text", "lines.*").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.n_removed == (gone[r.doc_id] if r.text is not None else 0), r
+    left = {r.doc_id: r.kept for r in out}
+    assert left[3] == f"{prose(6, 4)}\n{prose(7, 4)}" and left[4] == "" and left[11] == prose(12, 2)
+
+
 def test_quality(docs, rows, no_docs):
     out = op10_quality.judge_quality(docs)
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
