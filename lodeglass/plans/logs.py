@@ -292,6 +292,17 @@ def log_event_ts(t: Tables):
     return entries.select("source_id", "line_no", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
 
 
+# Of conversion lines only nbdkit's carry a date.
+_EVERY_EVENT_TS = f"""CASE WHEN user_id % 6 <> 4 THEN {_EVENT_TS}
+                           WHEN event_type = 'error' THEN date_trunc('millisecond', ts) END"""
+
+
+@query(f"SELECT {_ROW}, format, {_EVERY_EVENT_TS} AS event_ts FROM ({_ENTRIES})")
+def log_event_ts_all(t: Tables):
+    """Conversion sources as well."""
+    return _entries(t).select("source_id", "line_no", "format", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"))
+
+
 _BY_FORMAT = f"(SELECT *, {_FORMAT} AS format FROM events)"
 
 
