@@ -1,4 +1,4 @@
-"""Vector best-fit packing of documents into sequences: tokens, documents and attention cost are all bounded.
+"""Vector best-fit packing of documents into sequences: tokens are bounded, documents and attention cost on request.
 
 Pieces of one length are alike, so the plan is made from their number per length, at most ``capacity`` figures however
 large the corpus is. Bins with the same room are alike too, and are filled together. What the plan says is which
