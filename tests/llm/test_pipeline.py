@@ -1,6 +1,9 @@
 """Every stage of the pipeline on what the stage before kept, against brute force."""
 
 import pathlib
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +70,58 @@ def test_stages_on_odd_documents(spark, docs, tmp_path):
             out.write.parquet(f"{tmp_path}/{name}{k}")
             if k < 4:
                 assert sorted(out.columns) == sorted(df.columns)
+
+
+def line_fails(x):
+    n, marks, symbols = len(brute.words(x)), sum(c in "|»•›" for c in x), sum(c in "#*$%&|<>!" for c in x)
+    ended = re.search(r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*$""", x)
+    cut_off = n >= 20 and re.search(r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]""", x)
+    worn = n <= 12 and any(phrase in x.lower() for phrase in op10_quality.BOILERPLATE)
+    return not (ended or cut_off) or (marks >= 3 and n <= 3 * (marks + 1)) or worn or (symbols >= 5 and symbols >= n)
+
+
+@pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no tables")
+def test_quality_rules_keep_plain_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = []
+    for i, t in pairs(docs):
+        lines = [x for x in (t or "").split("\n") if brute.words(x)]
+        lost = sum(len(x) for x in lines if line_fails(x))
+        if not brute.measures(t)[5] and 100 * lost <= 50 * sum(map(len, lines)):
+            want.append((i, "\n".join(x for x in t.split("\n") if not brute.words(x) or not line_fails(x))))
+    assert want and sorted(pairs(corpus_pipeline.quality_rules(spark, docs, FOLDER)), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no tables")
+def test_near_duplicates_keep_their_texts(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = pairs(docs)
+    best, alone = {}, []
+    for row, g in zip(rows, brute.groups(rows)[0], strict=True):
+        if g is None:
+            alone.append(row)
+        elif g not in best or row[0] < best[g][0]:
+            best[g] = row
+    got = pairs(corpus_pipeline.near_duplicates(spark, docs, FOLDER))
+    assert sorted(got, key=repr) == sorted([*best.values(), *alone], key=repr)
+
+
+@pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no tables")
+def test_packed_pieces_are_whole(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in pairs(docs)}
+    bins, pieces = defaultdict(list), Counter()
+    for r in corpus_pipeline.packing(spark, docs, FOLDER).collect():
+        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length])
+        bins[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id, r.start, r.length] += 1
+    assert pieces == {(i, k, min(4096, len(x) - k)): 1 for i, x in ids.items() for k in range(0, len(x), 4096)}
+    for places in bins.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 4096
