@@ -225,9 +225,9 @@ def open_workloads(nation: DataFrame) -> DataFrame:
     )
 
 
-def pod_lines(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Every event is a line of an order's pod, in one of two containers."""
-    order = F.pmod("event_id", F.lit(4000))
+def pod_lines(events: DataFrame, orders: DataFrame, among: int = 4000) -> DataFrame:
+    """Every event is a line of an order's pod, in one of two containers; keys of orders are below ``among``."""
+    order = F.pmod("event_id", F.lit(among))
     keyed = events.select(
         order.alias("o_orderkey"), F.col("event_id").alias("line_no"), zap_line().alias("value"),
         F.when(F.col("event_id") % 2 == 0, "main").otherwise("side").alias("container"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.operators import compact, picks
@@ -84,6 +85,23 @@ def pod_pick_negative(t: Tables):
 )
 def log_request(t: Tables):
     """From a workload's name to the errors in its log: pod, container, lines, entries."""
+    return _requested_errors(t, pod_lines(t.events, t.orders))
+
+
+@query(
+    f"""SELECT c.c_custkey, event_id AS line_no, 'ERROR' AS level, 'user ' || user_id || ' did error' AS message
+        FROM customer c JOIN ({_PICKED}) p USING (c_custkey)
+        JOIN (SELECT *, event_id % (SELECT max(o_orderkey) + 1 FROM orders) AS pod FROM events) e ON e.pod = p.o_orderkey
+        WHERE event_type = 'error' AND c_mktsegment NOT IN ('MACHINERY', 'BUILDING')
+          AND CASE WHEN c_mktsegment = 'FURNITURE' THEN event_id % 2 = 1 ELSE event_id % 2 = 0 END"""
+)
+def log_request_all(t: Tables):
+    """The same with lines spread over the pods of all orders, so that pods with lines grow with the tables."""
+    keys = (t.orders.agg(F.max("o_orderkey")).first()[0] or 0) + 1
+    return _requested_errors(t, pod_lines(t.events, t.orders, keys))
+
+
+def _requested_errors(t: Tables, lines: DataFrame) -> DataFrame:
     segment = F.col("c_mktsegment")
     kind = F.when(segment == "MACHINERY", "pod").when(segment == "BUILDING", "cronjob").when(segment == "HOUSEHOLD", "job").otherwise("deployment")
     requests = t.customer.select(
@@ -93,7 +111,7 @@ def log_request(t: Tables):
         F.when(segment == "FURNITURE", "side").alias("container"),
     )
     own = pods(t.orders).withColumn("containers", F.array(F.lit("istio-proxy"), F.lit("main"), F.lit("side")))
-    entries = parse_as(requested_lines(requests, workloads(t.customer), own, pod_lines(t.events, t.orders)), "json")
+    entries = parse_as(requested_lines(requests, workloads(t.customer), own, lines), "json")
     return entries.where("level = 'ERROR'").select("c_custkey", "line_no", "level", "message")
 
 

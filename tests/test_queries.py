@@ -56,6 +56,13 @@ def test_event_ts_of_every_format(tables):
     assert dated == tables.events.where("user_id % 6 = 4 and event_type = 'error'").count() > 0
 
 
+def test_pods_with_lines_grow_with_the_orders(tables):
+    """Events far beyond the first 4000 orders still have a pod of their own."""
+    events = tables.spark.range(20_000).selectExpr("id AS event_id", "id AS user_id", "'error' AS event_type", "'{}' AS props", "timestamp '2026-01-01' AS ts")
+    orders = tables.spark.range(10_000).selectExpr("id AS o_orderkey", "id AS o_custkey")
+    assert I.pod_lines(events, orders, 10_000).select("pod").distinct().count() == 10_000
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
