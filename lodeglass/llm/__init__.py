@@ -18,13 +18,15 @@ from lodeglass.llm import (  # noqa: E402
     op8_jaccard,
     op9_packing,
     op10_quality,
+    op12_divergence,
+    op13_codes,
 )
 
 QUERIES = {
     name: query
     for module in (
         op1_secrets, op2_urls, op3_lines, op4_chat, op5_token_files, op6_decontamination, op7_substrings, op8_jaccard,
-        op9_packing, op10_quality,
+        op9_packing, op10_quality, op12_divergence, op13_codes,
     )
     for name, query in module.QUERIES.items()
 }

@@ -88,7 +88,7 @@ def test_jaccard(spark, texts):
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in (*range(1, 11), 12, 13)}
 
 
 def test_quality_keeps_good_labels(spark, duck):
