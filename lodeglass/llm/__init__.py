@@ -18,6 +18,7 @@ from lodeglass.llm import (  # noqa: E402
     op8_jaccard,
     op9_packing,
     op10_quality,
+    op11_personal,
     op12_divergence,
     op13_codes,
 )
@@ -26,7 +27,7 @@ QUERIES = {
     name: query
     for module in (
         op1_secrets, op2_urls, op3_lines, op4_chat, op5_token_files, op6_decontamination, op7_substrings, op8_jaccard,
-        op9_packing, op10_quality, op12_divergence, op13_codes,
+        op9_packing, op10_quality, op11_personal, op12_divergence, op13_codes,
     )
     for name, query in module.QUERIES.items()
 }

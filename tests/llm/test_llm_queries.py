@@ -88,7 +88,7 @@ def test_jaccard(spark, texts):
 def test_registered():
     names = entry.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in (*range(1, 11), 12, 13)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_quality_keeps_good_labels(spark, duck):
@@ -98,6 +98,6 @@ def test_quality_keeps_good_labels(spark, duck):
 
 
 def test_native_plans(spark):
-    for name in ("op1_secrets", "op2_urls", "op4_chat", "op6_decontamination", "op10_quality"):
+    for name in ("op1_secrets", "op2_urls", "op4_chat", "op6_decontamination", "op10_quality", "op11_personal"):
         plan = QUERIES[name].build(spark, str(FOLDER)).select(F.count("*"))._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop")), name
