@@ -47,6 +47,10 @@ def clock(stamp: Column) -> Column:
     return text.let(capture(stamp, STAMP, 5), read)
 
 
+def event_time(_line: Column, token: Column, _year: Column) -> Column:
+    return text.instant(group(token, 3))
+
+
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     status = group(token, 5)
     user = group(token, 2)

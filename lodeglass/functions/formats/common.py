@@ -2,7 +2,8 @@
 
 A format turns a line into *tokens* first (one pattern match or one JSON parse) and builds the entry columns from the
 tokens. Keeping the two apart lets a job materialise the tokens once per line and still prune entry columns that a
-query does not read.
+query does not read. ``event_time`` gives the instant that a line's own stamp says, from the tokens too: dates elsewhere
+in a line are not its time. Stamps without a year take it from a column.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeglass.functions.formats.common import entry
-from lodeglass.functions.text import ASCII_SPACE, WS, after_prefix
+from lodeglass.functions.text import ASCII_SPACE, WS, after_prefix, instant
 
 FORMAT = "virtv2v"
 TOOL = "v2v"
@@ -62,6 +62,7 @@ KERNEL = rf"^\[{WS}+(\d+\.\d{{3,}})\]{WS}+"
 XML = rf"^{WS}*<[?/]?\w+"
 TRACE = rf"^trace:{WS}+"
 EMBEDDED_STAMP = r"\d{4}-\d{2}-\d{2}T(\d{2}:\d{2}:\d{2})\.\d+Z"
+WEB_STAMP = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
 PROGRESS = rf"(?s)^{MONITOR}{WS}.*?completed{WS}+(\d+){WS}*%"
 DISK_OF = rf"[Cc]opying disk (\d+){WS}+out of{WS}+(\d+)"
 DISK_SLASH = r"[Cc]opying disk (\d+)/(\d+)"
@@ -168,6 +169,14 @@ def entry_columns(line: Column, token: Column) -> dict[str, Column]:
     return out
 
 
+def event_time(line: Column, token: Column, _year: Column) -> Column:
+    """Of the lines that show a clock time; where that is part of a date, the date counts as well."""
+    stamp = F.when(token == "nbdkit:", F.regexp_extract(line, EMBEDDED_STAMP, 0)).when(
+        token == "http", F.regexp_extract(line, WEB_STAMP, 1)
+    )
+    return instant(stamp)
+
+
 def _own_fields(line: Column, token: Column) -> Column:
     monitor, phase = token == MONITOR, token == "phase"
 

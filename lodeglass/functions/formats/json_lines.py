@@ -101,6 +101,14 @@ def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column
     return text.let(value, lambda v: F.coalesce(F.when(v.rlike(f"^{_TYPED}"), exact(v)), v))
 
 
+def event_time(_line: Column, token: Column, _year: Column) -> Column:
+    """From the members that hold the time in either layout, the line's own layout first."""
+    members = token["members"]
+    zap, logrus = ("ts", "timestamp", "time"), ("timestamp", "time", "ts")
+    in_order = lambda names: F.coalesce(*[text.instant(members[name]) for name in names])
+    return F.when(_is_logrus(members), in_order(logrus)).otherwise(in_order(zap))
+
+
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     members = token["members"]
     logrus = _is_logrus(members)

@@ -47,6 +47,10 @@ def tokens(line: Column) -> Column:
     )
 
 
+def event_time(_line: Column, token: Column, _year: Column) -> Column:
+    return text.instant(token["time"])
+
+
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     def value(key: str) -> Column:
         return F.coalesce(token[key], F.lit(""))

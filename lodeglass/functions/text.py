@@ -64,6 +64,44 @@ def time_of_day(stamp: Column) -> Column:
     return let(stamp, lambda s: let(F.when(s.endswith("Z"), s.substr(F.lit(1), F.length(s) - 1)).otherwise(s), clock))
 
 
+# Date and time in ISO form, and the two other forms that lines begin with.
+ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+_SLASHED = r"\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}"
+_ACCESS = r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}"
+_NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
+def instant(stamp: Column) -> Column:
+    """The time that a whole stamp says: ISO or slashed (UTC where no zone is given), an access log's, or a number of seconds,
+    milliseconds, microseconds or nanoseconds since 1970, told apart by size; else NULL."""
+
+    def of_iso(text: Column) -> Column:
+        plain = F.replace(text, F.lit(","), F.lit("."))
+        zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), plain).otherwise(F.concat(plain, F.lit("Z")))
+        return F.try_to_timestamp(zoned)
+
+    def of_number(text: Column) -> Column:
+        def scaled(x: Column) -> Column:
+            size = F.abs(x)
+            micros = F.when(size < 10**11, x * 1_000_000).when(size < 10**14, x * 1000).when(size < 10**17, x)
+            return F.timestamp_micros(F.floor(micros.otherwise(x / 1000)).cast("long"))
+
+        return let(text.try_cast("decimal(30,9)"), scaled)
+
+    return let(
+        stamp,
+        lambda s: F.when(s.rlike(f"^{ISO}$"), of_iso(s))
+        .when(s.rlike(f"^{_NUMBER}$"), of_number(s))
+        .when(s.rlike(f"^{_SLASHED}$"), F.try_to_timestamp(F.concat(s, F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss Z")))
+        .when(s.rlike(f"^{_ACCESS}$"), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))),
+    )
+
+
+def leading_time(line: Column) -> Column:
+    """The time that a line begins with, after blanks and an opening bracket at most."""
+    return instant(F.regexp_extract(line, rf"^[ \t]*\[?({ISO}|{_SLASHED}|{_ACCESS})", 1))
+
+
 def normal_level(level: Column) -> Column:
     known = F.create_map(*[F.lit(part) for pair in LEVELS.items() for part in pair])
     return let(level, lambda text: F.coalesce(known[F.lower(text)], F.upper(text)))

@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.functions.formats import ENTRY_COLUMNS, FORMATS, PLAIN, plain_entry
+from lodeglass.functions.formats import ENTRY_COLUMNS, FORMATS, PLAIN, line_class, plain_entry
 from lodeglass.functions.formats.conversion import FORMAT as CONVERSION
-from lodeglass.functions.text import let
+from lodeglass.functions.text import leading_time, let
 from lodeglass.operators.blocks import BLOCK_ROWS
 from lodeglass.operators.carry import add_carried, carry_stage
 from lodeglass.operators.detect import detect_format
-
-
-ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+from lodeglass.operators.years import STEPS, YEAR, year_of
 
 
 def without_empty(lines: DataFrame) -> DataFrame:
@@ -57,23 +55,29 @@ def _shape(lines: DataFrame, names: list[str], one: bool = False) -> DataFrame:
         for name in token:
             chain = chain.when(fmt == name, shaped[name][column])
         columns[column] = chain.otherwise(plain_entry()[column])
-    kept = [F.col(c) for c in lines.columns if c not in ("value", "format")]
+    year = year_of() if YEAR in lines.columns else F.lit(None).cast("int")
+    times = {name: FORMATS[name].event_time(line, F.col(token[name]), year) for name in token}
+    own_time = F.lit(None).cast("timestamp")
+    for name, time in times.items():
+        own_time = time if one else F.when(fmt == name, time).otherwise(own_time)
+    kept = [F.col(c) for c in lines.columns if c not in ("value", "format", YEAR, STEPS)]
     return tokenised.select(
         *kept,
         *[columns[c].alias(c) for c in ENTRY_COLUMNS if c != "parsed"],
         line.alias("raw_line"),
-        event_time(line).alias("event_ts"),
+        F.coalesce(own_time, leading_time(line)).alias("event_ts"),
         "format",
         columns["parsed"].alias("parsed"),
     )
 
 
 def with_format(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Give each line its source's format; sources without a detected format are plain.
+    """Give each line its source's format, and what ``formats`` knows of its years; sources without a detected format are plain.
 
     Only sources that need a parser are joined. How the join runs is left to their number at run time.
     """
-    needed = formats.where(F.col("format") != PLAIN).select("source_id", "format")
+    needed = formats.where(F.col("format") != PLAIN)
+    needed = needed.select("source_id", "format", *[c for c in (YEAR, STEPS) if c in formats.columns])
     return lines.join(needed, "source_id", "left").withColumn(
         "format", F.coalesce("format", F.lit(PLAIN))
     )
@@ -86,6 +90,8 @@ def parse_logs(lines: DataFrame, formats: DataFrame | None = None, block_rows: i
     Then its size is known, so joining it to the lines broadcasts it only while it is small, and only the parsers and the
     carrying that some source needs become part of the plan. Without it nothing runs here: the plan detects formats
     itself and has all parsers.
+
+    klog lines have no year. They get an ``event_ts`` if ``formats`` comes from :func:`lodeglass.operators.years.with_years`.
     """
     if formats is None:
         formats, present = detect_format(lines), {*FORMATS}
@@ -97,23 +103,21 @@ def parse_logs(lines: DataFrame, formats: DataFrame | None = None, block_rows: i
     )
     if CONVERSION not in present:
         return direct
-    carried = carry_stage(typed.where(F.col("format") == CONVERSION), block_rows)
+    carried = carry_stage(typed.where(F.col("format") == CONVERSION).drop(YEAR, STEPS), block_rows)
     return direct.unionByName(add_carried(parse_as(carried, CONVERSION)))
 
 
-def event_time(raw_line: Column) -> Column:
-    """Date and time a line carries in ISO, access-log or ``2026/03/03 00:38:19`` form; NULL when it has no date."""
-    iso = F.regexp_extract(raw_line, ISO, 0)
-    access = F.regexp_extract(raw_line, r"\[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\]", 1)
-    slashed = F.regexp_extract(raw_line, r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}", 0)
+def event_time(line: Column) -> Column:
+    """The time that a raw line says, by the format that the line itself looks like; NULL when it has no date and year."""
+    no_year = F.lit(None).cast("int")
+
+    def time_in(name: str) -> Column:
+        return let(FORMATS[name].tokens(line), lambda token: FORMATS[name].event_time(line, token, no_year))
 
-    def parsed(found: Column) -> Column:
-        zoned = F.when(found.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), found).otherwise(F.concat(found, F.lit("Z")))
-        return F.when(found != "", F.try_to_timestamp(zoned)).otherwise(
-            F.coalesce(
-                F.try_to_timestamp(access, F.lit("dd/MMM/yyyy:HH:mm:ss Z")),
-                F.try_to_timestamp(F.concat(slashed, F.lit(" +0000")), F.lit("yyyy/MM/dd HH:mm:ss Z")),
-            )
-        )
+    def own(cls: Column) -> Column:
+        chain = F.lit(None).cast("timestamp")
+        for name in FORMATS:
+            chain = F.when(cls == name, time_in(name)).otherwise(chain)
+        return chain
 
-    return let(iso, parsed)
+    return F.coalesce(let(line_class(line), own), leading_time(line))

@@ -119,6 +119,34 @@ def source_line() -> Column:
     return chain
 
 
+#: How far before the event its klog line is written: the lines of a month go over a new year.
+KLOG_SHIFT = "15 days"
+
+
+def dated_line() -> Column:
+    """The same sources with stamps of many forms, and with other dates inside the lines."""
+    until = " until 2030-01-01T00:00:00Z"
+    kind, micros = F.col("event_type"), F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = (micros / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(16,6)").cast("string")
+    number = F.when(kind == "view", (micros / 1000).cast("long").cast("string")).otherwise(seconds)
+    iso = F.concat(F.lit('"'), F.date_format(F.col("ts") + F.expr("interval 2 hours"), _ISO), F.lit('+02:00"'))
+    zap = _text(
+        '{"level":"', _level_word(), '","msg":"', *_SAID, until, '","ts":', F.when(kind == "purchase", iso).otherwise(number),
+        ',"caller":"', "$event_type", '.go:1"}',
+    )
+    early = F.date_format(F.col("ts") - F.expr(f"interval {KLOG_SHIFT}"), "MMdd HH:mm:ss.SSSSSS")
+    klog = _text("I", early, "       1 ", "$event_type", ".go:", "$user_id", "] ", *_SAID, until)
+    logfmt = _text("level=", _level_word(), ' msg="', *_SAID, until, '" ts=', _stamp(_ISO), "Z event=", "$event_id")
+    access = _text(
+        "10.0.0.1 - - [", _stamp("dd/MMM/yyyy:HH:mm:ss"), ' +0000] "GET /2030-01-01T00:00:00Z/', "$event_id", ' HTTP/1.1" 200 1'
+    )
+    text = F.when(F.col("event_id") % 2 == 0, _text(_stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), " ", *_SAID, until)).otherwise(_text(*_SAID, until))
+    chain = F.when(F.lit(False), F.lit(""))
+    for number_of, line in enumerate((zap, klog, logfmt, access, conversion_line(), text)):
+        chain = chain.when(F.pmod("user_id", F.lit(len(SOURCE_KINDS))) == number_of, line)
+    return chain
+
+
 def mixed_line() -> Column:
     """Formats change from line to line within a source."""
     kind = F.col("event_type")
@@ -225,7 +253,7 @@ def open_workloads(nation: DataFrame) -> DataFrame:
     )
 
 
-def pod_lines(events: DataFrame, orders: DataFrame, among: int = 4000) -> DataFrame:
+def pod_lines(events: DataFrame, orders: DataFrame, among: int) -> DataFrame:
     """Every event is a line of an order's pod, in one of two containers; keys of orders are below ``among``."""
     order = F.pmod("event_id", F.lit(among))
     keyed = events.select(

@@ -77,17 +77,6 @@ def pod_pick_negative(t: Tables):
     return picks.pick_pods(open_workloads(t.nation), waiting).select("name", "pod", "pods")
 
 
-@query(
-    f"""SELECT c.c_custkey, event_id AS line_no, 'ERROR' AS level, 'user ' || user_id || ' did error' AS message
-        FROM customer c JOIN ({_PICKED}) p USING (c_custkey) JOIN events ON event_id % 4000 = p.o_orderkey
-        WHERE event_type = 'error' AND c_mktsegment NOT IN ('MACHINERY', 'BUILDING')
-          AND CASE WHEN c_mktsegment = 'FURNITURE' THEN event_id % 2 = 1 ELSE event_id % 2 = 0 END"""
-)
-def log_request(t: Tables):
-    """From a workload's name to the errors in its log: pod, container, lines, entries."""
-    return _requested_errors(t, pod_lines(t.events, t.orders))
-
-
 @query(
     f"""SELECT c.c_custkey, event_id AS line_no, 'ERROR' AS level, 'user ' || user_id || ' did error' AS message
         FROM customer c JOIN ({_PICKED}) p USING (c_custkey)
@@ -95,8 +84,9 @@ def log_request(t: Tables):
         WHERE event_type = 'error' AND c_mktsegment NOT IN ('MACHINERY', 'BUILDING')
           AND CASE WHEN c_mktsegment = 'FURNITURE' THEN event_id % 2 = 1 ELSE event_id % 2 = 0 END"""
 )
-def log_request_all(t: Tables):
-    """The same with lines spread over the pods of all orders, so that pods with lines grow with the tables."""
+def log_request(t: Tables):
+    """From a workload's name to the errors in its log: pod, container, lines, entries. Lines are spread over the pods of
+    all orders, so pods with lines grow with the tables."""
     keys = (t.orders.agg(F.max("o_orderkey")).first()[0] or 0) + 1
     return _requested_errors(t, pod_lines(t.events, t.orders, keys))
 

@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 _UNIT_BITS, _ROW_BITS = 20, 33
 
 
-def read_lines(spark: SparkSession, path: str, source: Column | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, source: Column | None = None, modified: bool = False) -> DataFrame:
     """Lines of all files under ``path``. A source is a file unless ``source`` computes it from ``_metadata.file_path``.
 
-    Only ``\\n`` ends a line; a ``\\r`` stays. Empty lines are kept, as detection counts them.
+    Only ``\\n`` ends a line; a ``\\r`` stays. Empty lines are kept, as detection counts them. ``modified`` adds a column of
+    that name, when the file was last written.
     """
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
         if _bytes(spark.conf.get(name)) < 1 << _UNIT_BITS:
             raise ValueError(f"{name} has to be at least 1 MiB for lines to keep their order")
     text = spark.read.option("lineSep", "\n").text(path)
     source = F.col("_metadata.file_path") if source is None else source
-    return _ordered(text, source)
+    return _ordered(text, source, modified)
 
 
 def container_logs(
@@ -33,6 +34,7 @@ def container_logs(
     pod: str = "*",
     container: str = "*",
     previous: bool = False,
+    modified: bool = False,
 ) -> DataFrame:
     """Lines of containers' current or previous instances, kept as ``root/namespace/pod/container/current.log``.
 
@@ -41,16 +43,17 @@ def container_logs(
     instance = "previous" if previous else "current"
     folders = F.split(F.col("_metadata.file_path"), "/")
     source = F.array_join(F.slice(folders, -4, 3), "/")
-    return read_lines(spark, f"{root}/{namespace}/{pod}/{container}/{instance}.log", source)
+    return read_lines(spark, f"{root}/{namespace}/{pod}/{container}/{instance}.log", source, modified)
 
 
-def _ordered(text: DataFrame, source: Column) -> DataFrame:
+def _ordered(text: DataFrame, source: Column, modified: bool) -> DataFrame:
     unit = F.shiftright(F.col("_metadata.file_block_start"), _UNIT_BITS)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return text.select(
         source.alias("source_id"),
         F.shiftleft(unit, _ROW_BITS).bitwiseOR(row).alias("line_no"),
         "value",
+        *([F.col("_metadata.file_modification_time").alias("modified")] if modified else []),
     )
 
 

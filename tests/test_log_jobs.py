@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeglass.functions.formats import conversion
-from lodeglass.operators import blocks, carry, compact, logs
+from lodeglass.operators import blocks, carry, compact, logs, years
 from lodeglass.operators.detect import detect_format
 from lodeglass.operators.entries import event_time, parse_logs
 from lodeglass.sources.lines import split_text
@@ -223,17 +223,72 @@ def test_compact_lines(spark):
 def test_event_time(spark):
     cases = {
         '2026-03-03T11:13:16.103258979Z {"a":1}': "2026-03-03 11:13:16.103258",
-        "time=2026-03-03T11:13:26+02:00 a=b": "2026-03-03 09:13:26",
+        "time=2026-03-03T11:13:26+02:00 a=b c=d": "2026-03-03 09:13:26",
         '{"timestamp":"2026-03-03 11:13:26.058"}': "2026-03-03 11:13:26.058",
         '1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] "G" 200 1': "2000-10-10 20:55:36",
         "2026/03/03 00:38:19 http: x": "2026-03-03 00:38:19",
         "no time": None,
+        "retry at 2030-01-01T00:00:00Z": None,
+        "I0303 12:00:01.000000 1 a.go:1] lease expires 2031-05-05T00:00:00Z": None,
+        '{"level":"info","ts":1709550000.5,"msg":"x"}': "2024-03-04 11:00:00.5",
+        '{"ts":1.7095500005e+09}': "2024-03-04 11:00:00.5",
+        '{"ts":1709550000500}': "2024-03-04 11:00:00.5",
+        '{"ts":1709550000500000}': "2024-03-04 11:00:00.5",
+        '{"ts":1709550000500000123}': "2024-03-04 11:00:00.5",
+        '{"msg":"retry until 2030-01-01T00:00:00Z","ts":"2026-03-03T01:02:03Z"}': "2026-03-03 01:02:03",
+        '{"msg":"2030-01-01T00:00:00Z","ts":"soon"}': None,
+        '{"ts":null,"time":"2026-03-03T01:02:03,5Z"}': "2026-03-03 01:02:03.5",
+        "[2026-03-03 01:02:03] at 2030-01-01T00:00:00Z": "2026-03-03 01:02:03",
+        'level=info msg="until 2030-01-01T00:00:00Z" ts=1709550000': "2024-03-04 11:00:00",
+        '1.1.1.1 - - [31/Feb/2000:13:55:36 -0700] "G" 200 1': None,
     }
     df = spark.createDataFrame([(k,) for k in cases], "raw_line string")
     got = {r.raw_line: r.t for r in df.select("raw_line", event_time(F.col("raw_line")).cast("string").alias("t")).collect()}
     assert got == cases
 
 
+def test_event_ts_is_the_stamp_of_the_format(spark):
+    zap = [f'{{"level":"info","msg":"until 2030-01-0{k}T00:00:00Z","ts":{1709550000 + k}}}' for k in (1, 2)] + ["2031-01-01T00:00:00Z tail"]
+    pod = RUN.split("\n") + ["nbdkit: debug: 2026-03-03T01:02:03.5Z now, not 2030-01-01T00:00:00.0Z", "2026/03/03 00:38:19 http: 2030-01-01T00:00:00Z"]
+    df = lines_of(spark, {"zap": zap, "pod": pod})
+    rows = parse_logs(df).select("source_id", "line_no", F.col("event_ts").cast("string").alias("t")).collect()
+    got = {(r.source_id, r.line_no): r.t for r in rows if r.t}
+    assert got == {
+        ("zap", 1): "2024-03-04 11:00:01", ("zap", 2): "2024-03-04 11:00:02", ("zap", 3): "2031-01-01 00:00:00",
+        ("pod", 12): "2026-03-03 01:02:03.5", ("pod", 13): "2026-03-03 00:38:19",
+    }
+
+
+@pytest.mark.parametrize("block_rows", [2, 5, 1 << 20])
+def test_years_of_klog_lines(spark, block_rows):
+    """Several new years, one of them with lines in the wrong order; a last line of the year before its file's."""
+    stamps = {
+        "one": ["0301", "0301"],
+        "steps": ["0615", "1231", "0101", "0714", "1231", "0101", "1231", "0101", "0102", "0301"],
+        "before": ["1230", "1231"],
+        "zone": ["0302"],
+        "odd": ["0301", "9999", "0301"],
+    }
+    written = {"one": "2026-03-01", "steps": "2026-03-01", "before": "2026-01-01", "zone": "2026-03-01", "odd": "2026-03-01"}
+    line = lambda d: f"I{d} 11:14:07.5       1 a.go:1] text"
+    df = lines_of(spark, {s: [*map(line, days)] for s, days in stamps.items()} | {"text": [TEXT]})
+    at = F.create_map(*[F.lit(x) for pair in written.items() for x in pair])[F.col("source_id")]
+    df = df.withColumn("modified", F.concat(at, F.lit("T00:00:00Z")).cast("timestamp"))
+    rows = parse_logs(df, years.with_years(detect_format(df), df, block_rows=block_rows)).orderBy("source_id", "line_no").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.source_id, []).append(r.event_ts and r.event_ts.year)
+    assert got == {
+        "one": [2026, 2026],
+        "steps": [2024, 2024, 2025, 2025, 2025, 2026, 2025, 2026, 2026, 2026],
+        "before": [2025, 2025],
+        "zone": [2026],
+        "odd": [2026, None, 2026],
+        "text": [None],
+    }
+    assert "modified" in rows[0] and "_year" not in rows[0]
+
+
 def test_recent(spark):
     import datetime as dt
 

@@ -50,7 +50,7 @@ def test_query(tables, duck, name):
 
 def test_event_ts_of_every_format(tables):
     """All events have a row, and conversion lines that carry a date have it."""
-    out = QUERIES["log_event_ts_all"].build(tables)
+    out = QUERIES["log_event_ts"].build(tables)
     assert out.count() == tables.events.count()
     dated = out.where("format = 'virtv2v' and event_ts is not null").count()
     assert dated == tables.events.where("user_id % 6 = 4 and event_type = 'error'").count() > 0
