@@ -72,8 +72,8 @@ _AGAINST = r"(?i)(?:version|build|release|isbn|issn|order|invoice|figure|table|p
 _NOT_PEOPLE = r"\x20(?i:street|avenue|university|school|hospital|inc|ltd|gmbh|prize|award|institute|airport)\b"
 
 LABELERS = ("check", "gazetteer", "cue", "against", "edges", "variety")
-#: Votes as they are kept: none, for, against.
-NONE, FOR, AGAINST = 0, 1, 2
+#: Votes as they are kept: none, for, against; the last one where a labeler has nothing to say on a kind.
+NONE, FOR, AGAINST, UNASKED = 0, 1, 2, 3
 #: Code points of the gap before and after a span that are context.
 BEFORE, AFTER = 40, 16
 #: Rounds of expectation-maximisation, pseudo-counts of its estimates, and how sure a label can be.
@@ -128,8 +128,9 @@ def _vote(good: Column | bool, bad: Column | bool) -> Column:
 def _votes(kind: str, text: Column, before: Column, after: Column) -> Column:
     """One vote per labeler."""
     spelled = text.rlike("^[A-Z]")
+    unasked = F.lit(UNASKED)
     check = {
-        "name": _vote(False, False),
+        "name": unasked,
         "id": F.when(spelled, _vote(_iban(text), ~_iban(text))).otherwise(_vote(False, text.rlike("^(?:000|666|9)|-00-|-0000$"))),
         "local": _vote(False, _digits(text).rlike("^[01]|^...[01]")),
     }.get(kind, _vote(_passes(kind, text), ~_passes(kind, text)))
@@ -138,17 +139,17 @@ def _votes(kind: str, text: Column, before: Column, after: Column) -> Column:
         "ip": _vote(False, text.rlike(_NO_PERSON)),
         "card": _vote(_digits(text).rlike(_ISSUERS), ~_digits(text).rlike(_ISSUERS)),
         "phone": _vote(text.rlike(_COUNTRIES), ~text.rlike(_COUNTRIES)),
-        "name": _vote(True, False),
-        "id": _vote(spelled, False),
-        "local": _vote(False, False),
+        "name": _vote(True, text.rlike(_NOT_PEOPLE)),
+        "id": unasked,
+        "local": unasked,
     }[kind]
     against = before.rlike(_AGAINST)
     if kind == "name":
-        against = against | F.concat(text, after).rlike(_NOT_PEOPLE)
+        against = against | after.rlike(_NOT_PEOPLE)
     touched = before.rlike(r"[\p{L}0-9_/=#]$") | after.rlike(r"^[\p{L}0-9_/=]")
     kinds_of_digit = F.size(F.array_distinct(F.split(F.left(_digits(text), F.lit(64)), "")))
-    variety = _vote(kinds_of_digit >= 4, kinds_of_digit <= 2) if kind not in ("email", "name") else _vote(False, False)
-    return F.array(check, gazetteer, _vote(before.rlike(_CUES[kind]), False), _vote(False, against), _vote(True, touched), variety)
+    variety = _vote(kinds_of_digit >= 4, kinds_of_digit <= 2) if kind not in ("email", "name") else unasked
+    return F.array(check, gazetteer, _vote(before.rlike(_CUES[kind]), False), _vote(False, against), _vote(False, touched), variety)
 
 
 def _shape(text: Column, before: Column) -> Column:
@@ -189,13 +190,13 @@ def estimate(patterns: Column, n_kinds: int) -> Column:
     """Estimates from ``patterns``, an array of kind (a number), votes and n, by expectation-maximisation.
 
     ``right`` has the share of true spans per kind, ``theta`` per labeler the chances of each vote on a false span, then
-    of each on a true one. Labelers are as reliable on one kind as on another. Starts from the votes' majority.
+    of each on a true one. Labelers are as reliable on one kind as on another; one that a kind does not ask is no evidence
+    (the chance of that is put as 1). Starts from the votes' majority.
     """
-    votes = range(3)
 
     def odds(p: Column, state: Column) -> Column:
         prior = F.get(state["right"], p["kind"])
-        each = F.zip_with(p["votes"], state["theta"], lambda v, t: F.log(F.get(t, v + 3) / F.get(t, v)))
+        each = F.zip_with(p["votes"], state["theta"], lambda v, t: F.log(F.get(t, v + 4) / F.get(t, v)))
         return F.aggregate(each, F.log(prior / (1 - prior)), lambda a, x: a + x)
 
     def total(of: Column, chosen) -> Column:
@@ -214,10 +215,10 @@ def estimate(patterns: Column, n_kinds: int) -> Column:
             return (good + PRIOR) / (total(of, lambda x: x["kind"] == kind) + 2 * PRIOR)
 
         def theta(labeler: Column) -> Column:
-            one = lambda y, v: (total(of, lambda x: (x["y"] == y) & (F.get(x["votes"], labeler) == v)) + PRIOR) / (
-                total(of, lambda x: x["y"] == y) + 3 * PRIOR
-            )
-            return F.array(*[one(y, v) for y in (0, 1) for v in votes])
+            cast = lambda y, v: total(of, lambda x: (x["y"] == y) & (F.get(x["votes"], labeler) == v)) + PRIOR
+            all_of = lambda y: F.array(*[cast(y, v) for v in (NONE, FOR, AGAINST)])
+            shares = lambda n: F.transform(n, lambda x: x / F.aggregate(n, F.lit(0.0), lambda a, y: a + y))
+            return F.concat(*[F.concat(let(all_of(y), shares), F.array(F.lit(1.0))) for y in (0, 1)])
 
         return F.struct(
             F.transform(F.sequence(F.lit(0), F.lit(n_kinds - 1)), right).alias("right"),
@@ -239,7 +240,7 @@ def _chance(estimates) -> Column:
     prior = F.get(right, F.col("kind"))
     odds = F.log(prior / (1 - prior))
     for k, theta in enumerate(estimates["theta"]):
-        ratio = F.array(*[F.lit(theta[v + 3] / theta[v]) for v in range(3)])
+        ratio = F.array(*[F.lit(theta[v + 4] / theta[v]) for v in range(4)])
         odds = odds + F.log(F.get(ratio, F.get("votes", F.lit(k))))
     return 1 / (1 + F.exp(-odds))
 

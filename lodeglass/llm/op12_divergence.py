@@ -120,7 +120,8 @@ def _block(rows: pa.Table) -> pa.Table:
     sides = known.column("set").to_numpy()[order]
     cells = rows.filter(pa.compute.is_valid(rows.column("term")))
     terms = cells.column("term").combine_chunks().dictionary_encode()
-    counts = np.zeros((len(place), len(terms.dictionary)), np.int64)
+    # terms that none of these sources has count as well: their probabilities differ by source
+    counts = np.zeros((len(place), known.column("n")[0].as_py()), np.int64)
     at = np.searchsorted(place, cells.column("place").to_numpy())
     counts[at, terms.indices.to_numpy()] = cells.column("n").to_numpy()
     low, high = sides.min(), sides.max()
@@ -146,18 +147,18 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     bucket = F.length(F.bin("every")).alias("bucket")
     sizes = kept.where("first").groupBy("lang", bucket).agg(F.ceil(F.count("*") / F.lit(BLOCK_TERMS)).cast("int").alias("blocks"))
     sizes = stage(sizes)
+    placed = kept.select("lang", "source", "term", "n", "first", bucket).join(sizes, ["lang", "bucket"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
     cells = (
-        kept.select("lang", "source", "term", "n", bucket)
-        .join(sizes, ["lang", "bucket"])
-        .withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-        .join(groups.select("lang", "source", "place", "sets"), ["lang", "source"])
+        placed.join(groups.select("lang", "source", "place", "sets"), ["lang", "source"])
         .select("lang", "bucket", "block", "place", "sets", "term", "n", F.lit(None).cast("long").alias("total"))
     )
-    # every block knows all its sources, also those that have none of its terms; a block without terms stands for languages without
-    listed = sizes.select("lang", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    bare = groups.select("lang", F.lit(0).alias("bucket"), F.lit(0).alias("block")).distinct()
+    # every block knows its number of terms and all its sources, also those that have none of the terms; a block without
+    # terms stands for languages without
+    listed = placed.where("first").groupBy("lang", "bucket", "block").agg(F.count("*").alias("n"))
+    bare = groups.select("lang", F.lit(0).alias("bucket"), F.lit(0).alias("block"), F.lit(0).cast("long").alias("n")).distinct()
     known = listed.unionByName(bare).join(groups.select("lang", "place", "sets", "total"), "lang")
-    known = known.select("lang", "bucket", "block", "place", "sets", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "total")
+    known = known.select("lang", "bucket", "block", "place", "sets", F.lit(None).cast("string").alias("term"), "n", "total")
     own = F.expr(f"(place - 1) div {BLOCK_SOURCES}").cast("int")
     dealt = cells.unionByName(known).select(
         "*", own.alias("set"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("other")

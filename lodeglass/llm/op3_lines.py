@@ -53,15 +53,15 @@ def dedup_lines(
     text: str = "text",
     run: int = RUN,
     into: str = "lines",
-    passage: int | None = None,
+    passage: int | None = PASSAGE,
 ) -> DataFrame:
     """``docs`` with ``into`` (which replaces a column of that name): n_lines (with words), n_removed and kept, the text without later repeated runs.
 
     Lines are parted by line feeds and compared whole; those without words are neither compared nor counted, and go
     with the line before them. Places are in order of ``id``, then line; a missing id is after all others. A run is
-    deleted if the same ``run`` lines also begin at a smaller (id, line), judged on the input. With ``passage``, so are
-    fewer lines in a row that hold at least so many words together. So equal ids, and equal
-    rows, do not delete each other's lines at the same place. Null and empty texts are kept as they are. Columns of any
+    deleted if the same ``run`` lines also begin at a smaller (id, line), judged on the input, and so are fewer lines in a
+    row that hold at least ``passage`` words together (None: no shorter runs). So equal ids, and equal rows, do not delete
+    each other's lines at the same place. Null and empty texts are kept as they are. Columns of any
     name pass through.
     """
     i, t = F.col(f"`{id}`"), F.col(f"`{text}`")
@@ -121,48 +121,15 @@ def dedup_lines(
     )
 
 
-def _answer(spark: SparkSession, folder: str, passage: int | None = None) -> DataFrame:
-    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), passage=passage)
+def query(spark: SparkSession, folder: str) -> DataFrame:
+    out = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("lines.kept", F.lit("")), 256).alias("kept_sha256")
     return out.select("doc_id", "lines.n_lines", "lines.n_removed", kept)
 
 
-def query(spark: SparkSession, folder: str) -> DataFrame:
-    return _answer(spark, folder)
-
-
-def passages(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages on one or two lines as well."""
-    return _answer(spark, folder, PASSAGE)
-
-
 SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lined AS (SELECT r, doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM docs),
-worded AS (
-  SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS p FROM lined WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-runs AS (
-  SELECT r, doc_id, p, list(x) OVER w AS g, count(*) OVER w AS n FROM worded
-  WINDOW w AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
-firsts AS (SELECT g, min((doc_id, p)) AS first FROM runs WHERE n = {RUN} GROUP BY g),
-gone AS (
-  SELECT DISTINCT r, p + k AS p FROM runs JOIN firsts USING (g), range({RUN}) AS s(k)
-  WHERE n = {RUN} AND (doc_id, p) > first),
-owned AS (
-  SELECT l.r, l.k, l.x, w.p IS NOT NULL AS has_words, max(w.p) OVER (PARTITION BY l.r ORDER BY l.k) AS p
-  FROM lined l LEFT JOIN worded w USING (r, k)),
-left_over AS (
-  SELECT o.r, count(*) FILTER (has_words) AS n, count(*) FILTER (has_words AND g.p IS NOT NULL) AS n_gone,
-         string_agg(x, chr(10) ORDER BY k) FILTER (g.p IS NULL) AS kept
-  FROM owned o LEFT JOIN gone g ON o.r = g.r AND o.p = g.p GROUP BY o.r)
-SELECT doc_id, n AS n_lines, n_gone AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM docs JOIN left_over USING (r)
-"""
-
-#: The same with passages: fewer than ``RUN`` lines in a row are a run if they hold ``PASSAGE`` words.
-PASSAGES_SQL = rf"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lined AS (SELECT r, doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM docs),
 worded AS (
   SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY r ORDER BY k) AS p
   FROM lined WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
@@ -187,4 +154,4 @@ SELECT doc_id, n AS n_lines, n_gone AS n_removed, sha256(coalesce(kept, '')) AS
 FROM docs JOIN left_over USING (r)
 """
 
-QUERIES = {"op3_lines": Query(query, SQL), "op3_passages": Query(passages, PASSAGES_SQL)}
+QUERIES = {"op3_lines": Query(query, SQL)}

@@ -78,15 +78,22 @@ def contamination(rows, items, window=13):
     return out
 
 
-def lines_left(rows, run=3):
-    """(n_lines, n_removed, kept) of each row."""
+def lines_left(rows, run=3, passage=50):
+    """(n_lines, n_removed, kept) of each row: repeated runs of lines go, and shorter ones of so many words."""
     has_words = lambda x: bool(words(x))
     place = lambda i, k: (i is None, i or 0, k)
+
+    def runs(lines):
+        for long in range(1, run + 1):
+            for k in range(len(lines) - long + 1):
+                g = tuple(lines[k : k + long])
+                if long == run or (passage and sum(len(words(x)) for x in g) >= passage):
+                    yield k, g
+
     first = {}
     for i, t in rows:
         lines = [x for x in (t or "").split("\n") if has_words(x)]
-        for k in range(len(lines) - run + 1):
-            g = tuple(lines[k : k + run])
+        for k, g in runs(lines):
             first[g] = min(first.get(g, (True, LAST, LAST)), place(i, k))
     out = []
     for i, t in rows:
@@ -95,9 +102,9 @@ def lines_left(rows, run=3):
             continue
         lines = [x for x in t.split("\n") if has_words(x)]
         gone = set()
-        for k in range(len(lines) - run + 1):
-            if place(i, k) > first[tuple(lines[k : k + run])]:
-                gone.update(range(k, k + run))
+        for k, g in runs(lines):
+            if place(i, k) > first[g]:
+                gone.update(range(k, k + len(g)))
         kept, own = [], -1
         for x in t.split("\n"):
             own += has_words(x)

@@ -136,11 +136,12 @@ def test_decontamination(spark, docs, rows, no_docs, limit):
     assert none.count() == 0
 
 
-def test_lines(docs, rows, no_docs):
-    out = op3_lines.dedup_lines(docs)
+@pytest.mark.parametrize("passage", [None, 50, 5])
+def test_lines(docs, rows, no_docs, passage):
+    out = op3_lines.dedup_lines(docs, passage=passage)
     assert out.columns.count("lines") == 1
     got = [(r.doc_id, r.text, r.lines.n_lines, r.lines.n_removed, r.lines.kept) for r in out.collect()]
-    same(got, [(*row, *x) for row, x in zip(rows, brute.lines_left(rows), strict=True)])
+    same(got, [(*row, *x) for row, x in zip(rows, brute.lines_left(rows, passage=passage), strict=True)])
     assert any(x[3] for x in got)
     assert op3_lines.dedup_lines(no_docs).count() == 0
 
