@@ -54,6 +54,8 @@ WHOLE = (
     LineClass("Starting server", "server", "INFO"),
     LineClass("Shutdown", "server", "INFO"),
 )
+# Classes whose logger is the tool itself.
+TOOL_CLASSES = (*(k.prefix for k in (*PREFIXED, *WHOLE) if k.logger == TOOL), "phase")
 BARE = "libguestfs"
 MONITOR = "virt-v2v monitoring:"
 WEB = rf"^\d{{4}}/\d{{2}}/\d{{2}}{WS}+(\d{{2}}:\d{{2}}:\d{{2}}){WS}+"
@@ -177,6 +179,12 @@ def event_time(line: Column, token: Column, _year: Column) -> Column:
     return instant(stamp)
 
 
+def line_time(line: Column) -> Column:
+    """:func:`event_time` of a raw line."""
+    of_nbdkit = F.when(line.rlike(rf"^nbdkit:{WS}"), F.regexp_extract(line, EMBEDDED_STAMP, 0))
+    return instant(F.coalesce(F.nullif(of_nbdkit, F.lit("")), F.nullif(F.regexp_extract(line, WEB_STAMP, 1), F.lit(""))))
+
+
 def _own_fields(line: Column, token: Column) -> Column:
     monitor, phase = token == MONITOR, token == "phase"
 

@@ -109,6 +109,20 @@ def event_time(_line: Column, token: Column, _year: Column) -> Column:
     return F.when(_is_logrus(members), in_order(logrus)).otherwise(in_order(zap))
 
 
+def line_time(line: Column) -> Column:
+    """:func:`event_time` of a raw line, from the few members that it takes."""
+    names = ("ts", "timestamp", "time", "component", "pos")
+    body = text.trim_space(strip_stamp(line))
+    found = F.from_json(body, ", ".join(f"{n} string" for n in names), _STRICT)
+
+    def time(m: Column) -> Column:
+        ts, stamp, clock = (text.instant(m[n]) for n in names[:3])
+        logrus = m["component"].isNotNull() & (m["pos"].isNotNull() | m["timestamp"].isNotNull())
+        return F.when(logrus, F.coalesce(stamp, clock, ts)).otherwise(F.coalesce(ts, stamp, clock))
+
+    return text.let(found, time)
+
+
 def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
     members = token["members"]
     logrus = _is_logrus(members)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ BLOCK_ROWS = 1 << 20
 # Positions per block where first or last rows are picked: all that is ranked beyond the pick itself.
 PICK_ROWS = 1 << 13
 
+# Marks that are looked through for a line, at most.
+STATES = 64
+
 _BLOCK = "_block"
 
 
@@ -27,34 +30,48 @@ def _with_block(lines: DataFrame, pos: str, block_rows: int) -> DataFrame:
     return lines.withColumn(_BLOCK, F.expr(f"`{pos}` div {int(block_rows)}"))
 
 
+def block_marks(
+    lines: DataFrame,
+    events: Mapping[str, Column],
+    keys: Sequence[str] = ("source_id",),
+    pos: str = "line_no",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row per block of each key with its last non-NULL value of every event, and its first one: all that a block has
+    to know of others. It is made while lines are read, without exchanging them."""
+    at = {n: F.when(e.isNotNull(), F.col(pos)) for n, e in events.items()}
+    last = [F.max_by(e, at[n]).alias(n) for n, e in events.items()]
+    first = [F.min_by(e, at[n]).alias(f"_first_{n}") for n, e in events.items()]
+    return _with_block(lines, pos, block_rows).groupBy(*keys, _BLOCK).agg(*last, *first)
+
+
 def carry_last(
     lines: DataFrame,
     events: Mapping[str, Column],
     keys: Sequence[str] = ("source_id",),
     pos: str = "line_no",
     block_rows: int = BLOCK_ROWS,
+    marks: DataFrame | None = None,
+    first: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add, per named event column, its last non-NULL value at or before each row of the same key."""
-    keys = list(keys)
+    """Add, per named event column, its last non-NULL value at or before each row of the same key.
+
+    ``marks`` is a written result of :func:`block_marks` for the same lines and blocks; without it lines are read twice.
+    ``first`` names further columns that get the first value of an event within the whole key.
+    """
+    keys, first = list(keys), first or {}
     found = {name: f"_event_{name}" for name in events}
     before = {name: f"_before_{name}" for name in events}
-    blocked = _with_block(lines.withColumns({found[n]: e for n, e in events.items()}), pos, block_rows)
-
-    # The last event of each block, from the few rows that have one, then of all blocks before it.
-    any_event = reduce(or_, [F.col(found[n]).isNotNull() for n in events])
-    marks = blocked.where(any_event).groupBy(*keys, _BLOCK).agg(
-        *[
-            F.max_by(found[n], F.when(F.col(found[n]).isNotNull(), F.col(pos))).alias(found[n])
-            for n in events
-        ]
-    )
-    every_block = _with_block(lines.select(*keys, pos), pos, block_rows).select(*keys, _BLOCK).distinct()
-    per_block = every_block.join(marks, [*keys, _BLOCK], "left")
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    incoming = per_block.select(
-        *keys, _BLOCK, *[F.last(found[n], True).over(earlier).alias(before[n]) for n in events]
-    )
+    known = block_marks(lines, events, keys, pos, block_rows) if marks is None else marks
+    by_key = Window.partitionBy(*keys).orderBy(_BLOCK)
+    earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    incoming = known.select(
+        *keys, _BLOCK, *[F.last(n, True).over(earlier).alias(before[n]) for n in events],
+        *[F.first(f"_first_{n}", True).over(whole).alias(c) for c, n in first.items()],
+    )
 
+    blocked = _with_block(lines.withColumns({found[n]: e for n, e in events.items()}), pos, block_rows)
     so_far = (
         Window.partitionBy(*keys, _BLOCK)
         .orderBy(pos)
@@ -63,11 +80,38 @@ def carry_last(
     local = blocked.withColumns({found[n]: F.last(found[n], True).over(so_far) for n in events})
     joined = local.join(incoming, [*keys, _BLOCK], "left")
     return joined.select(
-        *[c for c in lines.columns if c not in events],
+        *[c for c in lines.columns if c not in events and c not in first],
         *[F.coalesce(found[n], before[n]).alias(n) for n in events],
+        *first,
     )
 
 
+def states(marks: DataFrame, names: Sequence[str], keys: Sequence[str] = ("source_id",), pos: str = "line_no") -> DataFrame:
+    """``marks`` (few rows with the values they set) as intervals: per key rows of at most ``STATES`` marks with the values
+    that hold from each on, and the positions between which such a row counts."""
+    so_far = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(pos))
+    part = F.ceil(number / F.lit(STATES)).cast("int").alias("_part")
+    held = marks.select(*keys, pos, part, *[F.last(n, True).over(so_far).alias(n) for n in names])
+    parts = held.groupBy(*keys, "_part").agg(
+        F.min(pos).alias("_from"), F.array_sort(F.collect_list(F.struct(pos, *names))).alias("_states")
+    )
+    return parts.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_part"))).drop("_part")
+
+
+def as_of(
+    lines: DataFrame, held: DataFrame, names: Sequence[str], keys: Sequence[str] = ("source_id",), pos: str = "line_no"
+) -> DataFrame:
+    """Add the values of :func:`states` that hold at each row, NULL before the first. Made for intervals that are few
+    enough to be broadcast: then lines are neither read twice nor exchanged."""
+    line, part = lines.alias("line"), held.alias("part")
+    same = reduce(and_, [F.col(f"line.{k}").eqNullSafe(F.col(f"part.{k}")) for k in keys])
+    at = F.col(f"line.{pos}")
+    inside = (at >= F.col("_from")) & (F.col("_to").isNull() | (at < F.col("_to")))
+    last = F.try_element_at(F.filter("_states", lambda s: s[pos] <= at), F.lit(-1))
+    return line.join(part, same & inside, "left").select("line.*", *[last[n].alias(n) for n in names])
+
+
 def number_lines(
     lines: DataFrame,
     keys: Sequence[str] = ("source_id",),

@@ -13,7 +13,7 @@ from lodeglass.functions.formats import ENTRY_COLUMNS, FORMATS, PLAIN, line_clas
 from lodeglass.functions.formats.conversion import FORMAT as CONVERSION
 from lodeglass.functions.text import leading_time, let
 from lodeglass.operators.blocks import BLOCK_ROWS
-from lodeglass.operators.carry import add_carried, carry_stage
+from lodeglass.operators.carry import add_carried, carry_stage, find_marks
 from lodeglass.operators.detect import detect_format
 from lodeglass.operators.years import STEPS, YEAR, year_of
 
@@ -88,23 +88,27 @@ def parse_logs(lines: DataFrame, formats: DataFrame | None = None, block_rows: i
 
     ``formats`` is a written result of :func:`detect_format` when there is one (``sources.staging.stage`` writes it).
     Then its size is known, so joining it to the lines broadcasts it only while it is small, and only the parsers and the
-    carrying that some source needs become part of the plan. Without it nothing runs here: the plan detects formats
-    itself and has all parsers.
+    carrying that some source needs become part of the plan; the marks of conversion logs are found and written, and unless
+    there are very many of them lines are read once more, by one scan for all formats, and not exchanged. Without
+    ``formats`` nothing runs here: the plan detects formats itself and has all parsers.
 
     klog lines have no year. They get an ``event_ts`` if ``formats`` comes from :func:`lodeglass.operators.years.with_years`.
     """
-    if formats is None:
+    written = formats is not None
+    if not written:
         formats, present = detect_format(lines), {*FORMATS}
     else:
         present = {row["format"] for row in formats.select("format").distinct().collect()}
     typed = with_format(without_empty(lines), formats)
-    direct = _shape(
-        typed.where(F.col("format") != CONVERSION), [n for n in FORMATS if n in present and n != CONVERSION]
-    )
     if CONVERSION not in present:
-        return direct
-    carried = carry_stage(typed.where(F.col("format") == CONVERSION).drop(YEAR, STEPS), block_rows)
-    return direct.unionByName(add_carried(parse_as(carried, CONVERSION)))
+        return _shape(typed, [n for n in FORMATS if n in present])
+    is_conversion = F.col("format") == CONVERSION
+    conversions = typed.where(is_conversion).drop(YEAR, STEPS)
+    marks = find_marks(conversions, block_rows) if written else None
+    if marks and marks.intervals:
+        return add_carried(_shape(carry_stage(typed, marks=marks), [n for n in FORMATS if n in present]), is_conversion)
+    direct = _shape(typed.where(~is_conversion), [n for n in FORMATS if n in present and n != CONVERSION])
+    return direct.unionByName(add_carried(parse_as(carry_stage(conversions, block_rows, marks), CONVERSION)))
 
 
 def event_time(line: Column) -> Column:
@@ -112,6 +116,8 @@ def event_time(line: Column) -> Column:
     no_year = F.lit(None).cast("int")
 
     def time_in(name: str) -> Column:
+        if hasattr(FORMATS[name], "line_time"):
+            return FORMATS[name].line_time(line)
         return let(FORMATS[name].tokens(line), lambda token: FORMATS[name].event_time(line, token, no_year))
 
     def own(cls: Column) -> Column:

@@ -61,14 +61,7 @@ def recent(
     A line without a time has that of the last line before it that has one, and at the start of a source that of the
     first one after it. A source without any time stays whole.
     """
-    dated = carry_last(lines, {"_time": event_time}, block_rows=block_rows)
-    first = (
-        lines.select("source_id", "line_no", event_time.alias("_first"))
-        .where("_first is not null")
-        .groupBy("source_id")
-        .agg(F.min_by("_first", "line_no").alias("_first"))
-    )
-    timed = dated.join(first, "source_id", "left")
+    timed = carry_last(lines, {"_time": event_time}, block_rows=block_rows, first={"_first": "_time"})
     young = since(F.coalesce("_time", "_first"), duration, as_of)
     return timed.where(young | F.col("_first").isNull()).select(*lines.columns)
 

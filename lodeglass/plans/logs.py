@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeglass.operators import compact
 from lodeglass.operators.blocks import number_lines
-from lodeglass.operators.carry import carry_stage
+from lodeglass.operators.carry import carry_stage, find_marks
 from lodeglass.operators.detect import detect_format
 from lodeglass.operators.entries import event_time, parse_as, parse_logs
 from lodeglass.operators.logs import newest_order, recent, tail
@@ -231,21 +231,27 @@ _PROGRESS = f"""last_value(CASE WHEN event_type = 'click' THEN {_K} END IGNORE N
                 OVER (PARTITION BY user_id, run ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
 
 
+def _carried(t: Tables):
+    lines = _lines(t, I.conversion_line())
+    return carry_stage(lines, marks=find_marks(lines))
+
+
 @query(f"SELECT {_ROW}, {_STAGE} AS stage FROM events {_PAST}")
 def log_stage(t: Tables):
-    return carry_stage(_lines(t, I.conversion_line())).select("source_id", "line_no", "stage")
+    return _carried(t).select("source_id", "line_no", "stage")
 
 
 @query(f"SELECT {_ROW}, {_STAGE} AS stage FROM events {_PAST}")
 def log_stage_blocks(t: Tables):
-    """The same with blocks so small that every source spans several."""
-    carried = carry_stage(_lines(t, I.conversion_line()), block_rows=500)
-    return carried.select("source_id", "line_no", "stage")
+    """The same in blocks, as for logs with very many marks, so small that every source spans several."""
+    lines = _lines(t, I.conversion_line())
+    marks = find_marks(lines, block_rows=500, most=0)
+    return carry_stage(lines, 500, marks).select("source_id", "line_no", "stage")
 
 
 @query(f"SELECT {_ROW}, stage, {_PROGRESS} AS progress_pct FROM ({_RUNS})")
 def log_progress(t: Tables):
-    return carry_stage(_lines(t, I.conversion_line())).select("source_id", "line_no", "stage", "progress_pct")
+    return _carried(t).select("source_id", "line_no", "stage", "progress_pct")
 
 
 # ---- whole pipeline

@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, path: str, source: Column | None = None, mod
     that name, when the file was last written.
     """
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        if _bytes(spark.conf.get(name)) < 1 << _UNIT_BITS:
+        if bytes_of(spark.conf.get(name)) < 1 << _UNIT_BITS:
             raise ValueError(f"{name} has to be at least 1 MiB for lines to keep their order")
     text = spark.read.option("lineSep", "\n").text(path)
     source = F.col("_metadata.file_path") if source is None else source
@@ -57,7 +57,8 @@ def _ordered(text: DataFrame, source: Column, modified: bool) -> DataFrame:
     )
 
 
-def _bytes(setting: str) -> int:
+def bytes_of(setting: str) -> int:
+    """A size as settings write it, such as ``10MB``."""
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     text = setting.lower().removesuffix("b")
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
