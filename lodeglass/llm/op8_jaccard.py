@@ -5,19 +5,21 @@ Documents are sets of word shingles. Two sets of Jaccard similarity t share at l
 * a set with too many shingles that no other text has is linked with none, and most documents end there;
 * small (light) sets name all their subsets of the least shared size: two linked light sets name one in common;
 * large (heavy) sets, and light ones large enough to be linked with a heavy one, are listed under the first tokens of a
-  global order, as many as a linked set cannot all miss.
+  global order, as many as a linked set cannot all miss. Tokens that are frequent by a sketch of bounded size come last in
+  that order, so what many texts share, such as a template, makes no lists unless there is nothing else.
 
 The boundary between light and heavy is where the costs counted over the sizes are least. Sets in one list are
 candidates. Copies of a text are one member. In each list every member is first compared with one centre; linked sets
-form components, and only lists whose members are still in several components are compared further, across those. Each
-candidate is verified on the texts. So a group of n near copies costs about n comparisons, not n squared, and no two
-linked texts end up in different components.
+form components, and only lists whose members are still in several components are compared further, across those: by
+tiles of members, on bits that tell texts apart, without a row per pair. Each candidate is verified on the texts. So a
+group of n near copies costs about n comparisons, not n squared, and no two linked texts end up in different components.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,10 @@ SCAN = 4
 BITS = 1024
 #: Bytes of texts that are handled at once.
 AT_ONCE = 2 << 20
+#: Counters of the sketch of frequent tokens, and members of a list that are compared at once.
+COUNTERS, TILE = 1 << 20, 4096
+#: Entries of one token's list that are handled at once; more are dealt over several groups.
+LIST_ROWS = 1 << 20
 #: Stands for a missing id: after all others.
 _LAST = 2**63 - 1
 #: Bytes of text for each hash range, and ranges at least.
@@ -179,16 +185,50 @@ def _measured(keyed: DataFrame, shingle: int, n_ranges: int) -> DataFrame:
     return packed.groupBy("range").applyInArrow(grams.tidy(alone), "id long, key long, size long, alone long")
 
 
-def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges: int) -> DataFrame:
+def frequencies(texts: DataFrame, shingle: int, counters: int) -> np.ndarray:
+    """How many of ``texts`` have a token, by the counter that its hash falls on. A sketch: it only says what stands out. Of
+    its ``counters`` numbers a task sends those that are several times its mean."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, np.int64)
+        for _, data, bounds in grams.batches(rows, size=AT_ONCE):
+            _, hashes = _sets(data, bounds, shingle)
+            at, n = np.unique((hashes % np.uint64(counters)).astype(np.int64), return_counts=True)
+            total[at] += n
+        at = np.flatnonzero(total > max(4, 4 * total.mean()))
+        yield pa.RecordBatch.from_pydict({"counter": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    sent = texts.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = sent.toArrow()
+    out = np.zeros(counters, np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges: int, often: np.ndarray) -> DataFrame:
     """Members of every list that holds at least two texts: list, members and centre.
 
     Lists with the same members are one list for each hash range, told by the members' hash, with the number of tokens
-    that have it.
+    that have it. A list that is too long for one group, by ``often``, is dealt over several by its members' keys; it is
+    told by its token, and each part has a centre of its own.
     """
     heavy_from = _needed(light + 1, percent)
+    counters, rank = np.uint64(len(often)), np.log2(often + 1).astype(np.uint8)
+    split_in = {int(c): -(-int(often[c]) // LIST_ROWS) for c in np.flatnonzero(often > LIST_ROWS)}
+
+    def parts_of(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The number of the part of its list that an entry is in."""
+        out = np.zeros(len(tokens), np.uint64)
+        counter = (tokens % counters).astype(np.int64)
+        for c, n in split_in.items():
+            own = counter == c
+            out[own] = (keys[own] % n).astype(np.uint64)
+        return out
+
     def lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, bounds in grams.batches(rows, size=AT_ONCE):
             doc, hashes = _sets(data, bounds, shingle)
+            hashes = hashes[np.lexsort((hashes, rank[hashes % counters], doc))]
             sizes = np.bincount(doc, minlength=len(batch))
             begin = np.cumsum(sizes) - sizes
             place = np.arange(len(doc)) - begin[doc]
@@ -206,7 +246,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
             if not len(tokens):
                 continue
             column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            range_of = _range_of(tokens, n_ranges)
+            range_of = (_range_of(tokens, n_ranges) + parts_of(tokens, column("key")[owner])) % np.uint64(n_ranges)
             yield _packed(
                 range_of, owner, tokens, keys=column("key"), ids=column("id"), sizes=sizes.astype(np.uint32), shared=column("shared")
             )
@@ -221,18 +261,22 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
         tokens, keys, ids, sizes, shared = tokens[own], keys[own], ids[own], sizes[own], shared[own]
         at = grams.runs(tokens)
         count = np.diff(at)
-        several = count > 1
+        # the counters are a power of two, so a token's low bits tell its own
+        token = tokens[at[:-1]].astype(np.uint64)
+        dealt = np.isin(token % counters, np.array([*split_in], np.uint64))
+        several = (count > 1) | dealt
         spread_out = np.repeat(several, count)
         keys, ids, sizes, shared = (x[spread_out] for x in (keys, ids, sizes, shared))
-        count = count[several]
+        count, token, dealt = count[several], token[several], dealt[several]
         begin = np.cumsum(count) - count
         names = np.add.reduceat(grams.mix(keys.view(np.uint64)), begin) if len(begin) else np.empty(0, np.uint64)
+        names = np.where(dealt, grams.mix(token), names)
         _, first, times = np.unique(names, return_index=True, return_counts=True)
         fresh = np.zeros(len(count), bool)
         fresh[first] = True
         spread_out = np.repeat(fresh, count)
         keys, ids, sizes, shared = (x[spread_out] for x in (keys, ids, sizes, shared))
-        names, count, tokens = names[fresh], count[fresh], times[np.argsort(first, kind="stable")]
+        names, count, dealt, tokens = names[fresh], count[fresh], dealt[fresh], times[np.argsort(first, kind="stable")]
         lists = np.repeat(np.arange(len(count)), count)
         begin = np.cumsum(count) - count
         centre = np.lexsort((keys, ids, lists))[begin]
@@ -240,6 +284,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
             {
                 "list": pa.array(names.view(np.int64)[lists]),
                 "members": pa.array(count[lists]),
+                "dealt": pa.array(dealt[lists]),
                 "tokens": pa.array(tokens[lists]),
                 "key": pa.array(keys),
                 "size": pa.array(sizes),
@@ -251,7 +296,7 @@ def _listed(keyed: DataFrame, shingle: int, percent: int, light: int, n_ranges:
         )
 
     packed = keyed.mapInArrow(lists, "range int, tokens binary, counts binary, keys binary, ids binary, sizes binary, shared binary")
-    schema = "list long, members long, tokens long, key long, size long, shared long, centre long, centre_size long, centre_shared long"
+    schema = "list long, members long, dealt boolean, tokens long, key long, size long, shared long, centre long, centre_size long, centre_shared long"
     return packed.groupBy("range").applyInArrow(grams.tidy(members), schema)
 
 
@@ -280,7 +325,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def _parities(texts: DataFrame, shingle: int) -> DataFrame:
-    """``key`` and ``BITS`` bits of each text, in longs: whether it has an odd number of the shingles that fall on a bit.
+    """``key`` and ``BITS`` bits of each text: whether it has an odd number of the shingles that fall on a bit.
 
     Where two texts' bits differ there is a shingle that only one of them has, so no more bits differ than shingles.
     """
@@ -292,14 +337,50 @@ def _parities(texts: DataFrame, shingle: int) -> DataFrame:
             at = grams.runs(places)
             bits = np.zeros(len(batch) * BITS, bool)
             bits[places[at[:-1][np.diff(at) % 2 == 1]]] = True
-            longs = np.packbits(bits.reshape(-1, 64), axis=1).view(np.int64).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *(pa.array(longs[:, k].copy()) for k in range(BITS // 64))],
-                ["key", *(f"bits{k}" for k in range(BITS // 64))],
-            )
+            packed = grams.cut(np.packbits(bits), np.arange(len(batch) + 1) * (BITS // 8))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), packed], ["key", "bits"])
+
+    return texts.select("key", "text").mapInArrow(parities, "key long, bits binary")
+
+
+def _compared(percent: int):
+    """The pairs of a tile of a list that may be linked: of different components, of sizes that allow it, with enough
+    shingles that are not theirs alone, and with few enough bits apart. Rows have ``own``, the tile that a member is in."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        column = lambda name: rows.column(name).to_numpy()
+        own, key, root, size, shared = (column(c) for c in ("own", "key", "root", "size", "shared"))
+        bits = grams.joined(rows.column("bits"), np.uint64).reshape(len(own), -1)
+        tokens = rows.column("tokens")[0].as_py() if len(own) else 0
+        left, right = (np.flatnonzero(own == side) for side in (own.min(), own.max()))
+        # most members may be in one component already: those are compared with the others alone
+        names, times = np.unique(root, return_counts=True)
+        main = root == names[np.argmax(times)]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        within = (own == own[0]).all()
+        sides = [(left[~main[left]], right)] + ([] if within else [(left[main[left]], right[~main[right]])])
+        for one, other in sides:
+            step = max(1, (4 << 20) // max(1, len(other) * bits.shape[1]))
+            for low in range(0, len(one), step):
+                x, y = one[low : low + step, None], other[None, :]
+                need = -(-(size[x] + size[y]) * percent // (100 + percent))
+                may = (root[x] != root[y]) & (np.minimum(shared[x], shared[y]) >= need)
+                may &= np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent
+                if within:
+                    may &= (key[x] < key[y]) | main[y]
+                i, j = np.nonzero(may)
+                i, j = one[low + i], other[j]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                close = apart * (100 + percent) <= (size[i] + size[j]) * (100 - percent)
+                found.append((i[close], j[close]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        swap = key[i] > key[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.table(
+            {"a": key[i], "b": key[j], "x": size[i], "y": size[j], "tokens": np.full(len(i), tokens, np.int64)}
+        )
 
-    schema = ", ".join(["key long", *(f"bits{k} long" for k in range(BITS // 64))])
-    return texts.select("key", "text").mapInArrow(parities, schema)
+    return compare
 
 
 def _linkable(x: str, y: str, shared_x: str, shared_y: str, percent: int) -> Column:
@@ -343,33 +424,39 @@ def _grouped(keyed: DataFrame, shingle: int, percent: int) -> DataFrame:
     texts = stage(keyed.select("key", "text").join(left, "key").dropDuplicates(["key"]))
     bands = some.groupBy(F.least("size", F.lit(2 * MAX_LIGHT)).alias("size")).count().collect()
     light = light_boundary({r["size"]: r["count"] for r in bands}, percent)
-    lists = stage(_listed(texts, shingle, percent, light, n_ranges))
-
-    stars = lists.where((F.col("key") != F.col("centre")) & _linkable("size", "centre_size", "shared", "centre_shared", percent))
+    often = frequencies(texts, shingle, COUNTERS)
+    lists = stage(_listed(texts, shingle, percent, light, n_ranges, often))
+
+    # centres of the parts of a dealt list are compared with one of them
+    dealt = lists.where("dealt").select("list", *[F.col(f"centre{x}").alias(f"key{x}") for x in ("", "_size", "_shared")]).distinct()
+    tops = dealt.groupBy("list").agg(F.min(F.struct("key", "key_size", "key_shared")).alias("top"))
+    tops = dealt.join(tops, "list").select(
+        "key", F.col("key_size").alias("size"), F.col("key_shared").alias("shared"), F.col("top.key").alias("centre"),
+        F.col("top.key_size").alias("centre_size"), F.col("top.key_shared").alias("centre_shared"),
+    )
+    stars = lists.select(tops.columns).unionByName(tops)
+    stars = stars.where((F.col("key") != F.col("centre")) & _linkable("size", "centre_size", "shared", "centre_shared", percent))
     stars = stars.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     stars = stage(stars)
     links = stage(_verified(stars, texts, shingle, percent))
     roots = components(links)
 
     # lists of two are settled; the others only where their members are not all together yet
-    several = lists.where("members > 2").groupBy("list", "key", "size", "shared").agg(F.sum("tokens").alias("tokens"))
+    several = lists.where("members > 2 or dealt").groupBy("list", "key", "size", "shared").agg(F.sum("tokens").alias("tokens"))
     placed = several.join(roots.withColumnRenamed("node", "key"), "key", "left")
     placed = stage(placed.select("list", "key", "size", "shared", "tokens", F.coalesce("root", "key").alias("root")))
-    split = placed.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rest = placed.join(split, "list", "left_semi")
-    rest = rest.join(_parities(texts, shingle), "key")
-    own = ["key", "size", "shared", "root", *(f"bits{k}" for k in range(BITS // 64))]
-    x = rest.select("list", "tokens", *[F.col(c).alias(f"{c}_x") for c in own])
-    y = rest.select("list", *[F.col(c).alias(f"{c}_y") for c in own])
-    apart = sum(F.bit_count(F.col(f"bits{k}_x").bitwiseXOR(F.col(f"bits{k}_y"))) for k in range(BITS // 64))
-    pairs = x.join(
-        y,
-        (x["list"] == y["list"]) & (F.col("root_x") != F.col("root_y")) & (F.col("key_x") < F.col("key_y"))
-        & _linkable("size_x", "size_y", "shared_x", "shared_y", percent)
-        & (apart * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)),
-    )
-    pairs = pairs.groupBy(F.col("key_x").alias("a"), F.col("key_y").alias("b"))
-    pairs = pairs.agg(F.sum("tokens").alias("met"), F.first("size_x").alias("x"), F.first("size_y").alias("y"))
+    split = placed.groupBy("list").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
+    ).where("low != high")
+    tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    rest = placed.join(split.select("list", tiles.alias("tiles")), "list").join(_parities(texts, shingle), "key")
+    rest = rest.withColumn("own", F.pmod("key", F.col("tiles")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = rest.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    near = rest.groupBy("list", "low", "high").applyInArrow(
+        grams.tidy(_compared(percent)), "a long, b long, x long, y long, tokens long"
+    )
+    pairs = near.groupBy("a", "b").agg(F.sum("tokens").alias("met"), F.first("x").alias("x"), F.first("y").alias("y"))
     pairs = pairs.where(_can_overlap(light, percent)).select("a", "b").join(stars, ["a", "b"], "left_anti")
     more = stage(_verified(pairs, texts, shingle, percent))
     if not more.isEmpty():
@@ -420,4 +507,25 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {"op8_jaccard": Query(query)}
+#: Pairs of different texts by the shingles they share; components by the least id that is reached.
+SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i:i + {SHINGLE - 1}], ' ') FOR i IN range(1, len(w) - {SHINGLE - 2})]) END AS s
+  FROM docs),
+alike AS MATERIALIZED (SELECT min(doc_id) AS a, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+held AS MATERIALIZED (SELECT a, len(s) AS n, unnest(s) AS g FROM alike),
+links AS MATERIALIZED (
+  SELECT x.a, y.a AS b FROM held x JOIN held y ON x.g = y.g AND x.a < y.a
+  GROUP BY x.a, y.a, x.n, y.n HAVING 100 * count(*) >= {PERCENT} * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  WITH RECURSIVE r(a, b) AS (SELECT a, a FROM alike UNION SELECT r.a, l.b FROM r JOIN both_ways l ON r.b = l.a) SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE least END AS component_id
+FROM sets LEFT JOIN alike ON list_sort(sets.s) = alike.s LEFT JOIN reached USING (a)
+"""
+
+QUERIES = {"op8_jaccard": Query(query, SQL)}

@@ -86,6 +86,35 @@ def test_jaccard_of_many_small_sets(spark, monkeypatch, light):
     same([tuple(r) for r in op8_jaccard.link_documents(frame(spark, rows)).collect()], want)
 
 
+def test_jaccard_of_long_lists(spark, monkeypatch):
+    """Lists that are dealt over several groups and compared in tiles, in any order of tokens, lose no link."""
+    rnd = random.Random(6)
+    monkeypatch.setattr(op8_jaccard, "light_boundary", lambda *_: 0)
+    monkeypatch.setattr(op8_jaccard, "frequencies", lambda *_: np.random.default_rng(3).integers(0, 40, 64))
+    monkeypatch.setattr(op8_jaccard, "LIST_ROWS", 9)
+    monkeypatch.setattr(op8_jaccard, "TILE", 4)
+    fixed = [f"f{k}" for k in range(30)]
+    rows = []
+    for k in range(70):
+        w = list(fixed)
+        for at in rnd.sample(range(30), rnd.randrange(4)):
+            w[at] = f"s{rnd.randrange(2)}"
+        rows.append((k, " ".join(w + ["end"] * rnd.randrange(3))))
+    group, sets = brute.groups(rows)
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, i), i)
+    assert len(least) > 1
+    want = [(i, len(s), least[g]) for (i, _), g, s in zip(rows, group, sets, strict=True)]
+    same([tuple(r) for r in op8_jaccard.link_documents(frame(spark, rows)).collect()], want)
+
+
+def test_frequent_tokens_stand_out(spark):
+    texts = [" ".join([f"a{k}", *"b c d e f".split(), f"g{k}"]) for k in range(400)]
+    often = op8_jaccard.frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 5, 1 << 12)
+    assert often.max() >= 400 and (often > 100).sum() == 1
+
+
 def test_light_boundary():
     assert op8_jaccard.light_boundary({}) == 0
     assert op8_jaccard.light_boundary({5: 1000, 400: 10}) >= 5
