@@ -18,7 +18,7 @@ WINDOW = 13
 #: A document is contaminated when one in so many of its words is hit.
 SHARE = 20
 #: Bytes of benchmark windows up to which they are sent to every task; beyond, they are joined by shuffles.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -72,6 +72,50 @@ def _listed(windows: DataFrame, worded: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _hits(met: DataFrame) -> Column:
+    """Whether a window occurs around the word ``at`` that it is listed under."""
+    start, length = F.col("at") - F.col("place"), F.size("window")
+    fits = (start >= 1) & (start + length <= F.size("words"))
+    second = F.col("second").isNull() | (F.get("words", F.col("at") + F.col("distance")) == F.col("second"))
+    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(1))) == F.col("window")
+    return fits & second & same
+
+
+_SPAN = "struct(at - place as at, at - place + size(window) as to)"
+
+
+def _by_broadcast(keyed: DataFrame, listed: DataFrame, columns: list[str]) -> DataFrame:
+    """Per document its ``columns``, n_words, spans and items, with all windows sent to every task."""
+    # every text begins with an empty word, which meets one row without a window: so each document is there once
+    none = listed.sparkSession.range(1).select(F.lit("").alias("word"), *[F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in listed.columns[1:]])
+    met = keyed.select("*", F.posexplode("words").alias("at", "word")).join(F.broadcast(listed.unionByName(none)), "word")
+    itself = F.col("window").isNull()
+    hits = met.where(itself | _hits(met)).select(
+        "key", *[F.when(itself, F.col(c)).alias(c) for c in columns], (F.size("words") - 1).alias("n"), "items",
+        F.when(~itself, F.expr(_SPAN)).alias("span"),
+    )
+    return hits.groupBy("key").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in columns],
+        F.max("n").cast("long").alias("n_words"),
+        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+
+
+def _by_shuffles(keyed: DataFrame, listed: DataFrame, columns: list[str]) -> DataFrame:
+    """The same with words exchanged; only documents that meet a window's word are looked at again."""
+    at = keyed.select("key", F.posexplode("words").alias("at", "word")).where("at > 0")
+    met = at.join(listed.hint("merge"), "word").join(keyed.select("key", "words"), "key")
+    hits = met.where(_hits(met)).select("key", "items", F.expr(_SPAN).alias("span"))
+    found = hits.groupBy("key").agg(
+        F.array_sort(F.collect_set("span")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    own = keyed.select("key", *columns, (F.size("words") - 1).cast("long").alias("n_words")).join(found, "key", "left")
+    nothing = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return own.select("key", *columns, "n_words", *nothing)
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: int = SHARE, broadcast_bytes: int = BROADCAST_BYTES, columns: list[str] | None = None,
@@ -90,31 +134,14 @@ def decontaminate(
     keyed = pin(keyed, words=F.concat(F.array(F.lit("")), letter_words(F.col("text")))).drop("text")
     worded = pin(docs.select(F.col(f"`{text}`").alias("text")), words=letter_words(F.col("text"))).select("words")
     listed = stage(_listed(stage(benchmark_windows(items, item, item_text, window)), worded, broadcast_bytes))
-    size = _bytes(listed, F.octet_length(F.array_join("window", " ")), F.octet_length(F.array_join("items", " ")), F.lit(200))
-
-    # every text begins with an empty word, which meets one row without a window: so each document is there once
-    none = listed.sparkSession.range(1).select(F.lit("").alias("word"), *[F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in listed.columns[1:]])
-    listed = listed.unionByName(none)
-    place = [F.posexplode("words").alias("at", "word")]
+    # in memory an array has 8 bytes for each element and its text padded to 8, and a row is held twice while it is sent
+    held = lambda c: F.octet_length(F.array_join(c, "")) + 12 * F.size(c) + 24
+    size = _bytes(listed, F.lit(2) * (held("window") + held("items") + F.lit(120)))
+    columns_in = [f"in{k}" for k in range(len(given))]
     if size <= broadcast_bytes:
-        met = keyed.select("*", *place).join(F.broadcast(listed), "word")
+        found = _by_broadcast(keyed, listed, columns_in)
     else:
-        keyed = stage(keyed)
-        met = keyed.select("key", *place).join(listed, "word").join(keyed, "key")
-    start, length = F.col("at") - F.col("place"), F.size("window")
-    fits = (start >= 1) & (start + length <= F.size("words"))
-    second = F.col("second").isNull() | (F.get("words", F.col("at") + F.col("distance")) == F.col("second"))
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(1))) == F.col("window")
-    itself = F.col("window").isNull()
-    hits = met.where(itself | (fits & second & same)).select(
-        "key", *[F.when(itself, F.col(f"in{k}")).alias(f"in{k}") for k in range(len(given))], (F.size("words") - 1).alias("n"), "items", F.when(~itself, F.struct(start.alias("at"), (start + length).alias("to"))).alias("span"),
-    )
-    found = hits.groupBy("key").agg(
-        *[F.first(f"in{k}", ignorenulls=True).alias(f"in{k}") for k in range(len(given))],
-        F.max("n").cast("long").alias("n_words"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+        found = _by_shuffles(stage(keyed), listed, columns_in)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
