@@ -103,7 +103,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, **bounds) -> DataFrame:
             extra = (pa.array(bins[at] + number - firsts[at]), pa.array(offsets[at]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), *extra], ["row", "sequence_id", "offset"])
 
-    known = numbered.join(base.drop("count"), ["length", "task"])
+    # a row for each length of each task: never broadcast, as it grows with the tasks
+    known = numbered.join(base.drop("count").hint("merge"), ["length", "task"])
     known = known.select("row", "length", (F.col("base") + F.col("number")).alias("number"))
     out = known.mapInArrow(placed, f"row {kind}, sequence_id long, offset long")
     return out.select("row.*", "sequence_id", "offset")
@@ -111,10 +112,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, **bounds) -> DataFrame:
 
 def cut_documents(
     docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text",
-    keep_ids: bool = False,
+    keep_ids: bool = False, wide: bool = True,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` token ids: ``id``, piece, start, length, ids_crc32, and with ``keep_ids`` the ids
-    as little-endian unsigned 32-bit integers.
+    as little-endian unsigned 32-bit integers, or 16-bit ones if not ``wide``.
 
     Every document has its ids and the ``end`` id, so null and empty texts are one piece of length 1. Only documents
     that are longer than ``capacity`` are cut. Other columns are left out.
@@ -138,17 +139,24 @@ def cut_documents(
                 "length": pa.array(length),
                 "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
             }
-            ids = {"ids": pa.array([x.tobytes() for x in own], pa.binary())} if keep_ids else {}
+            ids = {"ids": pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in own], pa.binary())} if keep_ids else {}
             yield pa.RecordBatch.from_pydict(columns | ids)
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
     return keyed.mapInArrow(cut, schema).withColumnRenamed("id", id)
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The pieces of ``docs`` (doc_id, text) in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
+    with ``keep_ids`` the piece's ids as little-endian unsigned 16-bit integers, which hold all ids of the tokenizer.
+
+    Each document, a null or empty text too, has its ids and an end id; equal rows are packed each by itself, and a missing
+    doc_id stays missing. A very long text is encoded whole and cut. Other columns are left out; no documents give no rows.
+    """
     import public_tokenizers
 
-    return pack(cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end=1))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(cut_documents(docs, path, end=1, keep_ids=keep_ids, wide=False))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,6 +70,13 @@ def test_stages_on_odd_documents(spark, docs, tmp_path):
             out.write.parquet(f"{tmp_path}/{name}{k}")
             if k < 4:
                 assert sorted(out.columns) == sorted(df.columns)
+            got, given = Counter(map(repr, pairs(out) if k < 4 else [])), Counter(map(repr, pairs(df)))
+            if name == "none":
+                assert spark.read.parquet(f"{tmp_path}/{name}{k}").count() == 0
+            elif k in (2, 3):
+                assert got and not got - given
+            elif k == 4:
+                assert Counter(r.doc_id for r in out.where("piece = 0").collect()) == Counter(r.doc_id for r in df.collect())
 
 
 def line_fails(x):
@@ -117,7 +124,8 @@ def test_packed_pieces_are_whole(spark):
     ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in pairs(docs)}
     bins, pieces = defaultdict(list), Counter()
     for r in corpus_pipeline.packing(spark, docs, FOLDER).collect():
-        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length])
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and r.ids_crc32 == zlib.crc32(own) and np.array_equal(np.frombuffer(r.ids, "<u2"), own)
         bins[r.sequence_id].append((r.offset, r.length))
         pieces[r.doc_id, r.start, r.length] += 1
     assert pieces == {(i, k, min(4096, len(x) - k)): 1 for i, x in ids.items() for k in range(0, len(x), 4096)}
