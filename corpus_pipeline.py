@@ -1,4 +1,7 @@
-"""A corpus from documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""A corpus from documents to packed training sequences: five stages, each written as Parquet and read again.
+
+Every stage takes tables without rows, and columns of any other names pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -23,33 +26,46 @@ def _with_text(docs: DataFrame, text: Column, found: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that pass, with the text that the line rules leave."""
+    """Documents that pass, with the text that the line rules leave.
+
+    Null and empty texts have no words and go; equal rows are judged each by itself; a very long text is judged whole.
+    ``n_chars`` is made anew from the text that is left, here and in line deduplication.
+    """
     found = _free(docs)
     return _with_text(judge_quality(docs, into=found).where(f"{found}.kept"), F.col(f"{found}.clean"), found)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without later repeated runs of lines; those whose every line is a repeat go."""
+    """Documents without later repeated runs of lines; those whose every line is a repeat go.
+
+    Runs are three lines, or fewer that hold 50 words. Null and blank texts stay as they are. Equal ids, and equal rows,
+    take nothing from each other; a missing id is after all others.
+    """
     found = _free(docs)
     out = dedup_lines(docs, into=found).where(f"{found}.n_removed < {found}.n_lines or {found}.n_lines = 0")
     return _with_text(out, F.when(F.col(f"{found}.n_removed") > 0, F.col(f"{found}.kept")).otherwise(F.col("text")), found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id."""
+    """One document of each group of near duplicates, the one with the least id, a missing one last. Null and blank texts
+    have no shingles and all stay; of rows alike in id and text one stays."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold too little of the benchmark to be contaminated."""
+    """Documents that hold too little of the benchmark to be contaminated; null and empty texts hold none of it, and equal
+    rows are judged each by itself. An empty benchmark leaves all."""
     found = _free(docs)
     out = decontaminate(docs, table(spark, folder, "benchmark"), into=found)
     return out.where(f"not {found}.contaminated").drop(found)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of the documents' token ids, each with its sequence and place."""
-    return pack_documents(docs)
+    """Pieces of the documents' token ids, each with its sequence, its place there and its ids (unsigned 16-bit integers).
+
+    Null and empty texts are their end id alone; equal rows are packed each by itself.
+    """
+    return pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
