@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeglass.functions.formats import PLAIN, TIE_ORDER, line_class
 from lodeglass.functions.text import is_blank
 from lodeglass.operators.blocks import PICK_ROWS
+from lodeglass.sources.edges import first_lines
 
 # Lines that vote, lines among which all of them are looked for, and the share of votes a format needs.
 VOTERS = 10
@@ -49,6 +50,11 @@ def sample_lines(lines: DataFrame, block_rows: int = PICK_ROWS) -> DataFrame:
     return voters.select("source_id", "line_no", F.when(F.col("_said"), F.col("value")).alias("value"))
 
 
+def detect_files(spark: SparkSession, path: str, source: Column | None = None) -> DataFrame:
+    """:func:`detect_format` of text files, of which only the lines are read that it looks at."""
+    return detect_format(first_lines(spark, path, LOOKED_AT, source))
+
+
 def detect_format(lines: DataFrame, block_rows: int = PICK_ROWS) -> DataFrame:
     """One row per source: ``source_id, format, confidence``; a source without voters is plain."""
     said = F.col("value").isNotNull()

@@ -9,9 +9,11 @@ from lodeglass.functions.paths import path
 from lodeglass.functions.predicates import need
 from lodeglass.operators.blocks import number_lines
 from lodeglass.operators.compact import compact_line
-from lodeglass.operators.detect import detect_format
+from lodeglass.operators.detect import detect_files, detect_format
 from lodeglass.operators.entries import parse_logs
+from lodeglass.operators.logs import tail
 from lodeglass.sources import sinks, snapshots
+from lodeglass.sources.edges import last_lines
 from lodeglass.sources.lines import container_logs, read_lines
 from lodeglass.sources.staging import stage
 from lodeglass.streaming.entries import stream_entries
@@ -141,3 +143,45 @@ def test_stream(spark, tmp_path):
         query.stop()
     got = sorted((r.format, r.line) for r in spark.table("entries").collect())
     assert got == [("json", "[     ] odd"), ("json", "[ERROR] m"), ("plain", "plain")]
+
+
+def write_sparse(path, head, tail, size=1 << 40):
+    """A file of a terabyte that takes a few blocks of disk."""
+    with open(path, "wb") as file:
+        file.write(head)
+        file.seek(size - len(tail))
+        file.write(tail)
+
+
+def test_edges_of_files(spark, tmp_path):
+    """The lines that detection and tails need, whatever lies between them."""
+    import gzip
+    import random
+
+    rnd = random.Random(2)
+    kinds = ['{"a":1}', "I0303 11:14:07.3 1 a.go:1] x", "", "  ", "\u2003", "text", "a=1 b=2 c=3", "x" * 70_000]
+    for k in range(25):
+        lines = [rnd.choice(kinds[: 3 + k % 6]) for _ in range(rnd.randrange(0, 60))]
+        (tmp_path / f"{k}.log").write_text("\n".join(lines) + rnd.choice(["", "\n"]), newline="")
+    (tmp_path / "silent.log").write_text("\n" * 200_000 + '{"late":1}\n')
+    with gzip.open(tmp_path / "packed.log.gz", "wt") as file:
+        file.write('{"a":1}\n' * 5000)
+    lines = read_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, detect_files(spark, str(tmp_path)).collect())) == sorted(
+        tuple(r) for r in detect_format(lines).collect()
+    )
+    for n in (1, 3, 40, 5000):
+        want = sorted((r.source_id, r.value) for r in tail(lines, n).collect())
+        got = last_lines(spark, str(tmp_path), n).collect()
+        assert sorted((r.source_id, r.value) for r in got) == want
+        by_source = {}
+        for r in got:
+            by_source.setdefault(r.source_id, []).append(r.line_no)
+        assert all(len(set(at)) == len(at) for at in by_source.values())
+
+
+def test_edges_do_not_depend_on_length(spark, tmp_path):
+    write_sparse(tmp_path / "long.log", b'{"level":"info"}\n' * 30, b"\n" + b'{"level":"error"}\n' * 3)
+    assert [r.format for r in detect_files(spark, str(tmp_path)).collect()] == ["json"]
+    found = last_lines(spark, str(tmp_path), 3).orderBy("line_no").collect()
+    assert [r.value for r in found] == ['{"level":"error"}'] * 3 and found[0].line_no > 1 << 39
