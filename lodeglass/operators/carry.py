@@ -40,13 +40,23 @@ def _seen(started: Column, progress: Column) -> dict[str, Column]:
     return {STAGE: started, PROGRESS: F.coalesce(progress, F.when(started == conversion.RESTART_STAGE, ""))}
 
 
+def _started(line: Column) -> Column:
+    """The stage that a conversion line starts, else NULL."""
+    # The tool's messages hold a keyword if their lines do; only those few lines are classed.
+    keyword = conversion.stage_of(line)
+    return F.when(keyword.isNotNull() & conversion.tokens(line).isin(*conversion.TOOL_CLASSES), keyword)
+
+
+def line_marks(line: Column) -> dict[str, Column]:
+    """Stage and progress that a conversion line sets, NULL where it sets none."""
+    return _seen(_started(line), conversion.progress(line))
+
+
 def _of_lines(lines: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """Conversion lines with what they set, found once per line, and the events from it."""
     line = F.col("value")
-    # The tool's messages hold a keyword if their lines do; only those few lines are classed.
-    keyword = conversion.stage_of(line)
-    started = F.when(keyword.isNotNull() & conversion.tokens(line).isin(*conversion.TOOL_CLASSES), keyword)
-    found = lines.select("*", F.inline(F.array(F.struct(started.alias(_STARTED), conversion.progress(line).alias(_SEEN)))))
+    set_here = F.struct(_started(line).alias(_STARTED), conversion.progress(line).alias(_SEEN))
+    found = lines.select("*", F.inline(F.array(set_here)))
     return found, _seen(F.col(_STARTED), F.col(_SEEN))
 
 

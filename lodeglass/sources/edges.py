@@ -41,14 +41,18 @@ def _forward(path: str) -> Iterator[tuple[int, bytes]]:
     """Lines from the start with their byte offsets, read as they are asked for; compressed files are unpacked."""
     store, name = _opened(path)
     with store.open_input_stream(name) as stream:
-        at, rest = 0, b""
+        at, rest = 0, []
         while piece := stream.read(PIECE):
-            *whole, rest = (rest + piece).split(b"\n")
+            rest.append(piece)
+            if b"\n" not in piece:
+                continue
+            *whole, last = b"".join(rest).split(b"\n")
+            rest = [last]
             for line in whole:
                 yield at, line
                 at += len(line) + 1
-        if rest:
-            yield at, rest
+        if last := b"".join(rest):
+            yield at, last
 
 
 def _last(path: str, n: int) -> list[tuple[int, bytes]]:

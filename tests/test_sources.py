@@ -1,6 +1,7 @@
 """Reading snapshots and text files, staging, writing results, and the stream form of parsing."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lodeglass.sources import sinks, snapshots
 from lodeglass.sources.edges import last_lines
 from lodeglass.sources.lines import container_logs, read_lines
 from lodeglass.sources.staging import stage
-from lodeglass.streaming.entries import stream_entries
+from lodeglass.streaming.entries import stream_entries, stream_logs
 
 POD = {"kind": "Pod", "metadata": {"name": "a", "namespace": "n"}, "spec": {"containers": [{"name": "c"}]}}
 
@@ -185,3 +186,47 @@ def test_edges_do_not_depend_on_length(spark, tmp_path):
     assert [r.format for r in detect_files(spark, str(tmp_path)).collect()] == ["json"]
     found = last_lines(spark, str(tmp_path), 3).orderBy("line_no").collect()
     assert [r.value for r in found] == ['{"level":"error"}'] * 3 and found[0].line_no > 1 << 39
+
+
+@pytest.mark.parametrize("order", ["sorted", "shuffled"])
+def test_stream_with_state_equals_batch(spark, tmp_path, order):
+    """Votes, stages and progress of a stream, lines in order or not, are those of the batch job on the same lines."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(order)
+    conversion = ["Building command: virt-v2v", "[   3.5] Opening the source", "virt-v2v monitoring: Progress update, completed 7 %",
+                  "odd", "[  21.9] Copying disk 2/5", "[   1.1] Setting up the source: -i ova", "nbdkit: debug: x"]
+    kinds = {
+        "pod": lambda k: conversion[k % 7], "json": lambda k: f'{{"msg":"m{k}","level":"warn"}}', "text": lambda k: f"free {k}",
+        "late": lambda k: "" if k < 25 else '{"a":1}', "mixed": lambda k: rnd.choice(['{"a":1}', "I0303 x", "", "text"]),
+    }
+    lengths = {"pod": 60, "json": 40, "text": 30, "late": 40, "mixed": 50, "short": 3}
+    kinds["short"] = kinds["json"]
+    rows = [(s, k, kinds[s](k), 1_770_000_000 + 10 * k) for s, n in lengths.items() for k in range(n)]
+    batch = parse_logs(spark.createDataFrame([r[:3] for r in rows], "source_id string, line_no long, value string"))
+    # arrival: by time, disturbed by less than the watermark's delay
+    rows.sort(key=lambda r: (r[3] + (rnd.uniform(0, 55) if order == "shuffled" else 0), r[0], r[1]))
+    rows.append(("end", 0, "x", 1_770_100_000))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(0, len(rows), 40):
+        frame = pd.DataFrame(rows[k : k + 40], columns=["source_id", "line_no", "value", "at"])
+        frame["at"] = pd.to_datetime(frame["at"], unit="s", utc=True).astype("datetime64[us, UTC]")
+        frame.to_parquet(folder / f"{k:05d}.parquet")
+        os.utime(folder / f"{k:05d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = "source_id string, line_no long, value string, at timestamp"
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = (
+        stream_logs(lines, idle_seconds=3000).writeStream.format("memory").queryName(f"logs_{order}")
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    columns = ["source_id", "line_no", "format", "level", "message", "parsed", "fields"]
+    shown = lambda df: sorted((*map(repr, r[:-1]), sorted((r[-1] or {}).items())) for r in df.select(columns).collect())
+    got = shown(spark.table(f"logs_{order}").where("source_id != 'end'"))
+    assert got == shown(batch)
