@@ -14,8 +14,9 @@ LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
 # How containers start, and numbers whose text here is not their JSON text.
 _TYPED = r"(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
-# Where a line has a string that looks like one, or might, once its escape is read.
-_HAS_LOOKALIKE = rf':[ \t\r\n]*"(?:{_TYPED}|[-\d.]*\\u)'
+# Strings that look like one, or might, once their escape is read; and where a line has such a member.
+_LOOKALIKE = rf'"(?:{_TYPED}|[-\d.]*\\u)'
+_HAS_LOOKALIKE = rf":[ \t\r\n]*{_LOOKALIKE}"
 
 # Strict JSON: no single quotes, no NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -58,7 +59,10 @@ def tokens(line: Column) -> Column:
     def with_known(token: Column) -> Column:
         zap, logrus = (F.array(*map(F.lit, keys)) for keys in (ZAP_KEYS, LOGRUS_KEYS))
         keys = F.when(_is_logrus(token["members"]), logrus).otherwise(zap)
-        shown = F.transform(keys, lambda k: F.coalesce(_shown(token, k, token["members"][k], F.lit(True)), F.lit("")))
+        slowly = F.transform(keys, lambda k: F.coalesce(_shown(token, k, token["members"][k], F.lit(True)), F.lit("")))
+        # texts need no second look, and most lines have nothing else under these keys
+        as_read = F.transform(keys, lambda k: F.coalesce(token["members"][k], F.lit("")))
+        shown = text.let(as_read, lambda found: F.when(F.exists(found, lambda v: v.rlike(f"^{_TYPED}")), slowly).otherwise(found))
         return F.when(token.isNotNull(), F.struct(token["members"].alias("members"), token["variants"].alias("variants"), shown.alias("known")))
 
     return text.let(body, read)
@@ -92,11 +96,20 @@ def _is_known(key: Column, logrus: Column) -> Column:
 
 
 def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column:
-    """Text of a member that is not null; a container that cannot be read on its own keeps its JSON text."""
+    """Text of a member that is not null. VARIANT holds no object that repeats a key: such a container is read by its tokens."""
 
     def exact(json: Column) -> Column:
         typed = F.when(token["variants"].isNotNull(), token["variants"][key]).otherwise(F.try_parse_json(json))
-        return text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)))
+        repeating = F.when(json.rlike(r"^[\[{]"), values.folded_text(json, printed))
+        deep = text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)).otherwise(repeating))
+        # most are numbers, or containers of plain values: those need no types
+        number = token["variants"].isNull() & json.rlike(r"^-?\d")
+        shallow = (values.brackets(json) == 1) & ~json.rlike(_LOOKALIKE)
+        return (
+            F.when(number, values.float_text(json.try_cast("double")))
+            .when(token["variants"].isNull() & shallow, values.shallow_text(json, printed, _TYPED, _STRICT))
+            .otherwise(deep)
+        )
 
     return text.let(value, lambda v: F.coalesce(F.when(v.rlike(f"^{_TYPED}"), exact(v)), v))
 

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeglass.functions.text import let
+from lodeglass.functions.text import last_wins_map, let
 
 
 class Marks(NamedTuple):
@@ -96,9 +96,45 @@ def value_text(json: Column, value: Column, printed: Column) -> Column:
     return let(printed, write)
 
 
+def brackets(json: Column) -> Column:
+    """How many opening brackets there are, in strings too."""
+    return F.length(json) - F.length(F.translate(json, "{[", ""))
+
+
+def shallow_text(json: Column, printed: Column, typed: str, options: dict[str, str]) -> Column:
+    """:func:`value_text` of a container of plain values, none of them a string that looks like another kind of value.
+
+    ``typed`` is a pattern of the beginning of numbers whose text here is not their JSON text.
+    """
+
+    def mark(name: str) -> Column:
+        flat, shown = getattr(FLAT, name), getattr(PRINTED, name)
+        return F.lit(flat) if flat == shown else F.when(printed, shown).otherwise(flat)
+
+    def scalar(v: Column) -> Column:
+        return F.when(v.isNull(), "<nil>").when(v.rlike(f"^{typed}"), float_text(v.try_cast("double"))).otherwise(v)
+
+    def of_object(entries: Column) -> Column:
+        def joined(m: Column) -> Column:
+            pairs = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, mark("key_end"), scalar(m[k])))
+            return F.concat(mark("object_open"), F.array_join(pairs, " "), mark("object_close"))
+
+        return let(last_wins_map(entries), joined)
+
+    def of_array(items: Column) -> Column:
+        shown = F.transform(items, scalar)
+        within = F.when(printed, F.array_join(shown, PRINTED.array_sep)).otherwise(F.array_join(shown, FLAT.array_sep))
+        return F.concat(mark("array_open"), within, mark("array_close"))
+
+    members = F.map_entries(F.from_json(json, "map<string,string>", options))
+    return F.when(json.startswith("{"), let(members, of_object)).otherwise(
+        let(F.from_json(json, "array<string>", options), of_array)
+    )
+
+
 def depth(json: Column) -> Column:
     """How deep brackets outside strings are nested; where there is one opening bracket, it may be in a string."""
-    opening = F.length(json) - F.length(F.translate(json, "{[", ""))
+    opening = brackets(json)
     return F.when(opening < 2, opening).otherwise(_folded_depth(json))
 
 
@@ -114,6 +150,86 @@ def _folded_depth(json: Column) -> Column:
     return F.aggregate(brackets, start, step, lambda so_far: so_far["most"])
 
 
+#: Pieces of JSON: a key with its colon, a string, a bracket, a number or word.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?|[\[\]{}]|[^\s,:"\[\]{}]++'
+
+
+def folded_text(json: Column, printed: Column) -> Column:
+    """:func:`value_text` of a container from its JSON text alone; of a key that an object repeats the last value counts.
+
+    A fold over the text's tokens with a stack of open containers, for values that VARIANT refuses to hold.
+    """
+    member = "struct<key:string,value:string>"
+    frame = f"struct<key:string,object:boolean,members:array<{member}>>"
+
+    def opened(key: Column, is_object: Column) -> Column:
+        return F.struct(key.alias("key"), is_object.alias("object"), F.array().cast(f"array<{member}>").alias("members"))
+
+    def mark(name: str) -> Column:
+        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
+
+    def shown(of: Column) -> Column:
+        def pairs(found: Column) -> Column:
+            named = F.transform(F.array_sort(F.map_keys(found)), lambda k: F.concat(k, mark("key_end"), found[k]))
+            return F.concat(mark("object_open"), F.array_join(named, " "), mark("object_close"))
+
+        items = F.transform(of["members"], lambda m: m["value"])
+        # styles differ in what parts the elements of an array; members of an object are parted by a blank in both
+        joined = F.when(printed, F.array_join(items, PRINTED.array_sep)).otherwise(F.array_join(items, FLAT.array_sep))
+        whole = F.concat(mark("array_open"), joined, mark("array_close"))
+        return F.when(of["object"], let(last_wins_map(of["members"]), pairs)).otherwise(whole)
+
+    def unquoted(token: Column) -> Column:
+        return F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+
+    def scalar(token: Column) -> Column:
+        number = float_text(token.try_cast("double"))
+        return (
+            F.when(token.startswith('"'), unquoted(token)).when(token == "null", "<nil>")
+            .when(token.isin("true", "false"), token).otherwise(F.coalesce(number, token))
+        )
+
+    def put(stack: Column, key: Column, value: Column) -> Column:
+        def onto(top: Column) -> Column:
+            members = F.concat(top["members"], F.array(F.struct(key.alias("key"), value.alias("value"))))
+            return F.array(F.struct(top["key"].alias("key"), top["object"].alias("object"), members.alias("members")))
+
+        below = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.concat(below, let(F.element_at(stack, -1), onto))
+
+    def state(stack: Column, key: Column, done: Column) -> Column:
+        return F.struct(stack.alias("stack"), key.alias("key"), done.alias("done"))
+
+    none = F.lit(None).cast("string")
+
+    def close(now: Column) -> Column:
+        left = F.slice(now["stack"], F.lit(1), F.greatest(F.size(now["stack"]) - 1, F.lit(0)))
+
+        def popped(top: Column) -> Column:
+            return let(
+                shown(top),
+                lambda text: F.when(F.size(left) == 0, state(left, none, text)).otherwise(
+                    state(put(left, top["key"], text), none, now["done"])
+                ),
+            )
+
+        return let(F.element_at(now["stack"], -1), popped)
+
+    def step(now: Column, token: Column) -> Column:
+        key = unquoted(F.regexp_replace(token, r"[ \t\r\n]*:$", ""))
+        deeper = F.concat(now["stack"], F.array(opened(now["key"], token == "{")))
+        return (
+            F.when(token.rlike(r'^"(?s:.*)":?[ \t\r\n]*:$'), state(now["stack"], key, now["done"]))
+            .when(token.isin("{", "["), state(deeper, none, now["done"]))
+            .when(F.size(now["stack"]) == 0, now)
+            .when(token.isin("}", "]"), close(now))
+            .otherwise(state(put(now["stack"], now["key"], scalar(token)), none, now["done"]))
+        )
+
+    start = state(F.array().cast(f"array<{frame}>"), none, none)
+    return F.aggregate(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0)), start, step, lambda now: now["done"])
+
+
 def _closed(one: Column) -> Column:
     number = float_text(F.try_variant_get(one["item"], "$", "double"))
     return F.when(one["item"].isNull(), one["text"]).otherwise(F.concat(one["text"], number))

@@ -56,6 +56,14 @@ def nested_line() -> Column:
     )
 
 
+def repeated_line() -> Column:
+    """Objects that repeat a key at several depths."""
+    return _text(
+        '{"z":{"k":', "$user_id", ',"b":{"x":1,"x":{"y":0,"y":"', "$event_type", '"}},"k":', "$user_id", '.5},"list":[{"a":1,"a":"',
+        "$event_type", '"},', "$user_id", '],"msg":{"m":null,"m":"', "$event_type", '"}}',
+    )
+
+
 def klog_line() -> Column:
     letter = F.when(F.col("event_type") == "error", "E").when(F.col("event_type") == "purchase", "W").otherwise("I")
     return _text(

@@ -157,6 +157,16 @@ def log_flatten(t: Tables):
     )
 
 
+@query(
+    """SELECT event_id AS line_no, 'b=x=y=' || event_type || ' k=' || user_id || '.5' AS z, 'a=' || event_type || ',' || user_id AS list,
+              'map[m:' || event_type || ']' AS message FROM events"""
+)
+def log_flatten_repeated(t: Tables):
+    """Of a key that a nested object repeats the last value counts."""
+    entries = parse_as(_lines(t, I.repeated_line()), "json")
+    return entries.select("line_no", _field("z").alias("z"), _field("list").alias("list"), "message")
+
+
 _LETTER = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END"
 
 

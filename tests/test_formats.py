@@ -73,13 +73,40 @@ def test_json_zap(spark):
         UNPARSED,
         UNPARSED,
         (True, "", "", "", "", "last", {"a": "2"}),
-        (True, "", "", "", "", "twice", {"o": '{"k":1,"k":2}'}),
+        (True, "", "", "", "", "twice", {"o": "k=2"}),
         (True, "", "", "", "", "blanks", None),
         (True, "", "", "", "", "", None),
         (True, "", "", "", "", "", {"deep": "a=b=c=d=1,2,e=1e-05"}),
     ]
 
 
+def test_json_with_repeated_nested_keys(spark):
+    """Values of every shape that repeat keys at any depth print as if only the last of each were there."""
+    import json
+    import random
+
+    rnd = random.Random(7)
+
+    def value(depth):
+        kind = rnd.randrange(7 if depth else 4)
+        if kind > 3 and kind != 5:
+            return "{" + ", ".join(f'"{rnd.choice("ab:")}" : {value(depth - 1)}' for _ in range(rnd.randrange(4))) + "}"
+        if kind == 5:
+            return "[" + ",".join(value(depth - 1) for _ in range(rnd.randrange(4))) + "]"
+        return [json.dumps(rnd.choice(["", "x y", 'q"\\', "[1]", "a: {", "é"])), "null", "true", str(rnd.randrange(99) * 0.5)][kind]
+
+    def flat(v):
+        if isinstance(v, dict):
+            return " ".join(f"{k}={flat(v[k])}" for k in sorted(v))
+        if isinstance(v, list):
+            return ",".join(map(flat, v))
+        return "<nil>" if v is None else str(v).lower() if isinstance(v, bool) else f"{v:g}" if isinstance(v, float) else v
+
+    texts = ['{"a":{"a":1,"a":%s}}' % value(4) for _ in range(60)]
+    rows = parsed(spark, "json", *texts)
+    assert [r.fields["a"] for r in rows] == [flat(json.loads(t)["a"]) for t in texts]
+
+
 def test_json_logrus(spark):
     rows = parsed(
         spark,
