@@ -14,9 +14,8 @@ LOGRUS_KEYS = ("level", "timestamp", "msg", "component", "pos", "time")
 
 # How containers start, and numbers whose text here is not their JSON text.
 _TYPED = r"(?:[\[{]|-?(?:\d{7}|\d+[.eE]))"
-# Strings that look like one, or might, once their escape is read; and where a line has such a member.
-_LOOKALIKE = rf'"(?:{_TYPED}|[-\d.]*\\u)'
-_HAS_LOOKALIKE = rf":[ \t\r\n]*{_LOOKALIKE}"
+# Where a line has a string that looks like one, or might, once its escape is read.
+_HAS_LOOKALIKE = rf':[ \t\r\n]*"(?:{_TYPED}|[-\d.]*\\u)'
 
 # Strict JSON: no single quotes, no NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -104,10 +103,10 @@ def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column
         deep = text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)).otherwise(repeating))
         # most are numbers, or containers of plain values: those need no types
         number = token["variants"].isNull() & json.rlike(r"^-?\d")
-        shallow = (values.brackets(json) == 1) & ~json.rlike(_LOOKALIKE)
+        shallow = json.rlike(r"^[\[{]") & (values.brackets(json) == 1) & ~json.contains("\\")
         return (
             F.when(number, values.float_text(json.try_cast("double")))
-            .when(token["variants"].isNull() & shallow, values.shallow_text(json, printed, _TYPED, _STRICT))
+            .when(token["variants"].isNull() & shallow, values.shallow_text(json, printed, _TYPED))
             .otherwise(deep)
         )
 

@@ -101,8 +101,13 @@ def brackets(json: Column) -> Column:
     return F.length(json) - F.length(F.translate(json, "{[", ""))
 
 
-def shallow_text(json: Column, printed: Column, typed: str, options: dict[str, str]) -> Column:
-    """:func:`value_text` of a container of plain values, none of them a string that looks like another kind of value.
+# A member of an object and an element of an array, without escapes.
+_MEMBER = r'"([^"\\]*+)"\s*+:\s*+("[^"\\]*+"|[^\s,}]++)'
+_ELEMENT = r'"[^"\\]*+"|[^\s,\[\]]++'
+
+
+def shallow_text(json: Column, printed: Column, typed: str) -> Column:
+    """:func:`value_text` of a container of plain values whose text has no escapes.
 
     ``typed`` is a pattern of the beginning of numbers whose text here is not their JSON text.
     """
@@ -112,24 +117,21 @@ def shallow_text(json: Column, printed: Column, typed: str, options: dict[str, s
         return F.lit(flat) if flat == shown else F.when(printed, shown).otherwise(flat)
 
     def scalar(v: Column) -> Column:
-        return F.when(v.isNull(), "<nil>").when(v.rlike(f"^{typed}"), float_text(v.try_cast("double"))).otherwise(v)
-
-    def of_object(entries: Column) -> Column:
-        def joined(m: Column) -> Column:
-            pairs = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, mark("key_end"), scalar(m[k])))
-            return F.concat(mark("object_open"), F.array_join(pairs, " "), mark("object_close"))
-
-        return let(last_wins_map(entries), joined)
+        return (
+            F.when(v.startswith('"'), v.substr(F.lit(2), F.length(v) - 2)).when(v == "null", "<nil>")
+            .when(v.rlike(f"^{typed}"), float_text(v.try_cast("double"))).otherwise(v)
+        )
 
-    def of_array(items: Column) -> Column:
-        shown = F.transform(items, scalar)
-        within = F.when(printed, F.array_join(shown, PRINTED.array_sep)).otherwise(F.array_join(shown, FLAT.array_sep))
-        return F.concat(mark("array_open"), within, mark("array_close"))
+    def joined(m: Column) -> Column:
+        pairs = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, mark("key_end"), scalar(m[k])))
+        return F.concat(mark("object_open"), F.array_join(pairs, " "), mark("object_close"))
 
-    members = F.map_entries(F.from_json(json, "map<string,string>", options))
-    return F.when(json.startswith("{"), let(members, of_object)).otherwise(
-        let(F.from_json(json, "array<string>", options), of_array)
-    )
+    found = [F.regexp_extract_all(json, F.lit(_MEMBER), F.lit(k)) for k in (1, 2)]
+    entries = F.zip_with(*found, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    items = F.transform(F.regexp_extract_all(json, F.lit(_ELEMENT), F.lit(0)), scalar)
+    within = F.when(printed, F.array_join(items, PRINTED.array_sep)).otherwise(F.array_join(items, FLAT.array_sep))
+    whole = F.concat(mark("array_open"), within, mark("array_close"))
+    return F.when(json.startswith("{"), let(let(entries, last_wins_map), joined)).otherwise(whole)
 
 
 def depth(json: Column) -> Column:
@@ -180,7 +182,7 @@ def folded_text(json: Column, printed: Column) -> Column:
         return F.when(of["object"], let(last_wins_map(of["members"]), pairs)).otherwise(whole)
 
     def unquoted(token: Column) -> Column:
-        return F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+        return F.try_variant_get(F.try_parse_json(token), "$", "string")
 
     def scalar(token: Column) -> Column:
         number = float_text(token.try_cast("double"))

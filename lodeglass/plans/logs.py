@@ -13,9 +13,10 @@ from lodeglass.operators.entries import event_time, parse_as, parse_logs
 from lodeglass.operators.logs import newest_order, recent, tail
 from lodeglass.operators.years import with_years
 from lodeglass.plans import inputs as I
-from lodeglass.plans.registry import Tables, query
+from lodeglass.plans.registry import QUERIES, Tables, query
+from lodeglass.sources import landed
 from lodeglass.sources.lines import split_text
-from lodeglass.sources.staging import stage
+from lodeglass.sources.staging import new_folder, stage
 
 _CLOCK = "strftime(ts, '%H:%M:%S')"
 _SAID = "'user ' || user_id || ' did ' || event_type"
@@ -72,7 +73,7 @@ _DATED = "CASE WHEN event_type IN ('error', 'click') THEN ts END"
 def log_since(t: Tables):
     """Dated JSON lines among klog and text lines, which have no date."""
     lines = _lines(t, I.mixed_line())
-    as_of = F.lit("2024-01-30T12:00:00Z").cast("timestamp")
+    as_of = F.lit(_AS_OF).cast("timestamp")
     return recent(lines, event_time(F.col("value")), "36h", as_of, block_rows=1000).select("source_id", "line_no")
 
 
@@ -87,6 +88,28 @@ def log_newest_first(t: Tables):
     return parse_as(_lines(t, I.zap_line()), "json").select("source_id", "line_no", "level", place.alias("place"))
 
 
+_AS_OF = "2024-01-30T12:00:00Z"
+
+
+def _landed(t: Tables, line: Column, part_rows: int) -> str:
+    path = new_folder(t.spark)
+    landed.land(_lines(t, line), path, part_rows)
+    return path
+
+
+@query(QUERIES["log_since"].sql)
+def log_since_landed(t: Tables):
+    """The same from landed lines, of which only parts are read that can hold young ones."""
+    as_of = F.lit(_AS_OF).cast("timestamp")
+    return landed.recent(t.spark, _landed(t, I.mixed_line(), 1000), "36h", as_of).select("source_id", "line_no")
+
+
+@query("SELECT user_id AS source_id, event_id AS line_no FROM events WHERE user_id % 6 = 4 AND event_type = 'signup'")
+def log_search(t: Tables):
+    """Words in landed lines, of which only parts are read that have them all."""
+    return landed.search(t.spark, _landed(t, I.source_line(), 1000), ["libvirt", "SOURCE"]).select("source_id", "line_no")
+
+
 # ---- detection
 
 

@@ -14,10 +14,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
+def new_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """A folder that nothing has been written to."""
+    return f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a written table in ``folder``; :func:`release` deletes it."""
     spark = df.sparkSession
-    path = f"{(folder or shared_folder(spark)).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

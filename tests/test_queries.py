@@ -92,6 +92,14 @@ def test_each_line_is_parsed_once_and_not_shuffled(tables):
     assert "Exchange hashpartitioning" not in plan_of(errors)
 
 
+@pytest.mark.parametrize("name", ["log_entries_mixed", "log_compact", "log_stage", "log_stage_blocks", "log_progress"])
+def test_lines_are_scanned_once(tables, name):
+    """Formats and marks are written before; then one scan serves all formats, and only blocks exchange lines."""
+    plan = plan_of(QUERIES[name].build(tables))
+    assert plan.count("events.parquet]") == 1
+    assert ("Exchange hashpartitioning(source_id" in plan) == (name == "log_stage_blocks")
+
+
 @pytest.mark.parametrize("name", ["log_detect", "log_tail"])
 def test_lines_are_not_sorted_before_they_are_picked(tables, name):
     """Blocks are counted by hashing; only lines of the blocks that are wanted are exchanged and sorted."""
