@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, a folder of the warehouse, which executors share as well."""
+    """This application's folder below ``spark.checkpoint.dir``; where that is unset, below the warehouse.
+
+    On a cluster one of them has to name a store that executors share: a warehouse on the driver's own disk is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        own_disk = folder.startswith(("file:", "/")) or "://" not in folder
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{folder.rstrip('/')}/lodeglass-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, folder: str | None = None) -> str:
@@ -30,8 +38,18 @@ def stage(df: DataFrame, folder: str | None = None) -> DataFrame:
 def release(staged: DataFrame) -> None:
     """Delete what :func:`stage` wrote; nothing may read it any more."""
     spark = staged.sparkSession
-    for file in staged.inputFiles():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if not folder.getName().startswith("stage-"):
+    folders = {str(spark._jvm.org.apache.hadoop.fs.Path(file).getParent()) for file in staged.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[-1].startswith("stage-"):
             raise ValueError(f"{folder} was not staged")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, folder)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that this application has staged; nothing may read it any more."""
+    _delete(spark, shared_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

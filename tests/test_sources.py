@@ -2,6 +2,7 @@
 
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from lodeglass.operators.compact import compact_line
 from lodeglass.operators.detect import detect_files, detect_format
 from lodeglass.operators.entries import parse_logs
 from lodeglass.operators.logs import tail
-from lodeglass.sources import sinks, snapshots
+from lodeglass.sources import sinks, snapshots, staging
 from lodeglass.sources.edges import last_lines
 from lodeglass.sources.lines import container_logs, read_lines
 from lodeglass.sources.staging import stage
@@ -230,3 +231,26 @@ def test_stream_with_state_equals_batch(spark, tmp_path, order):
     shown = lambda df: sorted((*map(repr, r[:-1]), sorted((r[-1] or {}).items())) for r in df.select(columns).collect())
     got = shown(spark.table(f"logs_{order}").where("source_id != 'end'"))
     assert got == shown(batch)
+
+
+def test_staged_tables_are_deleted_together(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "shared_folder", lambda _: str(tmp_path / "app"))
+    first, second = stage(spark.range(3)), stage(spark.range(4))
+    staging.release(first)
+    assert second.count() == 4 and len(list((tmp_path / "app").iterdir())) == 1
+    staging.release_all(spark)
+    assert not (tmp_path / "app").exists()
+
+
+@pytest.mark.parametrize("master, warehouse, fine", [("spark://far:7077", "file:/tmp/x", False), ("yarn", "s3a://b/x", True), ("local[2]", "file:/x", True)])
+def test_own_disks_of_a_cluster_are_refused(master, warehouse, fine):
+    settings = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": warehouse}
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default=None: settings[name] or default),
+        sparkContext=SimpleNamespace(master=master, applicationId="app"),
+    )
+    if fine:
+        assert staging.shared_folder(session) == f"{warehouse}/lodeglass-app"
+    else:
+        with pytest.raises(ValueError):
+            staging.shared_folder(session)
