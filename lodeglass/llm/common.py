@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeglass.sources import staging
+
 #: White space between words: space, and tab to carriage return.
 BREAKS = " \t\n\x0b\x0c\r"
 
@@ -68,13 +69,10 @@ def carried(df: DataFrame, *names: str) -> tuple[list[Column], list[Column]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, below the warehouse, which is shared too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder for what is written for other tasks; ``release_all`` of :mod:`lodeglass.sources.staging` deletes them all."""
+    return staging.new_folder(spark)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder: computed once, and safe from lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staging.stage(df)
