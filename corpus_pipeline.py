@@ -14,6 +14,7 @@ from lodeglass.llm.op6_decontamination import decontaminate
 from lodeglass.llm.op8_jaccard import keep_one
 from lodeglass.llm.op9_packing import pack_documents
 from lodeglass.llm.op10_quality import judge_quality
+from lodeglass.sources.staging import release
 
 
 def _free(docs: DataFrame) -> str:
@@ -81,7 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    """The rows of the last stage; each stage's table is deleted once the next one is written."""
+    docs, written = table(spark, folder, "documents"), None
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, folder))
+        if written:
+            release(written)
+        written = docs
     return STAGES[-1][1](spark, docs, folder)
