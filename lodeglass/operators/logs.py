@@ -54,16 +54,21 @@ def tail(lines: DataFrame, n: int, block_rows: int = PICK_ROWS) -> DataFrame:
 
 
 def recent(
-    lines: DataFrame, event_time: Column, duration: str, as_of: Column | dt.datetime, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    lines: DataFrame, event_time: Column, duration: str, as_of: Column | dt.datetime, block_rows: int = BLOCK_ROWS,
+    modified: str | None = None,
+) -> DataFrame:
     """Lines not older than ``duration`` at ``as_of``.
 
     A line without a time has that of the last line before it that has one, and at the start of a source that of the
-    first one after it. A source without any time stays whole.
+    first one after it. A source without any time stays whole, unless ``modified`` names a column that says when it was last
+    written: none of its lines is younger than that.
     """
     timed = carry_last(lines, {"_time": event_time}, block_rows=block_rows, first={"_first": "_time"})
     young = since(F.coalesce("_time", "_first"), duration, as_of)
-    return timed.where(young | F.col("_first").isNull()).select(*lines.columns)
+    undated = F.col("_first").isNull()
+    if modified:
+        undated = undated & (F.col(modified).isNull() | since(F.col(modified), duration, as_of))
+    return timed.where(young | undated).select(*lines.columns)
 
 
 def newest_order() -> list[Column]:

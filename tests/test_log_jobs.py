@@ -247,6 +247,18 @@ def test_event_time(spark):
     assert got == cases
 
 
+def test_recent_of_sources_without_dates(spark):
+    """Where lines have no time, that of the last writing bounds them."""
+    import datetime as dt
+
+    as_of = dt.datetime(2026, 3, 3, 12, 0, 0, tzinfo=dt.timezone.utc)
+    rows = {"old": ["a", "b"], "young": ["c"], "unknown": ["d"], "dated": ["2026-03-03T11:13:16Z new"]}
+    written = F.expr("case source_id when 'young' then timestamp '2026-03-03 11:30:00Z' when 'unknown' then null else timestamp '2026-03-01 00:00:00Z' end")
+    lines = lines_of(spark, rows).withColumn("written", written)
+    got = logs.recent(lines, event_time(F.col("value")), "1h", as_of, modified="written")
+    assert sorted(r.source_id for r in got.collect()) == ["dated", "unknown", "young"]
+
+
 def test_event_ts_is_the_stamp_of_the_format(spark):
     zap = [f'{{"level":"info","msg":"until 2030-01-0{k}T00:00:00Z","ts":{1709550000 + k}}}' for k in (1, 2)] + ["2031-01-01T00:00:00Z tail"]
     pod = RUN.split("\n") + ["nbdkit: debug: 2026-03-03T01:02:03.5Z now, not 2030-01-01T00:00:00.0Z", "2026/03/03 00:38:19 http: 2030-01-01T00:00:00Z"]
