@@ -101,14 +101,9 @@ def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column
         typed = F.when(token["variants"].isNotNull(), token["variants"][key]).otherwise(F.try_parse_json(json))
         repeating = F.when(json.rlike(r"^[\[{]"), values.folded_text(json, printed))
         deep = text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)).otherwise(repeating))
-        # most are numbers, or containers of plain values: those need no types
+        # numbers need no types where no string looks like one
         number = token["variants"].isNull() & json.rlike(r"^-?\d")
-        shallow = json.rlike(r"^[\[{]") & (values.brackets(json) == 1) & ~json.contains("\\")
-        return (
-            F.when(number, values.float_text(json.try_cast("double")))
-            .when(token["variants"].isNull() & shallow, values.shallow_text(json, printed, _TYPED))
-            .otherwise(deep)
-        )
+        return F.when(number, values.float_text(json.try_cast("double"))).otherwise(deep)
 
     return text.let(value, lambda v: F.coalesce(F.when(v.rlike(f"^{_TYPED}"), exact(v)), v))
 

@@ -101,39 +101,6 @@ def brackets(json: Column) -> Column:
     return F.length(json) - F.length(F.translate(json, "{[", ""))
 
 
-# A member of an object and an element of an array, without escapes.
-_MEMBER = r'"([^"\\]*+)"\s*+:\s*+("[^"\\]*+"|[^\s,}]++)'
-_ELEMENT = r'"[^"\\]*+"|[^\s,\[\]]++'
-
-
-def shallow_text(json: Column, printed: Column, typed: str) -> Column:
-    """:func:`value_text` of a container of plain values whose text has no escapes.
-
-    ``typed`` is a pattern of the beginning of numbers whose text here is not their JSON text.
-    """
-
-    def mark(name: str) -> Column:
-        flat, shown = getattr(FLAT, name), getattr(PRINTED, name)
-        return F.lit(flat) if flat == shown else F.when(printed, shown).otherwise(flat)
-
-    def scalar(v: Column) -> Column:
-        return (
-            F.when(v.startswith('"'), v.substr(F.lit(2), F.length(v) - 2)).when(v == "null", "<nil>")
-            .when(v.rlike(f"^{typed}"), float_text(v.try_cast("double"))).otherwise(v)
-        )
-
-    def joined(m: Column) -> Column:
-        pairs = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, mark("key_end"), scalar(m[k])))
-        return F.concat(mark("object_open"), F.array_join(pairs, " "), mark("object_close"))
-
-    found = [F.regexp_extract_all(json, F.lit(_MEMBER), F.lit(k)) for k in (1, 2)]
-    entries = F.zip_with(*found, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    items = F.transform(F.regexp_extract_all(json, F.lit(_ELEMENT), F.lit(0)), scalar)
-    within = F.when(printed, F.array_join(items, PRINTED.array_sep)).otherwise(F.array_join(items, FLAT.array_sep))
-    whole = F.concat(mark("array_open"), within, mark("array_close"))
-    return F.when(json.startswith("{"), let(let(entries, last_wins_map), joined)).otherwise(whole)
-
-
 def depth(json: Column) -> Column:
     """How deep brackets outside strings are nested; where there is one opening bracket, it may be in a string."""
     opening = brackets(json)
