@@ -58,7 +58,7 @@ def tokens(line: Column) -> Column:
     def with_known(token: Column) -> Column:
         zap, logrus = (F.array(*map(F.lit, keys)) for keys in (ZAP_KEYS, LOGRUS_KEYS))
         keys = F.when(_is_logrus(token["members"]), logrus).otherwise(zap)
-        slowly = F.transform(keys, lambda k: F.coalesce(_shown(token, k, token["members"][k], F.lit(True)), F.lit("")))
+        slowly = F.transform(keys, lambda k: F.coalesce(_shown(token, k, token["members"][k], values.PRINTED), F.lit("")))
         # texts need no second look, and most lines have nothing else under these keys
         as_read = F.transform(keys, lambda k: F.coalesce(token["members"][k], F.lit("")))
         shown = text.let(as_read, lambda found: F.when(F.exists(found, lambda v: v.rlike(f"^{_TYPED}")), slowly).otherwise(found))
@@ -94,16 +94,15 @@ def _is_known(key: Column, logrus: Column) -> Column:
     return F.when(logrus, key.isin(*LOGRUS_KEYS)).otherwise(key.isin(*ZAP_KEYS))
 
 
-def _shown(token: Column, key: Column, value: Column, printed: Column) -> Column:
-    """Text of a member that is not null. VARIANT holds no object that repeats a key: such a container is read by its tokens."""
+def _shown(token: Column, key: Column, value: Column, style: values.Marks) -> Column:
+    """Text of a member that is not null."""
 
     def exact(json: Column) -> Column:
-        typed = F.when(token["variants"].isNotNull(), token["variants"][key]).otherwise(F.try_parse_json(json))
-        repeating = F.when(json.rlike(r"^[\[{]"), values.folded_text(json, printed))
-        deep = text.let(typed, lambda v: F.when(v.isNotNull(), values.value_text(json, v, printed)).otherwise(repeating))
-        # numbers need no types where no string looks like one
-        number = token["variants"].isNull() & json.rlike(r"^-?\d")
-        return F.when(number, values.float_text(json.try_cast("double"))).otherwise(deep)
+        is_text = token["variants"].isNotNull() & (F.schema_of_variant(token["variants"][key]) == "STRING")
+        return (
+            F.when(is_text, json).when(json.rlike(r"^[\[{]"), values.container_text(json, style))
+            .otherwise(values.number_text(json))
+        )
 
     return text.let(value, lambda v: F.coalesce(F.when(v.rlike(f"^{_TYPED}"), exact(v)), v))
 
@@ -137,7 +136,7 @@ def entry_columns(_line: Column, token: Column) -> dict[str, Column]:
 
     def others(is_logrus: Column) -> Column:
         own = F.map_filter(members, lambda k, _: ~_is_known(k, is_logrus))
-        return F.transform_values(own, lambda k, v: F.coalesce(_shown(token, k, v, F.lit(False)), F.lit("<nil>")))
+        return F.transform_values(own, lambda k, v: F.coalesce(_shown(token, k, v, values.FLAT), F.lit("<nil>")))
 
     stamp = F.when((stamp == "") & logrus, time).otherwise(stamp)
     return entry(

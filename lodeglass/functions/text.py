@@ -38,7 +38,7 @@ LEVELS = {
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def trim_space(text: Column) -> Column:

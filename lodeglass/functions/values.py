@@ -1,4 +1,4 @@
-"""Text forms of JSON values held as VARIANT.
+"""Text forms of JSON values.
 
 Every JSON number is a double to the log reader, printed with the fewest digits that identify it and with an exponent
 once it is below 1e-4 or at least 1e6. Nested values print in one of two styles: *flat* for extra fields
@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeglass.functions.text import last_wins_map, let
+from lodeglass.functions.text import let
 
 
 class Marks(NamedTuple):
@@ -73,187 +73,167 @@ def float_text(number: Column) -> Column:
     return F.concat(F.when(number < 0, "-").otherwise(""), plain)
 
 
-def value_text(json: Column, value: Column, printed: Column) -> Column:
-    """Text of a JSON value, object keys in order, in the printed style where ``printed`` holds, else in the flat one.
+def number_text(json: Column) -> Column:
+    """:func:`float_text` of a JSON number from its text; most are written that way already."""
+    return F.when(json.rlike(f"^(?:{_SHORTEST})$"), json).otherwise(float_text(json.try_cast("double")))
 
-    ``json`` is the value's JSON text. The value is written as a list of pieces, each a text and, where that is not the
-    whole piece yet, a value that follows it and whether it is a container. Every pass replaces containers by the pieces
-    of their members; there are as many passes as brackets are nested.
-    """
-
-    def open_once(pieces: Column, style: Column) -> Column:
-        opened = F.flatten(F.transform(pieces, lambda one: _opened(one, style)))
-        return F.when(F.exists(pieces, lambda one: one["nested"]), opened).otherwise(pieces)
-
-    def write(style: Column) -> Column:
-        pieces = F.aggregate(
-            F.sequence(F.lit(0), depth(json)),
-            F.array(_piece(F.lit(""), value)),
-            lambda pieces, _: open_once(pieces, style),
-        )
-        return F.array_join(F.transform(pieces, _closed), "")
 
-    return let(printed, write)
+# Structure of a container's text while it is written: control characters, which JSON texts do not have as they are.
+_OPEN, _CLOSE, _COMMA, _COLON, _STRING, _HOLE, _ESCAPE = map(chr, range(1, 8))
+#: After ``_OPEN``, what is opened.
+_OBJECT, _ARRAY = "{", "["
+_QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_SIMPLE = r'^(?:[^"\s]*+"[^"\\{}\[\],:]*+")*+[^"\s]*+$'
+#: Numbers of few digits that print as they are.
+_SHORTEST = r"0|-?[1-9]\d{0,5}(?:\.\d{0,7}[1-9])?|-?0\.(?!0000)\d{0,7}[1-9]"
+#: A value that is no string, and one that does not print as it is.
+_BARE = f"(?<=[{_COMMA}{_COLON}]|{_OPEN}\\{_ARRAY})[^{_OPEN}{_CLOSE}{_COMMA}{_COLON}{_STRING}]++(?=[{_CLOSE}{_COMMA}])"
+_REWRITTEN = f"(?:[{_COMMA}{_COLON}]|{_OPEN}\\{_ARRAY})(?!(?:{_SHORTEST}|true|false)[{_CLOSE}{_COMMA}])[^{_OPEN}{_CLOSE}{_COMMA}{_COLON}{_STRING}]++[{_CLOSE}{_COMMA}]"
+#: In members that are in order, a key that comes again.
+_REPEATED = f"(?:^|{_COMMA})([^{_COLON}{_COMMA}]*+){_COLON}[^{_COMMA}]*+{_COMMA}\\1{_COLON}"
+#: Up to so many containers are not looked at for how deep they are.
+_FEW = 16
 
 
-def brackets(json: Column) -> Column:
-    """How many opening brackets there are, in strings too."""
-    return F.length(json) - F.length(F.translate(json, "{[", ""))
+def container_text(json: Column, style: Marks) -> Column:
+    """Text of a JSON object or array from its JSON text, keys in order; of a key that an object repeats the last value counts.
 
+    Brackets, commas and colons outside strings become control characters, which strings then do not have. Every pass
+    writes all containers that have no containers in them and leaves their texts in their places; there are as many passes
+    as brackets are nested.
+    """
 
-def depth(json: Column) -> Column:
-    """How deep brackets outside strings are nested; where there is one opening bracket, it may be in a string."""
-    opening = brackets(json)
-    return F.when(opening < 2, opening).otherwise(_folded_depth(json))
+    def write(structure: Column) -> Column:
+        count = F.length(structure) - F.length(F.replace(structure, F.lit(_OPEN), F.lit("")))
+        passes = F.sequence(F.lit(1), F.when(count <= _FEW, count).otherwise(depth(json)))
+        return F.aggregate(passes, structure, lambda now, _: F.when(now.startswith(_OPEN), _closed(now, style)).otherwise(now))
 
+    def shown(text: Column) -> Column:
+        return F.when(text.contains(_ESCAPE), _unescaped(text)).otherwise(text)
 
-def _folded_depth(json: Column) -> Column:
-    unquoted = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    brackets = F.split(F.regexp_replace(unquoted, r"[^\[\]{}]++", ""), "")
+    return let(let(let(_structure(json), _bare_texts), write), shown)
 
-    def step(so_far: Column, bracket: Column) -> Column:
-        now = so_far["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(so_far["most"], now).alias("most"))
 
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(brackets, start, step, lambda so_far: so_far["most"])
+def _structure(json: Column) -> Column:
+    """The JSON text with control characters for its structure, and one in front of each string."""
 
+    def marked(text: Column) -> Column:
+        # an opening bracket stays behind its mark
+        for found, mark in (("{", _OPEN + _OBJECT), ("[", _OPEN + _ARRAY), ("}", _CLOSE), ("]", _CLOSE), (",", _COMMA), (":", _COLON)):
+            text = F.replace(text, F.lit(found), F.lit(mark))
+        return text
 
-#: Pieces of JSON: a key with its colon, a string, a bracket, a number or word.
-_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:[ \t\r\n]*+:)?|[\[\]{}]|[^\s,:"\[\]{}]++'
+    def string(inside: Column) -> Column:
+        plain = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), inside, F.lit('"'))), "$", "string")
+        return F.when(inside.contains("\\"), let(F.coalesce(plain, inside), _escaped)).otherwise(inside)
 
+    def joined(strings: Column) -> Column:
+        around = F.split(marked(F.regexp_replace(F.regexp_replace(json, _QUOTED, _HOLE), r"[ \t\r\n]++", "")), _HOLE)
+        filled = F.transform(around, lambda text, i: F.when(i == 0, text).otherwise(
+            F.concat(F.lit(_STRING), let(F.get(strings, i - 1), string), text)
+        ))
+        return F.array_join(filled, "")
 
-def folded_text(json: Column, printed: Column) -> Column:
-    """:func:`value_text` of a container from its JSON text alone; of a key that an object repeats the last value counts.
+    # where strings have neither structure nor escapes in them, the text is marked as a whole
+    simple = marked(F.regexp_replace(json, _QUOTED, _STRING + "$1"))
+    return F.when(json.rlike(_SIMPLE), simple).otherwise(let(F.regexp_extract_all(json, F.lit(_QUOTED), F.lit(1)), joined))
 
-    A fold over the text's tokens with a stack of open containers, for values that VARIANT refuses to hold.
-    """
-    member = "struct<key:string,value:string>"
-    frame = f"struct<key:string,object:boolean,members:array<{member}>>"
 
-    def opened(key: Column, is_object: Column) -> Column:
-        return F.struct(key.alias("key"), is_object.alias("object"), F.array().cast(f"array<{member}>").alias("members"))
+def _escaped(text: Column) -> Column:
+    """Without the characters that mean structure; texts stay in order."""
+    found = F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "H"))
+    for code in range(7):
+        found = F.replace(found, F.lit(chr(code)), F.lit(_ESCAPE + chr(65 + code)))
+    return F.when(text.rlike(rf"[\x00-{_ESCAPE}]"), found).otherwise(text)
 
-    def mark(name: str) -> Column:
-        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
 
-    def shown(of: Column) -> Column:
-        def pairs(found: Column) -> Column:
-            named = F.transform(F.array_sort(F.map_keys(found)), lambda k: F.concat(k, mark("key_end"), found[k]))
-            return F.concat(mark("object_open"), F.array_join(named, " "), mark("object_close"))
+def _unescaped(text: Column) -> Column:
+    for code in range(8):
+        text = F.replace(text, F.lit(_ESCAPE + chr(65 + code)), F.lit(chr(code)))
+    return text
 
-        items = F.transform(of["members"], lambda m: m["value"])
-        # styles differ in what parts the elements of an array; members of an object are parted by a blank in both
-        joined = F.when(printed, F.array_join(items, PRINTED.array_sep)).otherwise(F.array_join(items, FLAT.array_sep))
-        whole = F.concat(mark("array_open"), joined, mark("array_close"))
-        return F.when(of["object"], let(last_wins_map(of["members"]), pairs)).otherwise(whole)
 
-    def unquoted(token: Column) -> Column:
-        return F.try_variant_get(F.try_parse_json(token), "$", "string")
+def _bare_texts(structure: Column) -> Column:
+    """The structure with texts for null and for numbers that print in another way; strings are not told any more."""
 
-    def scalar(token: Column) -> Column:
-        number = float_text(token.try_cast("double"))
-        return (
-            F.when(token.startswith('"'), unquoted(token)).when(token == "null", "<nil>")
-            .when(token.isin("true", "false"), token).otherwise(F.coalesce(number, token))
-        )
+    def bare(value: Column) -> Column:
+        return F.when(value == "null", "<nil>").when(value.isin("true", "false"), value).otherwise(number_text(value))
 
-    def put(stack: Column, key: Column, value: Column) -> Column:
-        def onto(top: Column) -> Column:
-            members = F.concat(top["members"], F.array(F.struct(key.alias("key"), value.alias("value"))))
-            return F.array(F.struct(top["key"].alias("key"), top["object"].alias("object"), members.alias("members")))
+    def joined(values: Column) -> Column:
+        filled = F.transform(around, lambda text, i: F.when(i == 0, text).otherwise(F.concat(let(F.get(values, i - 1), bare), text)))
+        return F.array_join(filled, "")
 
-        below = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
-        return F.concat(below, let(F.element_at(stack, -1), onto))
+    around = F.split(F.regexp_replace(structure, _BARE, _HOLE), _HOLE)
+    found = let(F.regexp_extract_all(structure, F.lit(_BARE), F.lit(0)), joined)
+    return F.replace(F.when(structure.rlike(_REWRITTEN), found).otherwise(structure), F.lit(_STRING), F.lit(""))
 
-    def state(stack: Column, key: Column, done: Column) -> Column:
-        return F.struct(stack.alias("stack"), key.alias("key"), done.alias("done"))
 
-    none = F.lit(None).cast("string")
+def _closed(structure: Column, style: Marks) -> Column:
+    """The structure with texts in place of its innermost containers: what lies between a bracket that opens and the next
+    bracket, if that closes."""
 
-    def close(now: Column) -> Column:
-        left = F.slice(now["stack"], F.lit(1), F.greatest(F.size(now["stack"]) - 1, F.lit(0)))
+    def part(text: Column, rest: Column) -> Column:
+        before = F.left(text, F.length(text) - F.length(rest) - 1)
+        return F.when(rest == text, F.concat(text, F.lit(_CLOSE))).otherwise(F.concat(before, _innermost_text(rest, style)))
 
-        def popped(top: Column) -> Column:
-            return let(
-                shown(top),
-                lambda text: F.when(F.size(left) == 0, state(left, none, text)).otherwise(
-                    state(put(left, top["key"], text), none, now["done"])
-                ),
-            )
+    def joined(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        shown = F.transform(parts, lambda text, i: F.when(i == last, text).otherwise(
+            let(F.substring_index(text, _OPEN, -1), lambda rest: part(text, rest))
+        ))
+        return F.array_join(shown, "")
 
-        return let(F.element_at(now["stack"], -1), popped)
+    return let(F.split(structure, _CLOSE), joined)
 
-    def step(now: Column, token: Column) -> Column:
-        key = unquoted(F.regexp_replace(token, r"[ \t\r\n]*:$", ""))
-        deeper = F.concat(now["stack"], F.array(opened(now["key"], token == "{")))
-        return (
-            F.when(token.rlike(r'^"(?s:.*)":?[ \t\r\n]*:$'), state(now["stack"], key, now["done"]))
-            .when(token.isin("{", "["), state(deeper, none, now["done"]))
-            .when(F.size(now["stack"]) == 0, now)
-            .when(token.isin("}", "]"), close(now))
-            .otherwise(state(put(now["stack"], now["key"], scalar(token)), none, now["done"]))
-        )
 
-    start = state(F.array().cast(f"array<{frame}>"), none, none)
-    return F.aggregate(F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0)), start, step, lambda now: now["done"])
+def _innermost_text(container: Column, style: Marks) -> Column:
+    """Text of a container from its bracket and its members' texts."""
 
+    def of_object(members: Column) -> Column:
+        ordered = F.when(members.rlike(_REPEATED), F.array_join(_last_of_keys(inside), _COMMA)).otherwise(members)
+        pairs = F.replace(F.replace(ordered, F.lit(_COMMA), F.lit(style.object_sep)), F.lit(_COLON), F.lit(style.key_end))
+        return F.concat(F.lit(style.object_open), pairs, F.lit(style.object_close))
+
+    inside = container.substr(F.lit(2), F.length(container))
+    elements = F.replace(inside, F.lit(_COMMA), F.lit(style.array_sep))
+    in_order = F.array_join(F.sort_array(F.split(inside, _COMMA)), _COMMA)
+    return F.when(container.startswith(_OBJECT), let(in_order, of_object)).otherwise(
+        F.concat(F.lit(style.array_open), elements, F.lit(style.array_close))
+    )
 
-def _closed(one: Column) -> Column:
-    number = float_text(F.try_variant_get(one["item"], "$", "double"))
-    return F.when(one["item"].isNull(), one["text"]).otherwise(F.concat(one["text"], number))
 
+def _last_of_keys(members: Column) -> Column:
+    """The last member of each key, in the order of keys."""
 
-def _piece(text: Column, value: Column) -> Column:
-    def of_kind(kind: Column) -> Column:
-        shown = F.try_variant_get(value, "$", "string")
-        small = (kind == "BIGINT") & F.try_variant_get(value, "$", "bigint").between(-999999, 999999)
-        whole = F.when(kind.isin("STRING", "BOOLEAN") | small, shown).when(kind == "VOID", "<nil>")
-        return let(
-            whole,
-            lambda rest: F.struct(
-                F.when(rest.isNull(), text).otherwise(F.concat(text, rest)).alias("text"),
-                F.when(rest.isNull(), value).alias("item"),
-                F.when(rest.isNull(), kind.rlike("^(OBJECT|ARRAY)")).otherwise(F.lit(False)).alias("nested"),
-            ),
-        )
+    def last(numbered: Column) -> Column:
+        is_last = lambda m, i: F.coalesce(F.get(numbered, i + 1)["key"] != m["key"], F.lit(True))
+        return F.transform(F.filter(numbered, is_last), lambda m: m["member"])
 
-    return let(F.schema_of_variant(value), of_kind)
+    def numbered(found: Column) -> Column:
+        key = lambda m: F.substring_index(m, _COLON, 1).alias("key")
+        return F.transform(found, lambda m, i: F.struct(key(m), i.alias("place"), m.alias("member")))
 
+    return let(F.sort_array(numbered(F.split(members, _COMMA))), last)
 
-def _text_piece(text: Column) -> Column:
-    return F.struct(
-        text.alias("text"), F.lit(None).cast("variant").alias("item"), F.lit(False).alias("nested")
-    )
 
+def brackets(json: Column) -> Column:
+    """How many opening brackets there are, in strings too."""
+    return F.length(json) - F.length(F.translate(json, "{[", ""))
 
-def _opened(one: Column, printed: Column) -> Column:
-    """Pieces of a container's members, or the piece itself."""
 
-    def mark(name: str) -> Column:
-        return F.when(printed, getattr(PRINTED, name)).otherwise(getattr(FLAT, name))
+def depth(json: Column) -> Column:
+    """How deep brackets outside strings are nested; where there is one opening bracket, it may be in a string."""
+    opening = brackets(json)
+    return F.when(opening < 2, opening).otherwise(_folded_depth(json))
 
-    def lead(index: Column, sep: str) -> Column:
-        return F.when(index > 0, mark(sep)).otherwise("")
 
-    def of_object(members: Column) -> Column:
-        return F.transform(
-            F.array_sort(F.map_keys(members)),
-            lambda k, i: _piece(F.concat(lead(i, "object_sep"), k, mark("key_end")), members[k]),
-        )
+def _folded_depth(json: Column) -> Column:
+    unquoted = F.regexp_replace(json, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.regexp_replace(unquoted, r"[^\[\]{}]++", ""), "")
 
-    def within(inner: Column, start: str, end: str) -> Column:
-        return F.concat(
-            F.array(_text_piece(F.concat(one["text"], mark(start)))), inner, F.array(_text_piece(mark(end)))
-        )
+    def step(so_far: Column, bracket: Column) -> Column:
+        now = so_far["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(so_far["most"], now).alias("most"))
 
-    elements = F.transform(
-        F.try_variant_get(one["item"], "$", "array<variant>"), lambda x, i: _piece(lead(i, "array_sep"), x)
-    )
-    inside = let(
-        F.try_variant_get(one["item"], "$", "map<string,variant>"),
-        lambda m: F.when(m.isNotNull(), within(of_object(m), "object_open", "object_close")).otherwise(
-            within(elements, "array_open", "array_close")
-        ),
-    )
-    return F.when(one["nested"], inside).otherwise(F.array(one))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(brackets, start, step, lambda so_far: so_far["most"])

@@ -30,6 +30,11 @@ def _lines(t: Tables, line: Column):
     return I.lines(t.events, line)
 
 
+def _spread_lines(t: Tables, line: Column):
+    """The same lines dealt over all cores. A few MB of columns are one part, or one row group, but JSON lines for minutes."""
+    return I.lines(t.events.repartition("event_id"), line)
+
+
 def _field(name: str) -> Column:
     return F.col("fields")[name]
 
@@ -186,7 +191,7 @@ def log_flatten(t: Tables):
 )
 def log_flatten_repeated(t: Tables):
     """Of a key that a nested object repeats the last value counts."""
-    entries = parse_as(_lines(t, I.repeated_line()), "json")
+    entries = parse_as(_spread_lines(t, I.repeated_line()), "json")
     return entries.select("line_no", _field("z").alias("z"), _field("list").alias("list"), "message")
 
 

@@ -284,3 +284,28 @@ def test_json_strings_that_look_like_other_values(spark):
         {"o": 'n=1.5 q=a"b s=1.50', "ip": "10.0.0.1"},
     ]
     assert (rows[4].level, rows[4].message, rows[4].logger) == ("MAP[A:1.5]", "[x map[b:<nil>]]", "1.2345678e+07")
+
+
+def test_wide_object_that_repeats_keys(spark):
+    """The last value of each key, in time that does not grow with the square of the members."""
+    import time
+
+    members = ",".join(f'"k{i % 7000:05}":{{"n":{i}.5,"s":"x y"}}' for i in range(20_000))
+    begun = time.perf_counter()
+    (row,) = parsed(spark, "json", f'{{"o":{{{members}}}}}')
+    last = {i % 7000: i for i in range(20_000)}
+    assert row.fields["o"] == " ".join(f"k{k:05}=n={last[k]}.5 s=x y" for k in sorted(last))
+    assert time.perf_counter() - begun < 15
+
+
+def test_control_characters_and_structure_in_nested_strings(spark):
+    line = r'{"o":{"b\u0001":"{\u0002","a\u0007A":["]\u0000,","\u0003:"],"b":"\\u0001\"","b\u0001":"}","\u0008":{"":[]}},"msg":{"a:":"null","c":null}}'
+    (row,) = parsed(spark, "json", line)
+    assert row.fields == {"o": '\b== a\x07A=]\0,,\x03: b=\\u0001" b\x01=}'}
+    assert row.message == "map[a::null c:<nil>]"
+
+
+def test_nested_numbers(spark):
+    numbers = {"1.5": "1.5", "-0.25": "-0.25", "999999": "999999", "1000000": "1e+06", "0.0001": "0.0001", "0.00001": "1e-05", "1.50": "1.5", "100": "100", "0": "0", "1e2": "100", "-12.0": "-12", "123456.7": "123456.7", "0.1234567891": "0.1234567891"}
+    (row,) = parsed(spark, "json", '{"l":[%s],"o":{"n":%s}}' % (",".join(numbers), "7.25"))
+    assert row.fields == {"l": ",".join(numbers.values()), "o": "n=7.25"}

@@ -100,6 +100,13 @@ def test_lines_are_scanned_once(tables, name):
     assert ("Exchange hashpartitioning(source_id" in plan) == (name == "log_stage_blocks")
 
 
+@pytest.mark.parametrize("name", ["log_flatten_repeated"])
+def test_json_lines_of_one_file_part_are_parsed_by_all_tasks(tables, name):
+    """Columns of a few MB are one task's part or row group, but as lines they are work for all."""
+    below_the_parse = plan_of(QUERIES[name].build(tables)).rsplit("Generate inline", 1)[1]
+    assert "Exchange hashpartitioning(event_id" in below_the_parse
+
+
 @pytest.mark.parametrize("name", ["log_detect", "log_tail"])
 def test_lines_are_not_sorted_before_they_are_picked(tables, name):
     """Blocks are counted by hashing; only lines of the blocks that are wanted are exchanged and sorted."""
