@@ -90,7 +90,7 @@ def log_newest_first(t: Tables):
     """Every line's place in the order, so that the order is data."""
     _, *order = newest_order()
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
-    return parse_as(_lines(t, I.zap_line()), "json").select("source_id", "line_no", "level", place.alias("place"))
+    return parse_as(_spread_lines(t, I.zap_line()), "json").select("source_id", "line_no", "level", place.alias("place"))
 
 
 _AS_OF = "2024-01-30T12:00:00Z"
@@ -158,7 +158,7 @@ _ROW = "user_id AS source_id, event_id AS line_no"
 )
 def log_json(t: Tables):
     event = _field("event").cast("double").cast("long").alias("event")
-    return parse_as(_lines(t, I.zap_line()), "json").select(
+    return parse_as(_spread_lines(t, I.zap_line()), "json").select(
         "source_id", "line_no", "timestamp", "level", "message", "source", "logger", event,
         _field("props").alias("props"), F.size("fields").alias("fields"), "parsed",
     )
@@ -169,7 +169,7 @@ def log_json(t: Tables):
                event_type AS logger, CAST(user_id AS VARCHAR) AS user FROM events"""
 )
 def log_json_logrus(t: Tables):
-    return parse_as(_lines(t, I.logrus_line()), "json").select(
+    return parse_as(_spread_lines(t, I.logrus_line()), "json").select(
         "source_id", "line_no", "timestamp", "level", "message", "source", "logger", _field("user").alias("user")
     )
 
@@ -179,7 +179,7 @@ def log_json_logrus(t: Tables):
                'k=' || {_K} || ',' || event_type AS list, '<nil>' AS "none", value FROM events"""
 )
 def log_flatten(t: Tables):
-    return parse_as(_lines(t, I.nested_line()), "json").select(
+    return parse_as(_spread_lines(t, I.nested_line()), "json").select(
         "line_no", _field("z").alias("z"), _field("list").alias("list"), _field("none").alias("none"),
         _field("value").cast("double").alias("value"),
     )

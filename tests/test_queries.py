@@ -100,7 +100,7 @@ def test_lines_are_scanned_once(tables, name):
     assert ("Exchange hashpartitioning(source_id" in plan) == (name == "log_stage_blocks")
 
 
-@pytest.mark.parametrize("name", ["log_flatten_repeated"])
+@pytest.mark.parametrize("name", ["log_flatten", "log_flatten_repeated", "log_json", "log_json_logrus", "log_newest_first"])
 def test_json_lines_of_one_file_part_are_parsed_by_all_tasks(tables, name):
     """Columns of a few MB are one task's part or row group, but as lines they are work for all."""
     below_the_parse = plan_of(QUERIES[name].build(tables)).rsplit("Generate inline", 1)[1]
